@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldkpi.functions.labels import PICKUP_EVENT, TRAVEL_EVENT
@@ -100,10 +100,15 @@ def _daily_travel(s: StarRoles) -> DataFrame:
     return experiment.label_period(daily, "visit_date", CHANGE_DATE)
 
 
-def _joined_list(column: str) -> F.Column:
+def _six(value: Column | str) -> Column:
+    """Six places, by way of ten so that noise in the last bits cannot decide a tie."""
+    return F.round(F.round(value, 10), 6)
+
+
+def _joined_list(column: str) -> Column:
     """Array of doubles as sorted text in millionths, to compare across engines."""
     whole = F.transform(
-        F.array_sort(column), lambda v: F.round(v * 1e6).cast("bigint").cast("string")
+        F.array_sort(column), lambda v: F.round(_six(v) * 1e6).cast("bigint").cast("string")
     )
     return F.array_join(whole, ",").alias(column)
 
@@ -403,7 +408,7 @@ _QUERIES: dict[str, Callable[[StarRoles], DataFrame]] = {
 
 def _rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places: sums of doubles depend on the order of the rows."""
-    doubles = {f.name: F.round(f.name, 6) for f in df.schema if f.dataType.typeName() == "double"}
+    doubles = {f.name: _six(f.name) for f in df.schema if f.dataType.typeName() == "double"}
     return df.withColumns(doubles) if doubles else df
 
 

@@ -10,8 +10,9 @@ from oracle.roles import with_roles
 
 
 def r(expression: str, name: str) -> str:
-    # Adding zero turns a negative zero into zero.
-    return f"ROUND({expression}, 6) + 0.0 AS {name}"
+    """Six places, by way of ten: a value half way between two results is then the
+    same decimal in both engines, whatever the last bit of its double."""
+    return f"CAST(ROUND(CAST({expression} AS DECIMAL(38, 10)), 6) AS DOUBLE) AS {name}"
 
 
 def r2(expression: str, name: str) -> str:
@@ -335,7 +336,8 @@ _SQL["travel_samples"] = " UNION ALL ".join(
 )
 _LISTS = ", ".join(
     "array_to_string(list_transform(list_sort(list("
-    f"{m})), lambda v: CAST(CAST(ROUND(v * 1e6) AS BIGINT) AS VARCHAR)), ',') AS {m}"
+    f"{m})), lambda v: CAST(CAST(ROUND(CAST(v AS DECIMAL(38, 10)), 6) * 1000000 AS BIGINT)"
+    f" AS VARCHAR)), ',') AS {m}"
     for m in _M
 )
 _SQL["travel_sample_arrays"] = f"""
