@@ -78,13 +78,13 @@ def _samples(s: StarRoles) -> DataFrame:
 
 
 def _market_samples(s: StarRoles) -> DataFrame:
-    home = located.home_centers(*s.get("experts", "centers")).select(
-        F.col("expert_id").alias("user_id"), "market"
-    )
     rows = s.table("events").select(
-        "user_id", F.col("event_type").alias("metric"), "value", F.to_date("ts").alias("day")
+        F.col("user_id").alias("expert_id"),
+        F.col("event_type").alias("metric"),
+        "value",
+        F.to_date("ts").alias("day"),
     )
-    return rows.join(home, "user_id")
+    return located.at_home(rows, *s.get("experts", "centers"))
 
 
 def _periods(df: DataFrame, boundary: str = "after") -> DataFrame:

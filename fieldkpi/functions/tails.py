@@ -24,7 +24,11 @@ _TINY = 1e-300
 # Bartlett's chi-square form of the variance ratio is exact to 1e-11.
 _MANY = 1e5
 _STEPS = 500
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _lgamma(values) -> np.ndarray:
+    a = np.asarray(values, float)
+    return np.fromiter(map(math.lgamma, a.ravel()), float, a.size).reshape(a.shape)
 
 
 def _lentz(terms, shape) -> np.ndarray:

@@ -16,21 +16,25 @@ from fieldkpi.functions.times import (
 )
 
 
-def home_centers(experts: DataFrame, centers: DataFrame) -> DataFrame:
-    """One row per expert: label, market and time zone of the current center.
+def at_home(
+    rows: DataFrame, experts: DataFrame, centers: DataFrame, expert: str = "expert_id"
+) -> DataFrame:
+    """Add ``market`` (label), ``center_market`` and ``time_zone`` of an expert's current center.
 
-    No broadcast hint: Spark broadcasts it when its measured size allows, and
-    otherwise sorts and merges with run-time splitting of hot experts.
+    The dimensions join one after the other, so Spark weighs each by its own size:
+    both are broadcast when small, and only a large expert table costs a shuffle,
+    in which hot experts are split at run time.
     """
+    house = experts.select(
+        F.col("expert_id").alias(expert), F.col("current_enjoyment_house_id").alias("center_id")
+    )
     center = centers.select(
         F.col("id").alias("center_id"),
         market_label().alias("market"),
         F.col("market").alias("center_market"),
         "time_zone",
     )
-    return experts.select(
-        "expert_id", F.col("current_enjoyment_house_id").alias("center_id")
-    ).join(center, "center_id")
+    return rows.join(house, expert).join(center, "center_id").drop("center_id")
 
 
 def enabled_blocks(blocks: DataFrame, *event_types: str, since: Day | None = None) -> DataFrame:
@@ -69,8 +73,7 @@ def located_events(
     The date is the local day of the block start at the expert's home center.
     """
     rows = (
-        scheduled_events(blocks, sched, event_type, since=since)
-        .join(home_centers(experts, centers), "expert_id")
+        at_home(scheduled_events(blocks, sched, event_type, since=since), experts, centers)
         .select(
             "event_id",
             "expert_id",

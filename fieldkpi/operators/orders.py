@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldkpi.functions.labels import CANCELED, grouped_number, percent, ratio
 from fieldkpi.functions.times import DEFAULT_SINCE, Day, could_be_after, day, local_date
-from fieldkpi.operators.located import by_day_and_market, home_centers
+from fieldkpi.operators.located import at_home, by_day_and_market
 
 
 def ordered_visits(visits: DataFrame, orders: DataFrame) -> DataFrame:
@@ -35,10 +35,6 @@ def _kept(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("order_status") != CANCELED) & (F.col("visit_status") != CANCELED))
 
 
-def _placed(rows: DataFrame, experts: DataFrame, centers: DataFrame) -> DataFrame:
-    return rows.join(home_centers(experts, centers), "expert_id")
-
-
 _ENDS_SAME_DAY = "order_created_date_local = visit_end_date_local"
 _STARTS_SAME_DAY = "order_created_date_local = visit_start_date_local"
 
@@ -62,7 +58,7 @@ def same_day_share_by_market(
         F.col("visit_start_date_local") > day(since)
     )
     counts = (
-        _placed(rows, experts, centers)
+        at_home(rows, experts, centers)
         .groupBy(F.col("visit_start_date_local").alias("delivery_date"), "market")
         .agg(
             F.count_if(F.expr(_ENDS_SAME_DAY)).alias("n_same_day_deliveries"),
@@ -86,7 +82,7 @@ def same_day_visit_cancel_share(
         F.expr(_ENDS_SAME_DAY) & (F.col("visit_start_date_local") > day(since))
     )
     counts = (
-        _placed(rows, experts, centers)
+        at_home(rows, experts, centers)
         .groupBy(F.col("visit_start_date_local").alias("event_date"), "market")
         .agg(
             F.count_if(F.col("visit_status") == CANCELED).alias("same_day_cancelations"),
@@ -106,7 +102,7 @@ def same_day_order_cancels(
         (F.col("order_created_date_local") > day(since))
         & could_be_after("canceled_ts_utc", since)
     ).select("expert_id", "order_created_date_local", "canceled_ts_utc")
-    same_day = _placed(recent, experts, centers).where(
+    same_day = at_home(recent, experts, centers).where(
         F.col("order_created_date_local") == local_date("canceled_ts_utc", "time_zone")
     )
     return by_day_and_market(
@@ -127,7 +123,7 @@ def same_day_visit_cancels(
         (F.col("visit_created_date_local") > day(since))
         & could_be_after("visit_updated_ts_utc", since)
     ).select("expert_id", "visit_created_date_local", "visit_updated_ts_utc", "visit_status")
-    same_day = _placed(recent, experts, centers).where(
+    same_day = at_home(recent, experts, centers).where(
         F.col("visit_created_date_local") == local_date("visit_updated_ts_utc", "time_zone")
     )
     return by_day_and_market(
@@ -208,7 +204,7 @@ def _hours_by_market(
 ) -> DataFrame:
     rows = _kept(ordered_visits(visits, orders)).where(F.expr(_STARTS_SAME_DAY))
     return (
-        _placed(rows, experts, centers)
+        at_home(rows, experts, centers)
         .groupBy("market", _hour())
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldkpi.functions.labels import CANCELED, ratio
 from fieldkpi.functions.times import DEFAULT_SINCE, Day, day, local_date
-from fieldkpi.operators.located import by_day_and_market, home_centers
+from fieldkpi.operators.located import at_home, by_day_and_market
 
 # Fixed values of created_by_type; Unknown stands for null.
 EMPLOYEE = "Employee"
@@ -197,10 +197,7 @@ def _orders_at_home(
     since: Day,
     *keep: str,
 ) -> DataFrame:
-    return (
-        order_master.where(F.col("order_created_date_local") > day(since))
-        .join(home_centers(experts, centers), "expert_id")
-        .select(
-            "order_id", F.col("order_created_date_local").alias("order_date"), "market", *keep
-        )
+    recent = order_master.where(F.col("order_created_date_local") > day(since))
+    return at_home(recent, experts, centers).select(
+        "order_id", F.col("order_created_date_local").alias("order_date"), "market", *keep
     )

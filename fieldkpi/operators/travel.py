@@ -29,7 +29,7 @@ from fieldkpi.functions.times import (
     local_date,
     minutes_between,
 )
-from fieldkpi.operators.located import by_day_and_market, home_centers, scheduled_events
+from fieldkpi.operators.located import at_home, by_day_and_market, scheduled_events
 
 # Short names of the four metrics: visit trip, pickup trip, pickup trip per
 # visit, total.
@@ -143,7 +143,7 @@ def visit_travel_rows(
         rows = rows.join(zone_of_address, "meeting_address_id")
         keys.append("zone")
     rows = (
-        rows.join(home_centers(experts, centers), "expert_id")
+        at_home(rows, experts, centers)
         .withColumn("visit_date", local_date("start_time", "time_zone"))
         .join(wanted.select("order_id", "inventory_transfer_id"), "order_id")
         .join(pickups, "inventory_transfer_id")
@@ -183,8 +183,7 @@ def apportioned_travel(
     )
     keys = ["visit_id", "visit_date"] + (["market"] if by_market else [])
     own = (
-        visit_trips(visits, blocks, sched, since=since)
-        .join(home_centers(experts, centers), "expert_id")
+        at_home(visit_trips(visits, blocks, sched, since=since), experts, centers)
         .withColumn("visit_date", local_date("start_time", "time_zone"))
         .where(F.col("visit_date") > day(since))
         .groupBy("order_id", *keys)
@@ -246,9 +245,11 @@ def travel_share_of_shift(
         minutes_between("start_time", "end_time").alias("shift_minutes"),
     )
     shares = (
-        shift_event_minutes(sched, blocks, [TRAVEL_EVENT])
-        .join(open_shifts, "shift_id")
-        .join(home_centers(experts, centers), "expert_id")
+        at_home(
+            shift_event_minutes(sched, blocks, [TRAVEL_EVENT]).join(open_shifts, "shift_id"),
+            experts,
+            centers,
+        )
         .withColumn("shift_date", local_date("start_time", "time_zone"))
         .where(F.col("shift_date") > day(since))
         .groupBy("shift_id", "shift_date", "market", "shift_minutes")
@@ -284,9 +285,11 @@ def utilization_pvt(
         minutes_between("start_time", "end_time").alias("shift_minutes"),
     )
     per_shift = (
-        shift_event_minutes(sched, blocks, PVT_EVENTS)
-        .join(open_shifts, "shift_id")
-        .join(home_centers(experts, centers), "expert_id")
+        at_home(
+            shift_event_minutes(sched, blocks, PVT_EVENTS).join(open_shifts, "shift_id"),
+            experts,
+            centers,
+        )
         .groupBy("shift_id", "shift_date", "market", "shift_minutes")
         .agg(F.sum("event_minutes").alias("pvt"))
     )
@@ -354,15 +357,14 @@ def travel_metrics(
     if partner_orders is not None:
         visits = visits.join(partner_orders.select("order_id").dropDuplicates(), "order_id")
     served = order_transfers(items, bridge, transfers)
-    home = home_centers(experts, centers)
-
-    trip_home = home.withColumnRenamed("expert_id", "trip_expert_id")
     items_of_order = served.groupBy("order_id").agg(F.sum("n_items").alias("n_rows"))
     visit_means = (
-        visit_trips(visits, blocks, sched, since=since)
-        .drop("expert_id")
-        .join(items_of_order, "order_id")
-        .join(trip_home, "trip_expert_id")
+        at_home(
+            visit_trips(visits, blocks, sched, since=since).join(items_of_order, "order_id"),
+            experts,
+            centers,
+            "trip_expert_id",
+        )
         .withColumn("visit_date", local_date("start_time", "time_zone"))
         .where(F.col("visit_date") > day(since))
         .groupBy("visit_date", "market")
@@ -374,7 +376,6 @@ def travel_metrics(
         )
     )
 
-    pickup_home = home.withColumnRenamed("expert_id", "pickup_expert_id")
     measures = [
         F.avg("ptt").alias("pickup_travel_time"),
         F.avg("pttpv").alias("pickup_travel_time_per_visit"),
@@ -386,8 +387,9 @@ def travel_metrics(
             F.min("ptt").alias("min_pickup_travel_time"),
         ]
     pickup_means = (
-        pickup_travel(visits, served, blocks, sched)
-        .join(pickup_home, "pickup_expert_id")
+        at_home(
+            pickup_travel(visits, served, blocks, sched), experts, centers, "pickup_expert_id"
+        )
         .withColumn("visit_date", local_date("pickup_start", "time_zone"))
         .where(F.col("visit_date") > day(since))
         .groupBy("visit_date", "market")

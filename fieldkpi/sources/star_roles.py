@@ -62,17 +62,26 @@ def _case(column: str, values: dict) -> str:
 
 
 class StarRoles:
-    """Roles over one directory of Parquet tables; ``roles["visits"]`` is a DataFrame."""
+    """Roles over one directory of Parquet tables; ``roles["visits"]`` is a DataFrame.
+
+    Each table is opened, and each role defined, once: opening reads file footers.
+    """
 
     def __init__(self, spark: SparkSession, directory: str):
         self._spark = spark
         self._directory = directory
+        self._tables: dict[str, DataFrame] = {}
+        self._roles: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self._spark, self._directory, name)
+        if name not in self._tables:
+            self._tables[name] = read_table(self._spark, self._directory, name)
+        return self._tables[name]
 
     def __getitem__(self, role: str) -> DataFrame:
-        return _ROLES[role](self)
+        if role not in self._roles:
+            self._roles[role] = _ROLES[role](self)
+        return self._roles[role]
 
     def get(self, *roles: str) -> list[DataFrame]:
         return [self[r] for r in roles]
