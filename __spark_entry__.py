@@ -100,6 +100,39 @@ def _daily_travel(s: StarRoles) -> DataFrame:
     return experiment.label_period(daily, "visit_date", CHANGE_DATE)
 
 
+_STATS = [f"{k}_{m}" for m in travel.TRAVEL_METRICS for k in ("min", "max", "avg", "std")]
+_KPIS = [
+    "visit_travel_time",
+    "pickup_travel_time",
+    "pickup_travel_time_per_visit",
+    "avg_total_travel_time",
+]
+
+
+def _daily_stats(s: StarRoles) -> DataFrame:
+    """The 16 daily statistics of each market as samples, without the change day."""
+    stats = travel.travel_stats(_travel_rows(s), "visit_date", "market")
+    complete = experiment.until(tables.fill_nulls(stats, 0.0, _STATS), "visit_date", AS_OF)
+    long = experiment.long_metrics(complete, ["visit_date", "market"], _STATS)
+    return experiment.label_period(long, "visit_date", CHANGE_DATE, "exclude")
+
+
+def _daily_kpis(s: StarRoles, two_weeks: bool) -> DataFrame:
+    """The daily travel metrics of each market as samples, without the change day."""
+    daily = travel.travel_metrics(*s.get(*_TRAVEL_TABLES))
+    if two_weeks:
+        daily = experiment.around(daily, "visit_date", CHANGE_DATE, days=10, inclusive=False)
+    long = experiment.long_metrics(daily, ["visit_date", "market"], _KPIS)
+    return experiment.label_period(long, "visit_date", CHANGE_DATE, "exclude")
+
+
+def _zone_samples(s: StarRoles) -> DataFrame:
+    """Travel of all zones before the change and of the treated zone after it."""
+    long = travel.travel_samples(_zone_rows(s), "zone", "visit_date")
+    labelled = experiment.label_period(long, "visit_date", CHANGE_DATE)
+    return experiment.select_treatment(labelled, "zone", "LA-A")
+
+
 def _six(value: Column | str) -> Column:
     """Six places, by way of ten so that noise in the last bits cannot decide a tie."""
     return F.round(F.round(value, 10), 6)
@@ -373,6 +406,22 @@ _QUERIES: dict[str, Callable[[StarRoles], DataFrame]] = {
     "experiment_levene": lambda s: experiment.levene(_periods(_market_samples(s)), "market"),
     "experiment_bartlett": lambda s: experiment.bartlett(_periods(_market_samples(s)), "market"),
     "experiment_impact_summary": lambda s: experiment.impact_summary(_daily_travel(s), "market"),
+    "experiment_impact_of_daily_stats": lambda s: experiment.unpivot_summary(
+        experiment.wide_summary(
+            experiment.impact_summary(_daily_stats(s), "market"), _STATS, "market"
+        ),
+        "market",
+    ),
+    "experiment_impact_of_daily_kpis": lambda s: experiment.impact_summary(
+        _daily_kpis(s, two_weeks=False), "market"
+    ),
+    "experiment_impact_around_change": lambda s: experiment.impact_summary(
+        _daily_kpis(s, two_weeks=True), "market"
+    ),
+    "experiment_zone_test": lambda s: experiment.impact_summary_full(_zone_samples(s)),
+    "experiment_zone_test_daily": lambda s: experiment.impact_summary_full(
+        experiment.daily_means(_zone_samples(s), "visit_date", "zone", "period")
+    ),
     "experiment_impact_summary_full": lambda s: experiment.impact_summary_full(
         _periods(_market_samples(s), "exclude"), "market"
     ),

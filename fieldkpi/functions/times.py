@@ -53,7 +53,7 @@ def could_be_after(ts_utc: str | Column, since: Day) -> Column:
     """Raw-timestamp test implied by "local date > since" in every time zone.
 
     No zone is more than 14 hours ahead, so this loses no row. Unlike the test on
-    the converted date it reaches the Parquet scan and prunes date partitions.
+    the converted date it reaches the Parquet scan, which skips row groups by it.
     """
     return _col(ts_utc) >= day(since).cast("timestamp_ntz")
 

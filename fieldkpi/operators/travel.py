@@ -37,21 +37,16 @@ TRAVEL_METRICS = ("vtt", "ptt", "pttpv", "ttt")
 
 
 def order_transfers(
-    items: DataFrame, bridge: DataFrame, transfers: DataFrame, skus: Sequence[str] | None = None
+    items: DataFrame, bridge: DataFrame, skus: Sequence[str] | None = None
 ) -> DataFrame:
-    """Rows ``order_id, inventory_transfer_id, pickup_travel_id, n_items``."""
+    """Rows ``order_id, inventory_transfer_id, n_items``."""
     if skus is not None:
         items = items.where(F.col("sku").isin(list(skus)))
-    transfer = transfers.select(
-        F.col("id").alias("inventory_transfer_id"),
-        F.col("travel_time_id").alias("pickup_travel_id"),
-    )
     return (
         bridge.select("inventory_transfer_id", "order_item_id")
         .join(items.select(F.col("id").alias("order_item_id"), "order_id"), "order_item_id")
         .groupBy("order_id", "inventory_transfer_id")
         .agg(F.count(F.lit(1)).alias("n_items"))
-        .join(transfer, "inventory_transfer_id")
     )
 
 
@@ -64,23 +59,35 @@ def visits_per_transfer(visits: DataFrame, served: DataFrame) -> DataFrame:
     per_order = visits.groupBy("order_id").agg(F.count("id").alias("n"))
     return (
         served.join(per_order, "order_id")
-        .groupBy("inventory_transfer_id", "pickup_travel_id")
+        .groupBy("inventory_transfer_id")
         .agg(F.sum(F.col("n") * F.col("n_items")).alias("n_visits"))
     )
 
 
 def pickup_travel(
-    visits: DataFrame, served: DataFrame, blocks: DataFrame, sched: DataFrame
+    visits: DataFrame,
+    served: DataFrame,
+    transfers: DataFrame,
+    blocks: DataFrame,
+    sched: DataFrame,
 ) -> DataFrame:
-    """Trip of each transfer and the part of it that falls to one visit."""
+    """Trip of each transfer and the part of it that falls to one visit.
+
+    The transfers join after the visits are counted, on the key of that count.
+    """
     trips = scheduled_events(blocks, sched, TRAVEL_EVENT).select(
         F.col("event_id").alias("pickup_travel_id"),
         F.col("expert_id").alias("pickup_expert_id"),
         F.col("start_time").alias("pickup_start"),
         minutes_between("start_time", "end_time").alias("ptt"),
     )
+    transfer = transfers.select(
+        F.col("id").alias("inventory_transfer_id"),
+        F.col("travel_time_id").alias("pickup_travel_id"),
+    )
     return (
         visits_per_transfer(visits, served)
+        .join(transfer, "inventory_transfer_id")
         .join(trips, "pickup_travel_id")
         .select(
             "inventory_transfer_id",
@@ -129,11 +136,14 @@ def visit_travel_rows(
     trip is still divided among all its visits. ``zones`` (zip, zone) with
     ``addresses`` (address_id, zip) adds the zone of the meeting address.
     """
-    served = order_transfers(items, bridge, transfers)
-    pickups = pickup_travel(visits, served, blocks, sched).select(
-        "inventory_transfer_id", "ptt", "pttpv"
+    served = order_transfers(items, bridge)
+    wanted = served if skus is None else order_transfers(items, bridge, skus)
+    pickups = wanted.select("order_id", "inventory_transfer_id").join(
+        pickup_travel(visits, served, transfers, blocks, sched).select(
+            "inventory_transfer_id", "ptt", "pttpv"
+        ),
+        "inventory_transfer_id",
     )
-    wanted = served if skus is None else order_transfers(items, bridge, transfers, skus)
     rows = visit_trips(visits, blocks, sched, *_address_column(zones), since=since)
     keys = ["visit_id", "visit_date", "market"]
     if zones is not None:
@@ -145,8 +155,7 @@ def visit_travel_rows(
     rows = (
         at_home(rows, experts, centers)
         .withColumn("visit_date", local_date("start_time", "time_zone"))
-        .join(wanted.select("order_id", "inventory_transfer_id"), "order_id")
-        .join(pickups, "inventory_transfer_id")
+        .join(pickups, "order_id")
     )
     if market is not None:
         rows = rows.where(F.col("market") == market)
@@ -174,8 +183,8 @@ def apportioned_travel(
     The smallest sum is the smallest own trip plus the smallest pickup part, so
     each side is reduced before they meet and no product of the two is formed.
     """
-    served = order_transfers(items, bridge, transfers)
-    pickups = pickup_travel(visits, served, blocks, sched)
+    served = order_transfers(items, bridge)
+    pickups = pickup_travel(visits, served, transfers, blocks, sched)
     part_of_order = (
         served.join(pickups.select("inventory_transfer_id", "pttpv"), "inventory_transfer_id")
         .groupBy("order_id")
@@ -356,8 +365,13 @@ def travel_metrics(
     """
     if partner_orders is not None:
         visits = visits.join(partner_orders.select("order_id").dropDuplicates(), "order_id")
-    served = order_transfers(items, bridge, transfers)
-    items_of_order = served.groupBy("order_id").agg(F.sum("n_items").alias("n_rows"))
+    served = order_transfers(items, bridge)
+    known = transfers.select(F.col("id").alias("inventory_transfer_id"))
+    items_of_order = (
+        served.join(known, "inventory_transfer_id")
+        .groupBy("order_id")
+        .agg(F.sum("n_items").alias("n_rows"))
+    )
     visit_means = (
         at_home(
             visit_trips(visits, blocks, sched, since=since).join(items_of_order, "order_id"),
@@ -388,7 +402,10 @@ def travel_metrics(
         ]
     pickup_means = (
         at_home(
-            pickup_travel(visits, served, blocks, sched), experts, centers, "pickup_expert_id"
+            pickup_travel(visits, served, transfers, blocks, sched),
+            experts,
+            centers,
+            "pickup_expert_id",
         )
         .withColumn("visit_date", local_date("pickup_start", "time_zone"))
         .where(F.col("visit_date") > day(since))

@@ -22,6 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldkpi.sources.tables import read_table
 
@@ -64,9 +65,12 @@ def _case(column: str, values: dict) -> str:
 class StarRoles:
     """Roles over one directory of Parquet tables; ``roles["visits"]`` is a DataFrame.
 
-    Each table is opened, and each role defined, once: opening reads file footers.
+    Each table is opened, and each role defined, once. Schemas are remembered for the
+    process, because finding one takes a job that reads file footers.
     """
 
+    _schemas: dict[tuple[str, str], StructType] = {}
+
     def __init__(self, spark: SparkSession, directory: str):
         self._spark = spark
         self._directory = directory
@@ -75,7 +79,10 @@ class StarRoles:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = read_table(self._spark, self._directory, name)
+            key = (self._directory, name)
+            df = read_table(self._spark, self._directory, name, self._schemas.get(key))
+            self._schemas[key] = df.schema
+            self._tables[name] = df
         return self._tables[name]
 
     def __getitem__(self, role: str) -> DataFrame:

@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """Scan one table stored as Parquet under ``directory``."""
-    return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+def read_table(
+    spark: SparkSession, directory: str, name: str, schema: StructType | None = None
+) -> DataFrame:
+    """Scan one table stored as Parquet under ``directory``.
+
+    With a known ``schema`` no job is needed to read file footers first.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
 def list_columns(spark: SparkSession, table: str) -> DataFrame:

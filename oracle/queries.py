@@ -268,13 +268,16 @@ FROM {_HOURS} x JOIN experts e ON e.expert_id = x.expert_id GROUP BY x.expert_id
 _SQL["travel_hours_overall"] = f"SELECT {r2('AVG(h)', 'avg_travel_time')} FROM {_HOURS}"
 
 
-def _travel_metrics(spread: bool) -> str:
+def _travel_metrics(spread: bool, exact: bool = False) -> str:
+    def show(expression: str, name: str) -> str:
+        return f"{expression} AS {name}" if exact else r(expression, name)
+
     extra_agg = extra = ""
     if spread:
         extra_agg = ", STDDEV_SAMP(ptt) AS sd, MAX(ptt) AS hi, MIN(ptt) AS lo"
         extra = (
-            f", {r('sd', 'std_pickup_travel_time')}, {r('hi', 'max_pickup_travel_time')},"
-            f" {r('lo', 'min_pickup_travel_time')}"
+            f", {show('sd', 'std_pickup_travel_time')}, {show('hi', 'max_pickup_travel_time')},"
+            f" {show('lo', 'min_pickup_travel_time')}"
         )
     return f"""
 WITH own AS (
@@ -291,8 +294,8 @@ total AS (
     SELECT visit_date, market, AVG(t) AS ttt
     FROM (SELECT visit_id, visit_date, market, MIN(ttt) AS t FROM travel_rows GROUP BY ALL)
     GROUP BY visit_date, market)
-SELECT visit_date, market, {r('vtt', 'visit_travel_time')}, {r('ptt', 'pickup_travel_time')},
-       {r('pttpv', 'pickup_travel_time_per_visit')}, {r('ttt', 'avg_total_travel_time')}{extra}
+SELECT visit_date, market, {show('vtt', 'visit_travel_time')}, {show('ptt', 'pickup_travel_time')},
+       {show('pttpv', 'pickup_travel_time_per_visit')}, {show('ttt', 'avg_total_travel_time')}{extra}
 FROM total JOIN own USING (visit_date, market) JOIN pick USING (visit_date, market)"""
 
 
@@ -652,7 +655,10 @@ def _t_tail(t: str, df: str) -> str:
         f"list_sum([{weight} * pow(cos({angle} * i / 2000), {df} - 1) for i in range(0, 2001)])"
     )
     scale = f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi())"
-    return f"greatest(0, 1 - 2 * {scale} * {angle} / 2000 / 3 * {total})"
+    return (
+        f"CASE WHEN {t} IS NOT NULL AND {df} IS NOT NULL"
+        f" THEN greatest(0, 1 - 2 * {scale} * {angle} / 2000 / 3 * {total}) END"
+    )
 
 
 def _chi_tail(x: str) -> str:
@@ -760,6 +766,42 @@ _DAILY_TRAVEL = "(" + " UNION ALL ".join(
     for m in _M
 ) + ")"
 _SQL["experiment_impact_summary"] = _impact(_DAILY_TRAVEL, "market, metric")
+_DAILY_STATS = "(" + " UNION ALL ".join(
+    f"""SELECT visit_date AS day, market, '{k}_{m}' AS metric, COALESCE({fn}({m}), 0) AS value
+        FROM visit_travel WHERE visit_date < DATE '2024-01-31' GROUP BY market, visit_date"""
+    for m in _M
+    for k, fn in (("min", "MIN"), ("max", "MAX"), ("avg", "AVG"), ("std", "STDDEV_SAMP"))
+) + ")"
+_SQL["experiment_impact_of_daily_stats"] = f"""
+SELECT market, metric, {r('before_mean', 'before')}, {r('after_mean', 'after')},
+       {r('t_score', 't_score')}, {r('p_value', 'p_value')}, {r('df', 'df')}
+FROM {_t_rows(_labelled(_DAILY_STATS, _NOT_CHANGE_DAY), 'market, metric')}"""
+_DAILY_KPIS = (
+    "(SELECT visit_date AS day, market, metric, value FROM ("
+    + _travel_metrics(False, exact=True)
+    + """) UNPIVOT (value FOR metric IN (visit_travel_time, pickup_travel_time,
+         pickup_travel_time_per_visit, avg_total_travel_time)))"""
+)
+_SQL["experiment_impact_of_daily_kpis"] = _impact(
+    _labelled(_DAILY_KPIS, _NOT_CHANGE_DAY), "market, metric"
+)
+_SQL["experiment_impact_around_change"] = _impact(
+    _labelled(
+        _DAILY_KPIS,
+        f"{_NOT_CHANGE_DAY} AND day > DATE '2024-01-05' AND day < DATE '2024-01-25'",
+    ),
+    "market, metric",
+)
+_ZONE_SAMPLES = "(SELECT * FROM " + _labelled(
+    "(" + " UNION ALL ".join(
+        f"SELECT zone, visit_date AS day, '{m}' AS metric, {m} AS value FROM {_ZONED}" for m in _M
+    ) + ")"
+) + " WHERE period = 'before' OR zone = 'LA-A')"
+_SQL["experiment_zone_test"] = _impact_full(_ZONE_SAMPLES, "metric")
+_SQL["experiment_zone_test_daily"] = _impact_full(
+    f"(SELECT zone, day, period, metric, AVG(value) AS value FROM {_ZONE_SAMPLES} GROUP BY ALL)",
+    "metric",
+)
 _SQL["experiment_impact_summary_full"] = _impact_full(
     _labelled(_RAW_MARKET, _NOT_CHANGE_DAY), "market, metric"
 )

@@ -44,13 +44,13 @@ def trip_tables(spark):
 
 def test_pickup_trip_is_shared_by_visit_rows(trip_tables):
     visits, items, bridge, transfers, blocks, sched, *_ = trip_tables
-    served = travel.order_transfers(items, bridge, transfers)
+    served = travel.order_transfers(items, bridge)
     assert rows(travel.visits_per_transfer(visits, served), "inventory_transfer_id", "n_visits") == [
         (12, 3),
         (13, 1),
     ]
     assert rows(
-        travel.pickup_travel(visits, served, blocks, sched), "inventory_transfer_id", "ptt", "pttpv"
+        travel.pickup_travel(visits, served, transfers, blocks, sched), "inventory_transfer_id", "ptt", "pttpv"
     ) == [(12, 30.0, 10.0), (13, 4.0, 4.0)]
 
 
