@@ -53,6 +53,10 @@ _CREATED = (
     f"datediff(CAST(o_orderdate AS DATE), DATE'1995-01-01') % 30 * 86400 + {_SECONDS_OF_DAY}, "
     "TIMESTAMP_NTZ'2024-01-01 00:00:00')"
 )
+# A lineitem has no key of its own: order, line, part and supplier all but make one.
+_ITEM = (
+    "(l_orderkey * 8 + l_linenumber) * 1000003 + (l_partkey * 1009 + l_suppkey) % 1000003"
+)
 _EVENT_END = "timestampadd(SECOND, CAST(round(value * 60) AS BIGINT), ts)"
 
 
@@ -165,15 +169,15 @@ def _transfers(s: StarRoles) -> DataFrame:
 
 def _bridge(s: StarRoles) -> DataFrame:
     return s.table("lineitem").selectExpr(
-        "l_orderkey * 8 + l_linenumber AS id",
+        f"{_ITEM} AS id",
         "l_orderkey + l_linenumber DIV 4 AS inventory_transfer_id",
-        "l_orderkey * 8 + l_linenumber AS order_item_id",
+        f"{_ITEM} AS order_item_id",
     )
 
 
 def _items(s: StarRoles) -> DataFrame:
     return s.table("lineitem").selectExpr(
-        "l_orderkey * 8 + l_linenumber AS id",
+        f"{_ITEM} AS id",
         "l_orderkey AS order_id",
         "CAST(l_partkey AS STRING) AS sku",
         "l_suppkey AS pick_up_location_id",

@@ -8,6 +8,9 @@ _CREATED = """TIMESTAMP '2024-01-01 00:00:00' + to_seconds(
     date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 30 * 86400
     + CAST(floor(o_totalprice) AS BIGINT) % 86400)"""
 
+_ITEM = """(l_orderkey * 8 + l_linenumber) * 1000003
+               + (l_partkey * 1009 + l_suppkey) % 1000003"""
+
 ROLES: dict[str, str] = {
     "centers": """
         SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, r_name AS market,
@@ -51,13 +54,11 @@ ROLES: dict[str, str] = {
                o_custkey // 30 AS inventory_location_id, o_custkey AS meeting_address_id,
                {_CREATED} AS created_at
         FROM orders""",
-    "bridge": """
-        SELECT l_orderkey * 8 + l_linenumber AS id,
-               l_orderkey + l_linenumber // 4 AS transfer_id,
-               l_orderkey * 8 + l_linenumber AS item_id
+    "bridge": f"""
+        SELECT {_ITEM} AS id, l_orderkey + l_linenumber // 4 AS transfer_id, {_ITEM} AS item_id
         FROM lineitem""",
-    "items": """
-        SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS order_id,
+    "items": f"""
+        SELECT {_ITEM} AS id, l_orderkey AS order_id,
                CAST(l_partkey AS VARCHAR) AS sku
         FROM lineitem""",
     "order_master": f"""
