@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldkpi.functions.labels import PICKUP_EVENT, TRAVEL_EVENT
+from fieldkpi.functions.labels import CART_PARTNER, PICKUP_EVENT, TRAVEL_EVENT, partner_label
 from fieldkpi.operators import (
     located,
     orders,
@@ -283,6 +283,10 @@ _QUERIES: dict[str, Callable[[StarRoles], DataFrame]] = {
     "travel_hours_overall": lambda s: travel.travel_hours_overall(_pickup_trips(s)),
     "travel_metrics": lambda s: travel.travel_metrics(*s.get(*_TRAVEL_TABLES)),
     "travel_metrics_spread": lambda s: travel.travel_metrics_spread(*s.get(*_TRAVEL_TABLES)),
+    "travel_metrics_of_partner": lambda s: travel.travel_metrics_spread(
+        *s.get(*_TRAVEL_TABLES),
+        partner_orders=s["order_master"].where(partner_label() == CART_PARTNER),
+    ),
     "visit_travel_rows": lambda s: _travel_rows(s),
     "visit_travel_rows_by_zone": lambda s: _zone_rows(s),
     "travel_stats": lambda s: travel.travel_stats(_travel_rows(s), "visit_date", "market"),

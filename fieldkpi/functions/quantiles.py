@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldkpi.functions.joins import join_same
@@ -37,13 +37,21 @@ def exact_quantiles(
         F.percentile_approx("_v", [*low, *high], _ACCURACY).alias("_bounds"),
     )
 
+    # Durations repeat: from here on one row stands for all copies of a value, and a
+    # large group is spread over the tasks by value.
+    values = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+
     m = len(probs)
+    def rows_where(test: Column) -> Column:
+        return F.sum(F.when(test, F.col("_c")).otherwise(0))
+
     counts = []
     for i in range(m):
-        counts.append(F.count_if(F.col("_v") < F.get("_bounds", F.lit(i))).alias(f"_below_{i}"))
-        counts.append(F.count_if(F.col("_v") <= F.get("_bounds", F.lit(m + i))).alias(f"_upto_{i}"))
+        low_i, high_i = F.get("_bounds", F.lit(i)), F.get("_bounds", F.lit(m + i))
+        counts.append(rows_where(F.col("_v") < low_i).alias(f"_below_{i}"))
+        counts.append(rows_where(F.col("_v") <= high_i).alias(f"_upto_{i}"))
     counted = (
-        join_same(rows, sketch, keys)
+        join_same(values, sketch, keys)
         .groupBy(*keys)
         .agg(F.any_value("_n").alias("_n"), F.any_value("_bounds").alias("_bounds"), *counts)
     )
@@ -86,12 +94,8 @@ def exact_quantiles(
         )
     )
 
-    group = [*keys, "prob", "_n", "_first", "_last", "_part", "_below"]
-    inside = (
-        join_same(rows, brackets, keys)
-        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*group, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+    inside = join_same(values, brackets, keys).where(
+        F.col("_v").between(F.col("_lo"), F.col("_hi"))
     )
     ordered = Window.partitionBy(*keys, "prob").orderBy("_v")
     upto = F.col("_below") + F.sum("_c").over(

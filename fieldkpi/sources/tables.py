@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -52,18 +51,3 @@ def write_summary_csv(df: DataFrame, path: str, mode: str = "errorifexists") ->
     """Write a summary as CSV with a header; Spark writes the parts in parallel."""
     df.write.mode(mode).csv(path, header=True)
 
-
-def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
-    """Unique rows over ``columns`` (all when none are named)."""
-    return (df.select(*columns) if columns else df).dropDuplicates()
-
-
-def share_of_total(df: DataFrame, count: str, total: str, *keys: str) -> DataFrame:
-    """Add each row's percentage of the sum over ``keys`` to an aggregated frame.
-
-    The total comes from the grouped rows themselves, so the facts are read once.
-    """
-    from pyspark.sql import Window
-
-    whole = F.sum(count).over(Window.partitionBy(*keys))
-    return df.withColumn(total, F.try_divide(F.col(count) * F.lit(100.0), whole))

@@ -302,6 +302,30 @@ FROM total JOIN own USING (visit_date, market) JOIN pick USING (visit_date, mark
 _SQL["travel_metrics"] = _travel_metrics(False)
 _SQL["travel_metrics_spread"] = _travel_metrics(True)
 
+_SQL["travel_metrics_of_partner"] = f"""
+WITH cart_visits AS (
+    SELECT v.* FROM visits v JOIN order_master o ON o.order_id = v.order_id WHERE {PARTNER}),
+cart_trips AS (
+    SELECT n.transfer_id, p.expert_id, p.start_time, p.minutes AS ptt,
+           p.minutes / n.n_visits AS pttpv
+    FROM (SELECT m.transfer_id, m.travel_time_id, COUNT(v.id) AS n_visits
+          FROM item_moves m JOIN cart_visits v ON v.order_id = m.order_id GROUP BY ALL) n
+    JOIN trips p ON p.event_id = n.travel_time_id),
+cart_rows AS (
+    SELECT v.id AS visit_id, h.market, o.minutes + p.pttpv AS ttt,
+           CAST(o.start_time AT TIME ZONE 'UTC' AT TIME ZONE h.time_zone AS DATE) AS visit_date
+    FROM cart_visits v JOIN item_moves m ON m.order_id = v.order_id
+    JOIN trips o ON o.event_id = v.travel_time_id
+    JOIN cart_trips p ON p.transfer_id = m.transfer_id JOIN homes h ON h.expert_id = v.expert_id)
+""" + (
+    _travel_metrics(True)
+    .strip()
+    .replace("WITH own", ", own", 1)
+    .replace("FROM visits v", "FROM cart_visits v")
+    .replace("pickup_trips p", "cart_trips p")
+    .replace("FROM travel_rows", "FROM cart_rows")
+)
+
 _M = ("vtt", "ptt", "pttpv", "ttt")
 _ROUNDED_M = ", ".join(r(m, m) for m in _M)
 _ZONED = """(SELECT DISTINCT t.visit_id, t.visit_date, t.market, z.zone, vtt, ptt, pttpv, ttt

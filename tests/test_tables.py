@@ -31,16 +31,6 @@ def test_preview_sorted_values_and_fill(spark):
     assert tables.preview(df, rows=2).count() == 2
     assert [r[0] for r in tables.sorted_values(df, "market").collect()] == ["a", "b"]
     assert rows(tables.fill_nulls(df), "value") == [(0.0,), (1.0,), (2.0,)]
-    assert tables.distinct_rows(df, "market").count() == 2
-
-
-def test_share_of_total(spark):
-    df = table(spark, "k string, n bigint", [("a", 1), ("a", 3), ("b", 5)])
-    assert rows(tables.share_of_total(df, "n", "share", "k")) == [
-        ("a", 1, 25.0),
-        ("a", 3, 75.0),
-        ("b", 5, 100.0),
-    ]
 
 
 def test_every_role_reads(spark, sf_dir):
