@@ -147,10 +147,8 @@ def visit_travel_rows(
     rows = visit_trips(visits, blocks, sched, *_address_column(zones), since=since)
     keys = ["visit_id", "visit_date", "market"]
     if zones is not None:
-        zone_of_address = addresses.select(
-            F.col("address_id").alias("meeting_address_id"), "zip"
-        ).join(zones.select("zip", "zone"), "zip")
-        rows = rows.join(zone_of_address, "meeting_address_id")
+        address = addresses.select(F.col("address_id").alias("meeting_address_id"), "zip")
+        rows = rows.join(address, "meeting_address_id").join(zones.select("zip", "zone"), "zip")
         keys.append("zone")
     rows = (
         at_home(rows, experts, centers)
@@ -185,14 +183,27 @@ def apportioned_travel(
     """
     served = order_transfers(items, bridge)
     pickups = pickup_travel(visits, served, transfers, blocks, sched)
+    trips = visit_trips(visits, blocks, sched, since=since)
+    keys = ["visit_id", "visit_date"] + (["market"] if by_market else [])
+    return _smallest_totals(trips, served, pickups, experts, centers, since, keys)
+
+
+def _smallest_totals(
+    trips: DataFrame,
+    served: DataFrame,
+    pickups: DataFrame,
+    experts: DataFrame,
+    centers: DataFrame,
+    since: Day,
+    keys: Sequence[str],
+) -> DataFrame:
     part_of_order = (
         served.join(pickups.select("inventory_transfer_id", "pttpv"), "inventory_transfer_id")
         .groupBy("order_id")
         .agg(F.min("pttpv").alias("pickup_part"))
     )
-    keys = ["visit_id", "visit_date"] + (["market"] if by_market else [])
     own = (
-        at_home(visit_trips(visits, blocks, sched, since=since), experts, centers)
+        at_home(trips, experts, centers)
         .withColumn("visit_date", local_date("start_time", "time_zone"))
         .where(F.col("visit_date") > day(since))
         .groupBy("order_id", *keys)
@@ -366,6 +377,10 @@ def travel_metrics(
     if partner_orders is not None:
         visits = visits.join(partner_orders.select("order_id").dropDuplicates(), "order_id")
     served = order_transfers(items, bridge)
+    pickups = pickup_travel(visits, served, transfers, blocks, sched)
+    trips = visit_trips(visits, blocks, sched, since=since)
+    keys = ["visit_date", "market"]
+
     known = transfers.select(F.col("id").alias("inventory_transfer_id"))
     items_of_order = (
         served.join(known, "inventory_transfer_id")
@@ -373,15 +388,10 @@ def travel_metrics(
         .agg(F.sum("n_items").alias("n_rows"))
     )
     visit_means = (
-        at_home(
-            visit_trips(visits, blocks, sched, since=since).join(items_of_order, "order_id"),
-            experts,
-            centers,
-            "trip_expert_id",
-        )
+        at_home(trips.join(items_of_order, "order_id"), experts, centers, "trip_expert_id")
         .withColumn("visit_date", local_date("start_time", "time_zone"))
         .where(F.col("visit_date") > day(since))
-        .groupBy("visit_date", "market")
+        .groupBy(*keys)
         .agg(
             ratio(
                 F.sum(F.col("vtt") * F.col("n_rows")),
@@ -401,30 +411,19 @@ def travel_metrics(
             F.min("ptt").alias("min_pickup_travel_time"),
         ]
     pickup_means = (
-        at_home(
-            pickup_travel(visits, served, transfers, blocks, sched),
-            experts,
-            centers,
-            "pickup_expert_id",
-        )
+        at_home(pickups, experts, centers, "pickup_expert_id")
         .withColumn("visit_date", local_date("pickup_start", "time_zone"))
         .where(F.col("visit_date") > day(since))
-        .groupBy("visit_date", "market")
+        .groupBy(*keys)
         .agg(*measures)
     )
 
     totals = (
-        apportioned_travel(
-            visits, items, bridge, transfers, blocks, sched, experts, centers, since
-        )
-        .groupBy("visit_date", "market")
+        _smallest_totals(trips, served, pickups, experts, centers, since, ["visit_id", *keys])
+        .groupBy(*keys)
         .agg(F.avg("total_travel_time").alias("avg_total_travel_time"))
     )
-    return (
-        totals.join(visit_means, ["visit_date", "market"])
-        .join(pickup_means, ["visit_date", "market"])
-        .orderBy("visit_date", "market")
-    )
+    return totals.join(visit_means, keys).join(pickup_means, keys).orderBy(*keys)
 
 
 def travel_metrics_spread(*tables: DataFrame, **options) -> DataFrame:

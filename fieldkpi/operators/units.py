@@ -70,20 +70,15 @@ def upp_by_market_geo(
     centers: DataFrame,
 ) -> DataFrame:
     """Market of the meeting address: address, zip, coverage area, center."""
+    address = addresses.select(F.col("id").alias("meeting_address_id"), "zip")
     area = coverage_areas.select(F.col("id").alias("coverage_area_id"), "enjoyment_center_id")
     center = centers.select(F.col("id").alias("enjoyment_center_id"), "market")
-    market_of_zip = (
-        zip_codes.select("zip", "coverage_area_id")
-        .join(area, "coverage_area_id")
-        .join(center, "enjoyment_center_id")
-        .select("zip", "market")
-    )
-    market_of_address = addresses.select(F.col("id").alias("meeting_address_id"), "zip").join(
-        market_of_zip, "zip"
-    )
     return (
         _pickups(items, bridge, transfers, "meeting_address_id")
-        .join(market_of_address, "meeting_address_id")
+        .join(address, "meeting_address_id")
+        .join(zip_codes.select("zip", "coverage_area_id"), "zip")
+        .join(area, "coverage_area_id")
+        .join(center, "enjoyment_center_id")
         .groupBy("inventory_transfer_id", "market")
         .agg(F.sum("n_items").alias("n_items"))
         .groupBy("market")

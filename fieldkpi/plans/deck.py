@@ -45,29 +45,26 @@ def _within(date: Column, start: Day, as_of: Day) -> Column:
     return date.between(day(start), day(shift_day(as_of, DAYS_AHEAD)))
 
 
-def _field_experts(experts: DataFrame, centers: DataFrame) -> DataFrame:
-    """Experts proper, with the zone of their current house."""
+def _at_house(shifts: DataFrame, experts: DataFrame, centers: DataFrame) -> DataFrame:
+    """Shifts of experts proper, on the local day of the current house (``home_date``)."""
+    field = experts.where(F.col("expert_type") == "Expert").select(
+        "expert_id", "current_enjoyment_house_id", "current_enjoyment_house_name"
+    )
     zone = centers.select(
         F.col("id").alias("current_enjoyment_house_id"), F.col("time_zone").alias("home_zone")
     )
     return (
-        experts.where(F.col("expert_type") == "Expert")
-        .select("expert_id", "current_enjoyment_house_id", "current_enjoyment_house_name")
+        shifts.join(field, "expert_id")
         .join(zone, "current_enjoyment_house_id")
+        .withColumn("home_date", local_date("start_time", "home_zone"))
     )
 
 
 def _dated_shifts(
     shifts: DataFrame, experts: DataFrame, centers: DataFrame, start: Day, as_of: Day
 ) -> DataFrame:
-    """Shifts of field experts on the local day of the current house."""
     near = shifts.where(could_be_between("start_time", start, shift_day(as_of, DAYS_AHEAD)))
-    home_date = local_date("start_time", "home_zone")
-    return (
-        near.join(_field_experts(experts, centers), "expert_id")
-        .withColumn("home_date", home_date)
-        .where(_within(F.col("home_date"), start, as_of))
-    )
+    return _at_house(near, experts, centers).where(_within(F.col("home_date"), start, as_of))
 
 
 def roster_days(
@@ -217,15 +214,13 @@ def shift_length_histogram(
     Only shifts of experts who are on the roster of their current house that day.
     """
     utc_date = F.to_date("start_time")
-    dated = (
-        shifts.where(F.col("enabled") & _within(utc_date, start, as_of))
-        .join(_field_experts(experts, centers), "expert_id")
-        .select(
-            "expert_id",
-            "current_enjoyment_house_name",
-            local_date("start_time", "home_zone").alias("start_date_local"),
-            hours_between("start_time", "end_time").alias("hours"),
-        )
+    near = could_be_between("start_time", start, shift_day(as_of, DAYS_AHEAD))
+    enabled = shifts.where(F.col("enabled") & near & _within(utc_date, start, as_of))
+    dated = _at_house(enabled, experts, centers).select(
+        "expert_id",
+        "current_enjoyment_house_name",
+        F.col("home_date").alias("start_date_local"),
+        hours_between("start_time", "end_time").alias("hours"),
     )
     hours = F.col("hours")
     classes = []

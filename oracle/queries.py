@@ -534,14 +534,15 @@ _ROSTER = f"""(
     JOIN centers c ON c.id = p.center_id
     WHERE s.home_day {_IN_RANGE} AND s.expert_id NOT IN (113, 139, 355))"""
 _HEADCOUNT = f"""
-    SELECT a.start_date_local, a.house AS current_enjoyment_house_name, a.market,
-           COUNT(DISTINCT a.expert_id) AS experts_shift,
-           COUNT(DISTINCT CASE WHEN b.name = 'OPUS Ability' THEN a.expert_id END) AS experts_opus,
-           COUNT(DISTINCT CASE WHEN b.name = 'Sonos Ability' THEN a.expert_id END)
-           AS experts_sonos
-    FROM {_ROSTER} a LEFT JOIN expert_badges e ON e.expert_id = a.expert_id
-         AND {_LOCAL.format(ts='e.date_added', zone="'America/Los_Angeles'")} <= a.start_date_local
-    LEFT JOIN badges b ON b.id = e.badge_id
+    SELECT r.start_date_local, r.house AS current_enjoyment_house_name, r.market,
+           COUNT(DISTINCT r.expert_id) AS experts_shift,
+           COUNT(DISTINCT r.expert_id) FILTER (g.name = 'OPUS Ability') AS experts_opus,
+           COUNT(DISTINCT r.expert_id) FILTER (g.name = 'Sonos Ability') AS experts_sonos
+    FROM {_ROSTER} r
+    LEFT JOIN (SELECT h.expert_id, k.name,
+                      {_LOCAL.format(ts='h.date_added', zone="'America/Los_Angeles'")} AS since
+               FROM expert_badges h JOIN badges k ON k.id = h.badge_id) g
+         ON g.expert_id = r.expert_id AND g.since <= r.start_date_local
     GROUP BY ALL"""
 _PLANNED = f"""
     SELECT fiscal_date AS start_date_local, ec_name AS current_enjoyment_house_name, experts_lms
@@ -608,25 +609,25 @@ _SQL["deck_visit_counts"] = _VISIT_COUNTS
 _SQL["deck_booking_counts"] = _BOOKINGS
 _SQL["deck_travel_avgs"] = _TRAVEL_AVGS
 _SQL["deck_pickup_totals"] = _TOTALS
+_HOUSE_DAY = "(start_date_local, current_enjoyment_house_name)"
+_ZERO_WHEN_ABSENT = ("visits", "visits_att_cart", "booked_orders", "cancelations")
 _SQL["metrics_deck"] = f"""
-SELECT a.start_date_local, c.id || '-' || c.market AS current_enjoyment_house_name,
-       w.experts_lms, a.experts_shift, a.experts_opus, x.used_hours, y.shift_hours,
-       COALESCE(z.visits, 0) AS visits, x.used_hours_pvt, x.used_hours_nvb, a.experts_sonos,
-       {', '.join(f'y.shift_{h:02d}_hour' for h in range(15))},
-       f.week_end AS fiscal_week_end_date, COALESCE(z.visits_att_cart, 0) AS visits_att_cart,
-       COALESCE(o.booked_orders, 0) AS booked_orders, COALESCE(o.cancelations, 0) AS cancelations,
-       x.used_hours_pto, f.week_offset AS fiscal_week_offset, f.day_offset AS fiscal_day_offset,
-       t.avg_visit_tt, t.avg_pickup_tt, x.pickup_duration, p.num_pickups, p.num_units_in_pickup
-FROM ({_HEADCOUNT}) a
-JOIN ({_PLANNED}) w USING (start_date_local, current_enjoyment_house_name)
-JOIN ({_used(True)}) x USING (start_date_local, current_enjoyment_house_name)
-JOIN ({_LENGTHS}) y USING (start_date_local, current_enjoyment_house_name)
-LEFT JOIN ({_VISIT_COUNTS}) z USING (start_date_local, current_enjoyment_house_name)
-LEFT JOIN ({_BOOKINGS}) o USING (start_date_local, current_enjoyment_house_name)
-LEFT JOIN ({_TRAVEL_AVGS}) t ON t.market = a.market AND t.start_date_local = a.start_date_local
-LEFT JOIN ({_TOTALS}) p ON p.market = a.market AND p.start_date_local = a.start_date_local
-JOIN centers c ON c.name = a.current_enjoyment_house_name
-JOIN fiscal_dates f ON f.fiscal_date = a.start_date_local"""
+SELECT * EXCLUDE (market, label) REPLACE (
+    label AS current_enjoyment_house_name,
+    {', '.join(f'COALESCE({c}, 0) AS {c}' for c in _ZERO_WHEN_ABSENT)})
+FROM ({_HEADCOUNT})
+JOIN ({_PLANNED}) USING {_HOUSE_DAY}
+JOIN ({_used(True)}) USING {_HOUSE_DAY}
+JOIN ({_LENGTHS}) USING {_HOUSE_DAY}
+LEFT JOIN ({_VISIT_COUNTS}) USING {_HOUSE_DAY}
+LEFT JOIN ({_BOOKINGS}) USING {_HOUSE_DAY}
+LEFT JOIN ({_TRAVEL_AVGS}) USING (market, start_date_local)
+LEFT JOIN ({_TOTALS}) USING (market, start_date_local)
+JOIN (SELECT name AS current_enjoyment_house_name, label FROM centers)
+     USING (current_enjoyment_house_name)
+JOIN (SELECT fiscal_date AS start_date_local, week_end AS fiscal_week_end_date,
+             week_offset AS fiscal_week_offset, day_offset AS fiscal_day_offset
+      FROM fiscal_dates) USING (start_date_local)"""
 
 # --- experiments -----------------------------------------------------------
 
