@@ -13,7 +13,8 @@ events, each of those roles is a projection of one or two of its tables:
 * customers are experts and addresses, nations are centers, suppliers are zips
   and stock locations, parts are products.
 
-No role needs a window or a sort; only shifts need a shuffle (distinct user days).
+No role needs a window or a sort. Shifts and calendar days are distinct values and the
+planned headcount is a count, each reduced before its shuffle.
 """
 
 from __future__ import annotations
