@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,17 @@ from fieldkpi.sources import tables
 from fieldkpi.sources.star_roles import AS_OF, CHANGE_DATE, StarRoles
 from oracle.queries import ORACLE
 
+# The corpus operators are optional: without their folder the rest still works.
+_CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_CORPUS_ORACLE: dict[str, str] = {}
+if importlib.util.find_spec("fieldkpi.llm") and importlib.util.find_spec("corpus_pipeline"):
+    import corpus_pipeline
+    from fieldkpi.llm.oracle import ORACLE as _CORPUS_SQL
+    from fieldkpi.llm.queries import QUERIES as _CORPUS
+
+    _CORPUS_QUERIES = _CORPUS | {"pipeline": corpus_pipeline.run}
+    _CORPUS_ORACLE = _CORPUS_SQL
+
 # Zones and product list of the zone and product restricted travel samples.
 SAMPLE_SKUS = [str(n) for n in range(0, 200)]
 
@@ -479,9 +491,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every operator as a query over the tables in a directory."""
-    return {name: _registered(build) for name, build in _QUERIES.items()}
+    return {name: _registered(build) for name, build in _QUERIES.items()} | _CORPUS_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results in DuckDB SQL."""
-    return dict(ORACLE)
+    return ORACLE | _CORPUS_ORACLE
