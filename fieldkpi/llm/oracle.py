@@ -15,12 +15,12 @@ ORACLE = {
             SELECT file, page_id,
                    row_number() OVER (PARTITION BY file ORDER BY page_id) - 1 AS seq,
                    coalesce(sum(n_bytes) OVER (PARTITION BY file ORDER BY page_id
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
             FROM rec)
         SELECT file, seq, page_id AS first_id,
                CASE WHEN page_id % 1000 <> 999 THEN page_id END AS second_id,
-               at AS first_offset,
-               CASE WHEN page_id % 1000 <> 999 THEN at END AS second_offset,
+               begins AS first_offset,
+               CASE WHEN page_id % 1000 <> 999 THEN begins END AS second_offset,
                CASE WHEN page_id % 1000 = 999 THEN 'missing' ELSE 'changed' END AS fault
         FROM placed WHERE page_id % 97 = 13 OR page_id % 1000 = 999
     """,
