@@ -236,14 +236,21 @@ def mix_plan(
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixture itself: every document as often as it is taken, with its own columns.
 
-    Whether a document goes once more follows from its hash range and, in the last
-    range, its rank; texts are not shuffled but for the join on the document's id.
+    Rows that share an id are told apart by source and text; equal rows are taken together
+    as often as the plan takes them in all.
     """
+    twin = F.xxhash64("source", "text")
     plan = (
-        mix_plan(docs, seed=seed, keep=["_twin"])
+        mix_plan(docs.withColumn("_twin", twin), seed=seed, keep=["_twin"])
         .where(F.col("taken") > 0)
-        .select("doc_id", "_twin", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("_twin").alias("_key"))
+        .agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times"))
     )
-    return docs.join(plan, ["doc_id", "_twin"]).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))
+    joined = docs.withColumn("_twin", twin).join(
+        plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_twin") == F.col("_key"))
+    )
+    return (
+        joined.dropDuplicates(["_id", "_key"])
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        .select(*docs.columns)
     )

@@ -37,50 +37,54 @@ travels(wordhash.__name__)
 
 REGISTERS = 128
 ROWS = 4
+# Documents left in buckets of several components get this many, to be told apart finely.
+FINE_REGISTERS = 1024
 BASE = 1.08
 OFFSET = 40.0
 PERCENT = 80
-# Four standard errors of an estimate from 128 registers at similarity 0.8.
-MARGIN = 0.14
+# Errors an estimate at similarity 0.8 is allowed, in standard deviations.
+ERRORS = 4.5
 GROUP_ROWS = 20_000
 BLOCK = 1000
-TEXTS_AT_ONCE = 256
 
 _rng = np.random.default_rng(20240131)
-_FACTORS = _rng.integers(1, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_SHIFTS = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
+_SHIFTS, _FACTORS, _FACTORS_2 = (
+    _rng.integers(0, 1 << 32, FINE_REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(one)
+    for one in (0, 1, 1)
+)
 SKETCH_SCHEMA = "doc_id long, n_shingles long, key_a long, key_b long, registers binary"
 
 
-def registers_of(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+def registers_of(
+    row: np.ndarray, value: np.ndarray, rows: int, count: int = REGISTERS
+) -> np.ndarray:
     """SetSketch registers of each text's distinct shingles, one byte each; 0 for none.
 
     Register values fall as the exponential value grows, so the least hash decides.
     """
-    least = np.full((REGISTERS, rows), 0xFFFFFFFF, np.uint32)
+    least = np.full((count, rows), 0xFFFFFFFF, np.uint32)
     if len(row):
         starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         owners = row[starts]
         low, high = value.astype(np.uint32), (value >> np.uint64(32)).astype(np.uint32)
-        for i in range(REGISTERS):
+        for i in range(count):
             spread = (low ^ _SHIFTS[i]) * _FACTORS[i]
             spread ^= high
-            spread *= _FACTORS[-1 - i]
+            spread *= _FACTORS_2[i]
             spread ^= spread >> np.uint32(15)
             least[i, owners] = np.minimum.reduceat(spread, starts)
     uniform = (least.astype(float) + 0.5) / 2.0**32
     exponential = -np.log1p(-uniform)
     level = np.floor(OFFSET - np.log(exponential) / np.log(BASE))
-    return np.clip(level, 0, 255).astype(np.uint8).T
+    return np.ascontiguousarray(np.clip(level, 0, 255).astype(np.uint8).T)
 
 
-def set_sketches(docs: DataFrame, k: int) -> DataFrame:
+def set_sketches(docs: DataFrame, k: int, registers: int = REGISTERS) -> DataFrame:
     """Rows ``doc_id, n_shingles, key_a, key_b, registers``; equal keys mean equal sets."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                part = whole.slice(i, TEXTS_AT_ONCE)
+            for part in wordhash.slices(whole, 1):
                 n = part.num_rows
                 row, value = wordhash.distinct(
                     *wordhash.shingles(*wordhash.batch_bytes(part.column(1)), k)
@@ -90,7 +94,7 @@ def set_sketches(docs: DataFrame, k: int) -> DataFrame:
                     starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                     a[row[starts]] = np.add.reduceat(value, starts)
                     b[row[starts]] = np.add.reduceat(wordhash.mixed(~value), starts)
-                levels = registers_of(row, value, n)
+                levels = registers_of(row, value, n, registers)
                 yield pa.record_batch(
                     [
                         part.column(0).cast(pa.int64()),
@@ -130,14 +134,25 @@ def joint_similarity(
     return np.take_along_axis(grid, np.argmax(likelihood, axis=1)[:, None], axis=1)[:, 0]
 
 
+def _slack(registers: int, percent: int) -> float:
+    p = percent / 100.0
+    return ERRORS * (p * (1.0 - p) / registers) ** 0.5
+
+
 def plausible(first, second, n_first, n_second, percent: int = PERCENT) -> np.ndarray:
-    """Pairs whose sizes allow the similarity and whose sketches do not speak against it."""
+    """Pairs whose sizes allow the similarity and whose sketches do not speak against it.
+
+    Registers are equal at least as often as the sets' similarity says, which settles
+    most pairs before the likelihood is needed.
+    """
+    registers = first.shape[1]
+    least = percent / 100.0 - _slack(registers, percent)
     low, high = np.minimum(n_first, n_second), np.maximum(n_first, n_second)
-    fits = 100 * low >= percent * high
-    out = np.zeros(len(fits), bool)
-    if fits.any():
-        found = joint_similarity(first[fits], second[fits], n_first[fits], n_second[fits])
-        out[fits] = found >= percent / 100.0 - MARGIN
+    out = 100 * low >= percent * high
+    out[out] = (first[out] == second[out]).sum(axis=1) >= least * registers
+    for part in np.array_split(np.flatnonzero(out), 1 + out.sum() // 4096):
+        found = joint_similarity(first[part], second[part], n_first[part], n_second[part])
+        out[part] = found >= least
     return out
 
 
@@ -201,8 +216,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                rows = whole.slice(i, TEXTS_AT_ONCE)
+            for rows in wordhash.slices(whole, 2):
                 n = rows.num_rows
                 row_a, in_a = wordhash.distinct(
                     *wordhash.shingles(*wordhash.batch_bytes(rows.column(2)), k)
@@ -261,30 +275,37 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     def meet(found: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values(["band", "i", "j"], ignore_index=True)
         levels = np.vstack([np.frombuffer(r, np.uint8) for r in found["registers"]])
+        rough = np.ascontiguousarray(levels[:, :REGISTERS])
+        enough = (percent / 100.0 - _slack(REGISTERS, percent)) * REGISTERS
         ids, size = found["doc_id"].to_numpy(), found["n_shingles"].to_numpy()
         group, block = found["component"].to_numpy(), found["mine"].to_numpy()
         cells = found[["band", "i", "j"]].to_numpy()
         edge = np.flatnonzero(np.any(cells[1:] != cells[:-1], axis=1)) + 1
-        out: list[np.ndarray] = []
+        left, right = [np.zeros(0, int)], [np.zeros(0, int)]
         for start, stop in zip([0, *edge], [*edge, len(ids)]):
             within = cells[start, 1] == cells[start, 2]
-            for p in range(start, stop):
+            for p in range(start, stop - 1):
                 rest = np.arange(p + 1, stop)
-                other = group[rest] != group[p]
+                wanted = group[p + 1 : stop] != group[p]
                 if not within:
-                    other &= block[rest] != block[p]
-                rest = rest[other]
-                low, high = np.minimum(size[rest], size[p]), np.maximum(size[rest], size[p])
-                rest = rest[100 * low >= percent * high]
-                if len(rest):
-                    here = np.full(len(rest), p)
-                    good = plausible(
-                        levels[here], levels[rest], size[here], size[rest], percent
-                    )
-                    a, b = ids[here[good]], ids[rest[good]]
-                    out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]}).drop_duplicates()
+                    wanted &= block[p + 1 : stop] != block[p]
+                rest = rest[wanted]
+                close = 100 * np.minimum(size[rest], size[p]) >= percent * np.maximum(
+                    size[rest], size[p]
+                )
+                rest = rest[close]
+                rest = rest[(rough[rest] == rough[p]).sum(axis=1) >= enough]
+                left.append(np.full(len(rest), p))
+                right.append(rest)
+        p, q = np.concatenate(left), np.concatenate(right)
+        # A pair may share many buckets: once is enough.
+        pairs = np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])])
+        pairs, once = np.unique(pairs, axis=1, return_index=True)
+        p, q = p[once], q[once]
+        good = np.zeros(len(p), bool)
+        for at in np.array_split(np.arange(len(p)), 1 + len(p) // 4096):
+            good[at] = plausible(levels[p[at]], levels[q[at]], size[p[at]], size[q[at]], percent)
+        return pd.DataFrame({"a": pairs[0][good], "b": pairs[1][good]})
 
     return dealt.groupBy("part").applyInPandas(meet, "a long, b long").distinct()
 
@@ -329,13 +350,13 @@ def near_components(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFram
     mixed = labelled.groupBy("band").agg(
         F.min("component").alias("x"), F.max("component").alias("y")
     ).where(F.col("x") != F.col("y")).select("band")
-    open_rows = labelled.join(mixed, "band").join(
-        classes.select("doc_id", "n_shingles", "registers"), "doc_id"
-    )
-    rest = stored(
-        _cross_pairs(stored(open_rows, "open-buckets"), percent).join(tried, ["a", "b"], "left_anti"),
-        "cross-pairs",
+    open_rows = stored(labelled.join(mixed, "band"), "open-buckets")
+    open_texts = texts.join(open_rows.select("doc_id").distinct(), "doc_id")
+    fine = stored(set_sketches(open_texts, k, FINE_REGISTERS), "fine-sketches")
+    met = _cross_pairs(
+        open_rows.join(fine.select("doc_id", "n_shingles", "registers"), "doc_id"), percent
     )
+    rest = stored(met.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
     more = stored(_confirmed(rest, texts, k, percent), "cross-links")
     all_groups = connected_components(edges.unionByName(more))
     class_of = classes.select(*key, F.col("doc_id").alias("class_id"))

@@ -4,13 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldkpi.llm import fixity, hostrank, secrets
+from fieldkpi.llm import (
+    fixity,
+    hostrank,
+    leaks,
+    mixing,
+    neardup,
+    repeats,
+    secrets,
+    severity,
+    shards,
+    vectors,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_passages(
+        _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    )
+
+
+def _repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_read(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
 def _fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
     return fixity.fixity_audit(
@@ -18,16 +39,45 @@ def _fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return severity.severity_report(
+        _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    )
+
+
+def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), k=4)
+
+
 def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_read(spark, sf_dir, "documents"))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def _training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.in_slot_order(shards.training_order(_read(spark, sf_dir, "documents")))
+
+
 def _url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrank.url_verdicts(_read(spark, sf_dir, "pages"))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_spaced_seed_leaks": _leaks,
+    "op2_repeated_passages": _repeats,
     "op3_merkle_fixity": _fixity,
+    "op4_toxic_severity": _severity,
+    "op5_setsketch_near_duplicates": _near_duplicates,
     "op6_secret_entropy": _secrets,
+    "op7_pq_near_vectors": _vectors,
+    "op8_training_order": _training_order,
     "op9_host_rank": _url_filter,
+    "op10_source_mixture": _mixture,
 }

@@ -135,3 +135,17 @@ def distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
     return row[new], value[new]
+
+
+def slices(batch, column: int, rows: int = 256, most: int = 2 << 20):
+    """Parts of a batch of at most ``rows`` rows and about ``most`` bytes of text, one row at least."""
+    text = batch.column(column).cast(pa.large_binary())
+    if not len(text):
+        return
+    at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    start = 0
+    while start < len(text):
+        stop = int(np.searchsorted(at, at[start] + most, side="right")) - 1
+        stop = min(max(stop, start + 1), start + rows, len(text))
+        yield batch.slice(start, stop - start)
+        start = stop
