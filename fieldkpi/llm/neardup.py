@@ -3,7 +3,8 @@
 A text's set of k-word shingles becomes ``REGISTERS`` registers. Register i keeps
 floor(C - log_b of the least of the exponential values its shingles get); the sketch of a
 union is the register-wise maximum. Bands of ``ROWS`` registers find candidates:
-a pair of similarity 0.8 shares none of the bands with a chance of 5e-8. The likelihood of
+a pair of similarity 0.8 shares none of the 40 bands with a chance of 5e-6, while unlike
+sets share one so rarely (5e-11) that buckets do not fill with the corpus. The likelihood of
 how many registers are greater, equal and less gives a pair's similarity; pairs too
 far below the threshold go, the rest are compared on their full sets.
 
@@ -29,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldkpi.llm import wordhash
-from fieldkpi.llm.common import stored, travels
+from fieldkpi.llm.common import release, stored, travels
 from fieldkpi.llm.components import connected_components
 
 travels(__name__)
 travels(wordhash.__name__)
 
-REGISTERS = 128
-ROWS = 4
+REGISTERS = 240
+ROWS = 6
+BAND_BITS = np.uint64(63)
 # Documents left in buckets of several components get this many, to be told apart finely.
 FINE_REGISTERS = 1024
 BASE = 1.08
@@ -169,6 +171,8 @@ def band_rows(classes: DataFrame) -> DataFrame:
                 key = np.arange(count, dtype=np.uint64)[None, :] + np.uint64(1)
                 for j in range(ROWS):
                     key = wordhash.mixed((key << np.uint64(8)) ^ levels[:, :, j])
+                # The low bits name the band, so that a pair is reported by its first one only.
+                key = key & ~BAND_BITS | np.arange(count, dtype=np.uint64)[None, :]
                 ids = np.repeat(np.asarray(rows.column(0)), count)
                 yield pa.record_batch(
                     [pa.array(key.ravel().view(np.int64)), pa.array(ids)], names=["band", "doc_id"]
@@ -298,13 +302,14 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 left.append(np.full(len(rest), p))
                 right.append(rest)
         p, q = np.concatenate(left), np.concatenate(right)
-        # A pair may share many buckets: once is enough.
-        pairs = np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])])
-        pairs, once = np.unique(pairs, axis=1, return_index=True)
-        p, q = p[once], q[once]
+        # A pair may share many buckets; that of its first common band reports it.
+        slot = (cells[:, 0].astype(np.uint64) & BAND_BITS).astype(int)
         good = np.zeros(len(p), bool)
         for at in np.array_split(np.arange(len(p)), 1 + len(p) // 4096):
+            same = (rough[p[at]] == rough[q[at]]).reshape(len(at), -1, ROWS).all(axis=2)
+            at = at[np.argmax(same, axis=1) == slot[p[at]]]
             good[at] = plausible(levels[p[at]], levels[q[at]], size[p[at]], size[q[at]], percent)
+        pairs = np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])])
         return pd.DataFrame({"a": pairs[0][good], "b": pairs[1][good]})
 
     return dealt.groupBy("part").applyInPandas(meet, "a long, b long").distinct()
@@ -330,6 +335,8 @@ def near_components(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFram
     wanted = shared.select("doc_id").distinct()
     texts = stored(docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"]), "band-texts")
 
+    release(docs.sparkSession)
+
     def star(center: str) -> DataFrame:
         return (
             shared.where(F.col("doc_id") != F.col(center))
@@ -341,6 +348,7 @@ def near_components(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFram
 
     tried = stored(_likely(star("low").union(star("high")).distinct(), classes), "star-pairs")
     edges = stored(_confirmed(tried, texts, k, percent), "star-links")
+    release(docs.sparkSession)
     groups = connected_components(edges)
     labelled = (
         shared.select("band", "doc_id")
@@ -353,11 +361,14 @@ def near_components(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFram
     open_rows = stored(labelled.join(mixed, "band"), "open-buckets")
     open_texts = texts.join(open_rows.select("doc_id").distinct(), "doc_id")
     fine = stored(set_sketches(open_texts, k, FINE_REGISTERS), "fine-sketches")
+    release(docs.sparkSession)
     met = _cross_pairs(
         open_rows.join(fine.select("doc_id", "n_shingles", "registers"), "doc_id"), percent
     )
     rest = stored(met.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
+    release(docs.sparkSession)
     more = stored(_confirmed(rest, texts, k, percent), "cross-links")
+    release(docs.sparkSession)
     all_groups = connected_components(edges.unionByName(more))
     class_of = classes.select(*key, F.col("doc_id").alias("class_id"))
     group_of = all_groups.select(F.col("id").alias("class_id"), "component")
