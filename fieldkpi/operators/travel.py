@@ -138,11 +138,18 @@ def visit_travel_rows(
     """
     served = order_transfers(items, bridge)
     wanted = served if skus is None else order_transfers(items, bridge, skus)
-    pickups = wanted.select("order_id", "inventory_transfer_id").join(
-        pickup_travel(visits, served, transfers, blocks, sched).select(
-            "inventory_transfer_id", "ptt", "pttpv"
-        ),
-        "inventory_transfer_id",
+    # Equal trips of an order are one row before they meet its visits. The test on the count
+    # keeps the column alive, so that both uses of the bridge are one plan and one shuffle.
+    pickups = (
+        wanted.where(F.col("n_items") > 0)
+        .join(
+            pickup_travel(visits, served, transfers, blocks, sched).select(
+                "inventory_transfer_id", "ptt", "pttpv"
+            ),
+            "inventory_transfer_id",
+        )
+        .select("order_id", "ptt", "pttpv")
+        .distinct()
     )
     rows = visit_trips(visits, blocks, sched, *_address_column(zones), since=since)
     keys = ["visit_id", "visit_date", "market"]
@@ -232,11 +239,15 @@ def total_travel_by_date(per_visit: DataFrame) -> DataFrame:
 
 
 def shift_event_minutes(
-    sched: DataFrame, blocks: DataFrame, event_types: Sequence[str]
+    sched: DataFrame,
+    blocks: DataFrame,
+    event_types: Sequence[str],
+    shifts: DataFrame,
 ) -> DataFrame:
     """Minutes of the given events in each shift and expert.
 
-    Summed before the shifts are joined; a null sum (no usable block) stays null.
+    Only schedules of ``shifts`` (shift_id, one row each) meet the blocks. The sum comes
+    before the shifts' own columns; a null sum (no usable block) stays null.
     """
     events = blocks.where(F.col("enabled") & F.col("event_type").isin(list(event_types))).select(
         F.col("id").alias("calendar_block_id"),
@@ -244,6 +255,7 @@ def shift_event_minutes(
     )
     return (
         sched.select("calendar_block_id", "shift_id", "expert_id")
+        .join(shifts.select("shift_id"), "shift_id")
         .join(events, "calendar_block_id")
         .groupBy("shift_id", "expert_id")
         .agg(F.sum("minutes").alias("event_minutes"))
@@ -266,7 +278,7 @@ def travel_share_of_shift(
     )
     shares = (
         at_home(
-            shift_event_minutes(sched, blocks, [TRAVEL_EVENT]).join(open_shifts, "shift_id"),
+            shift_event_minutes(sched, blocks, [TRAVEL_EVENT], open_shifts).join(open_shifts, "shift_id"),
             experts,
             centers,
         )
@@ -306,7 +318,7 @@ def utilization_pvt(
     )
     per_shift = (
         at_home(
-            shift_event_minutes(sched, blocks, PVT_EVENTS).join(open_shifts, "shift_id"),
+            shift_event_minutes(sched, blocks, PVT_EVENTS, open_shifts).join(open_shifts, "shift_id"),
             experts,
             centers,
         )
@@ -423,7 +435,7 @@ def travel_metrics(
         .groupBy(*keys)
         .agg(F.avg("total_travel_time").alias("avg_total_travel_time"))
     )
-    return totals.join(visit_means, keys).join(pickup_means, keys).orderBy(*keys)
+    return totals.join(visit_means, keys).join(pickup_means, keys)
 
 
 def travel_metrics_spread(*tables: DataFrame, **options) -> DataFrame:
@@ -460,20 +472,18 @@ def travel_samples(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.unpivot(list(keys), list(TRAVEL_METRICS), "metric", "value")
 
 
-def sample_arrays(rows: DataFrame, *keys: str, max_length: int = 100_000) -> DataFrame:
-    """Samples as arrays, ``keys, part, vtt, ptt, pttpv, ttt``.
+def sample_arrays(rows: DataFrame, *keys: str, parts: int = 1) -> DataFrame:
+    """Samples as arrays, ``keys, part, vtt, ptt, pttpv, ttt``: ``parts`` rows for each group.
 
-    A group within ``max_length`` visits is one row with part 0. A larger one is
-    dealt into parts of about that length, so no task builds an unbounded array;
-    the parts together hold every sample.
+    The caller says into how many parts every group is dealt, so the shape of the result
+    does not depend on the data. One array per group suits groups that fit a task;
+    ``travel_samples`` has no such bound.
     """
-    parts = rows.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(max_length)).alias("n_parts")
-    )
-    dealt = join_same(rows, parts, keys)
-    deal = F.xxhash64("visit_id", *TRAVEL_METRICS)
+    if parts < 1:
+        raise ValueError(f"parts must be positive, not {parts}")
+    deal = F.pmod(F.xxhash64("visit_id", *TRAVEL_METRICS), F.lit(parts)).cast("int")
     return (
-        dealt.withColumn("part", F.pmod(deal, F.col("n_parts")).cast("int"))
+        rows.withColumn("part", deal)
         .groupBy(*keys, "part")
         .agg(*(F.collect_list(m).alias(m) for m in TRAVEL_METRICS))
     )

@@ -183,17 +183,19 @@ def used_hours(
         "event_type",
         hours_between("start_time", "end_time").alias("hours"),
     )
+    dated = _dated_shifts(shifts, experts, centers, start, as_of).select(
+        F.col("id").alias("shift_id"),
+        F.col("home_date").alias("start_date_local"),
+        "current_enjoyment_house_name",
+    )
+    # Only schedules of the wanted shifts meet the blocks.
     per_shift = (
         sched.select("calendar_block_id", "shift_id")
+        .join(dated.select("shift_id"), "shift_id")
         .join(block, "calendar_block_id")
         .groupBy("shift_id")
         .agg(*(F.sum(c).alias(name) for name, c in kinds.items()))
     )
-    dated = _dated_shifts(shifts, experts, centers, start, as_of).select(
-        F.col("id").alias("shift_id"),
-        F.col("home_date").alias("start_date_local"),
-        "current_enjoyment_house_name",
-    )
     return (
         dated.join(per_shift, "shift_id")
         .groupBy(*HOUSE_DAY)

@@ -29,6 +29,8 @@ def label_period(
 ) -> DataFrame:
     """Add ``period``. The change day itself is ``boundary``: before, after or dropped
     (``"exclude"``)."""
+    if boundary not in (BEFORE, AFTER, "exclude"):
+        raise ValueError(f"unknown boundary {boundary!r}")
     when, change = F.col(date), day(change_date)
     if boundary == "exclude":
         df = df.where(when != change)

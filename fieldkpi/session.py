@@ -18,9 +18,16 @@ RUNTIME_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time SQL settings to an existing session."""
+    """Apply the run-time SQL settings to an existing session.
+
+    The time zone is part of the results; the others are set only where the caller has
+    left them alone.
+    """
+    spark.conf.set("spark.sql.session.timeZone", RUNTIME_SETTINGS["spark.sql.session.timeZone"])
+    chosen = {row["key"] for row in spark.sql("SET").collect()}
     for key, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(key, value)
+        if key not in chosen:
+            spark.conf.set(key, value)
     return spark
 
 

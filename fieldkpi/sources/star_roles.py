@@ -70,24 +70,24 @@ def _case(column: str, values: dict) -> str:
 class StarRoles:
     """Roles over one directory of Parquet tables; ``roles["visits"]`` is a DataFrame.
 
-    Each table is opened, and each role defined, once. Schemas are remembered for the
-    process, because finding one takes a job that reads file footers.
+    Each table is opened, and each role defined, once per object, so a new object sees what
+    the files hold now. Finding a schema takes a job that reads footers; a caller who knows
+    the schemas may pass them in.
     """
 
-    _schemas: dict[tuple[str, str], StructType] = {}
-
-    def __init__(self, spark: SparkSession, directory: str):
+    def __init__(
+        self, spark: SparkSession, directory: str, schemas: dict[str, StructType] | None = None
+    ):
         self._spark = spark
         self._directory = directory
+        self._schemas = dict(schemas or {})
         self._tables: dict[str, DataFrame] = {}
         self._roles: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            key = (self._directory, name)
-            df = read_table(self._spark, self._directory, name, self._schemas.get(key))
-            self._schemas[key] = df.schema
-            self._tables[name] = df
+            schema = self._schemas.get(name)
+            self._tables[name] = read_table(self._spark, self._directory, name, schema)
         return self._tables[name]
 
     def __getitem__(self, role: str) -> DataFrame:

@@ -33,7 +33,7 @@ def settings_of(spark, settings: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry._QUERIES))
 def test_no_cross_join_and_no_row_python(name, spark, sf_dir):
     text = plan(registry.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in text

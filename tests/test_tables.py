@@ -37,3 +37,12 @@ def test_every_role_reads(spark, sf_dir):
     roles = StarRoles(spark, sf_dir)
     for name in ROLE_NAMES:
         assert roles[name].limit(1).count() == 1, name
+
+
+def test_a_rewritten_table_is_read_anew(spark, tmp_path):
+    path = f"{tmp_path}/nation.parquet"
+    spark.range(3).toDF("old").write.parquet(path)
+    assert StarRoles(spark, str(tmp_path)).table("nation").columns == ["old"]
+    spark.range(5, 8).toDF("new").write.mode("overwrite").parquet(path)
+    again = StarRoles(spark, str(tmp_path)).table("nation")
+    assert sorted(r.new for r in again.collect()) == [5, 6, 7]

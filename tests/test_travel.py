@@ -110,8 +110,13 @@ def test_stats_samples_and_arrays(trip_tables):
 
     whole = travel.sample_arrays(found, "visit_date")
     assert [sorted(r.ptt) for r in whole.collect()] == [[4.0, 30.0, 30.0]]
-    pieces = travel.sample_arrays(found, "visit_date", max_length=1)
+    pieces = travel.sample_arrays(found, "visit_date", parts=3)
     assert sorted(v for r in pieces.collect() for v in r.ptt) == [4.0, 30.0, 30.0]
+    # Three copies of every row: a larger group is still one row per part.
+    tripled = found.union(found).union(found)
+    assert travel.sample_arrays(tripled, "visit_date").count() == 1
+    with pytest.raises(ValueError):
+        travel.sample_arrays(found, "visit_date", parts=0)
     for arrays in (whole, pieces):
         assert rows(travel.array_means(arrays, "visit_date"), "ptt") == [(64 / 3,)]
         assert travel.explode_arrays(arrays, "visit_date").count() == 12
