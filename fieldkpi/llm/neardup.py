@@ -306,7 +306,9 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
         slot = (cells[:, 0].astype(np.uint64) & BAND_BITS).astype(int)
         good = np.zeros(len(p), bool)
         for at in np.array_split(np.arange(len(p)), 1 + len(p) // 4096):
-            same = (rough[p[at]] == rough[q[at]]).reshape(len(at), -1, ROWS).all(axis=2)
+            same = (rough[p[at]] == rough[q[at]]).reshape(
+                    len(at), REGISTERS // ROWS, ROWS
+                ).all(axis=2)
             at = at[np.argmax(same, axis=1) == slot[p[at]]]
             good[at] = plausible(levels[p[at]], levels[q[at]], size[p[at]], size[q[at]], percent)
         pairs = np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])])
