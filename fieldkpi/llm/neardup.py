@@ -306,9 +306,8 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
         slot = (cells[:, 0].astype(np.uint64) & BAND_BITS).astype(int)
         good = np.zeros(len(p), bool)
         for at in np.array_split(np.arange(len(p)), 1 + len(p) // 4096):
-            same = (rough[p[at]] == rough[q[at]]).reshape(
-                    len(at), REGISTERS // ROWS, ROWS
-                ).all(axis=2)
+            equal = rough[p[at]] == rough[q[at]]
+            same = equal.reshape(len(at), REGISTERS // ROWS, ROWS).all(axis=2)
             at = at[np.argmax(same, axis=1) == slot[p[at]]]
             good[at] = plausible(levels[p[at]], levels[q[at]], size[p[at]], size[q[at]], percent)
         pairs = np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])])
@@ -329,9 +328,13 @@ def near_components(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFram
         "set-classes",
     )
     bands = stored(band_rows(classes), "bands")
-    buckets = bands.groupBy("band").agg(
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
-    ).where(F.col("low") != F.col("high"))
+    # Stored before it is joined, so that a hot band's rows can be split.
+    buckets = stored(
+        bands.groupBy("band")
+        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        .where(F.col("low") != F.col("high")),
+        "buckets",
+    )
     shared = stored(bands.join(buckets, "band"), "shared-bands")
     # Later rounds read only the texts of documents that share a band with another.
     wanted = shared.select("doc_id").distinct()

@@ -166,14 +166,18 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     ``lo + p`` also starts elsewhere."""
     spark = docs.sparkSession
     phrases = parse(docs)
-    cores = (
+    # Stored before it is joined: a join whose side is an aggregate's own shuffle cannot be
+    # split when a core is hot.
+    cores = stored(
         phrases.groupBy("core")
         .agg(
             F.count(F.lit(1)).alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high")
         )
         .where(F.col("n") > 1)
-        .select("core", (F.col("low") == F.col("high")).alias("same"))
+        .select("core", (F.col("low") == F.col("high")).alias("same")),
+        "cores",
     )
+    release(spark)
     again = stored(phrases.join(cores, "core"), "repeated-cores")
     release(spark)
     mixed = again.where(~F.col("same"))
@@ -186,12 +190,16 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     )
     suffixes = stored(_suffixes(dictionary, docs), "suffixes")
     release(spark)
-    ranks = suffixes.groupBy("core", "suffix").agg(F.sum("n").alias("total")).where(
-        F.col("total") > 1
+    ranks = stored(
+        suffixes.groupBy("core", "suffix")
+        .agg(F.sum("n").alias("total"))
+        .where(F.col("total") > 1)
+        .select("core", "suffix"),
+        "suffix-ranks",
     )
     marks = stored(
         suffixes.select("core", "phrase", "place", "suffix")
-        .join(ranks.select("core", "suffix"), ["core", "suffix"])
+        .join(ranks, ["core", "suffix"])
         .groupBy("core", "phrase")
         .agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("starts")),
         "phrase-marks",
