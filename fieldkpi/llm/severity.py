@@ -58,8 +58,9 @@ class Model:
         return np.diff(edges, axis=1)
 
 
-def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
-    """Rows ``row, toxic, word, n`` of at most ``sample`` documents of each label.
+def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+    """Rows ``row, toxic, word, n`` of at most ``sample`` documents of each label, with words
+    as hashes, and the words by hash. Both come as Arrow columns, not as Python objects.
 
     The sample is drawn by a hash of the id, so it is the same in every run. Only it is
     broadcast (two times ``sample`` ids), and only its word counts come to the driver.
@@ -87,7 +88,10 @@ def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     counted = texts.mapInPandas(count, "row long, toxic int, word string, n int")
     common = counted.groupBy("word").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= MIN_DOCS)
-    return counted.join(common, "word").select("row", "toxic", "word", "n").toPandas()
+    key = F.xxhash64("word").alias("key")
+    rows = counted.join(common, "word").select("row", "toxic", key, "n").toArrow()
+    names = common.select(key, "word").toArrow()
+    return rows, dict(zip(names["key"].to_pylist(), names["word"].to_pylist()))
 
 
 def derive_grades(
@@ -154,20 +158,23 @@ def fit_ordinal(
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    found = labelled_words(docs, labels, sample)
-    if found["toxic"].nunique() < 2:
+    found, spelled = labelled_words(docs, labels, sample)
+    label = found["toxic"].to_numpy()
+    if len(np.unique(label)) < 2:
         return Model()
-    found = found.sort_values(["row", "word"], ignore_index=True)
-    rows, keys = pd.factorize(found["row"])
-    words, names = pd.factorize(found["word"])
+    # In order of document and word, so that sums of doubles come out the same in every run.
+    order = np.lexsort((found["key"].to_numpy(), found["row"].to_numpy()))
+    keys, rows = np.unique(found["row"].to_numpy()[order], return_inverse=True)
+    hashes, words = np.unique(found["key"].to_numpy()[order], return_inverse=True)
+    names = [spelled[int(h)] for h in hashes]
     toxic = np.zeros(len(keys), int)
-    toxic[rows] = found["toxic"].to_numpy()
-    counts = found["n"].to_numpy(float)
+    toxic[rows] = label[order]
+    counts = found["n"].to_numpy()[order].astype(float)
     grades = derive_grades(rows, words, counts, toxic)
     weights, thresholds = fit_ordinal(rows, words, 1.0 + np.log(counts), grades, len(names))
     kept = np.abs(weights) > 1e-4
     return Model(
-        {str(w): float(v) for w, v in zip(names[kept], weights[kept])},
+        {names[i]: float(weights[i]) for i in np.flatnonzero(kept)},
         [float(t) for t in thresholds],
     )
 
