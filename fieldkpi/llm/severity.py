@@ -33,7 +33,9 @@ travels(__name__)
 
 SAMPLE = 4000
 GRADES = 4
-REJECT_AT = 0.5
+REJECT_AT = 0.2
+# Standard errors by which a word's share of toxic documents must differ to be a feature.
+MIN_Z = 4.0
 MIN_DOCS = 4
 _WORD = re.compile(r"\w+")
 
@@ -157,6 +159,17 @@ def fit_ordinal(
     return params[:n_cols], params[n_cols] + np.concatenate([[0.0], np.cumsum(gaps)])
 
 
+def telling(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Words whose shares of toxic and of clean documents differ by ``MIN_Z`` errors."""
+    n = int(words.max()) + 1
+    bad = toxic[rows] == 1
+    n_bad, n_good = int((toxic == 1).sum()), int((toxic == 0).sum())
+    in_bad, in_good = np.bincount(words[bad], minlength=n), np.bincount(words[~bad], minlength=n)
+    p = (in_bad + in_good) / (n_bad + n_good)
+    error = np.sqrt(p * (1 - p) * (1 / n_bad + 1 / n_good) + 1e-12)
+    return np.abs(in_bad / n_bad - in_good / n_good) >= MIN_Z * error
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     found, spelled = labelled_words(docs, labels, sample)
     label = found["toxic"].to_numpy()
@@ -171,7 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     toxic[rows] = label[order]
     counts = found["n"].to_numpy()[order].astype(float)
     grades = derive_grades(rows, words, counts, toxic)
-    weights, thresholds = fit_ordinal(rows, words, 1.0 + np.log(counts), grades, len(names))
+    used = telling(rows, words, toxic)[words]
+    weights, thresholds = fit_ordinal(
+        rows[used], words[used], 1.0 + np.log(counts[used]), grades, len(names)
+    )
     kept = np.abs(weights) > 1e-4
     return Model(
         {names[i]: float(weights[i]) for i in np.flatnonzero(kept)},

@@ -299,8 +299,8 @@ def test_leaks(spark, empty):
 
 
 def test_severity_on_held_out_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/../sf0.01/labels.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/../sf0.1/labels.parquet")
     test = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     model = severity.train(docs, labels.where(~test))
     assert model.thresholds == sorted(model.thresholds)
