@@ -43,7 +43,9 @@ SAMPLE_SKUS = [str(n) for n in range(0, 200)]
 
 
 def _events(s: StarRoles, event_type: str = PICKUP_EVENT) -> DataFrame:
-    return located.located_events(*s.get("blocks", "sched", "experts", "centers"), event_type)
+    return located.located_events(
+        s.blocks_of(event_type), *s.get("sched", "experts", "centers"), event_type
+    )
 
 
 def _units(s: StarRoles) -> DataFrame:
@@ -56,13 +58,17 @@ def _partner_units(s: StarRoles, exclude_canceled: bool = False) -> DataFrame:
     )
 
 
-_TRAVEL_TABLES = (
-    "visits", "items", "bridge", "transfers", "blocks", "sched", "experts", "centers",
-)
+def _travel_tables(s: StarRoles) -> list[DataFrame]:
+    """The inputs of the travel reports, which use the blocks of trips only."""
+    return [
+        *s.get("visits", "items", "bridge", "transfers"),
+        s.blocks_of(TRAVEL_EVENT),
+        *s.get("sched", "experts", "centers"),
+    ]
 
 
 def _travel_rows(s: StarRoles, **options) -> DataFrame:
-    return travel.visit_travel_rows(*s.get(*_TRAVEL_TABLES), **options)
+    return travel.visit_travel_rows(*_travel_tables(s), **options)
 
 
 def _zone_rows(s: StarRoles, **options) -> DataFrame:
@@ -76,7 +82,7 @@ def _history(s: StarRoles) -> DataFrame:
 
 
 def _pickup_trips(s: StarRoles) -> DataFrame:
-    return travel.pickup_travel_hours(*s.get("blocks", "sched", "transfers"))
+    return travel.pickup_travel_hours(s.blocks_of(TRAVEL_EVENT), *s.get("sched", "transfers"))
 
 
 def _samples(s: StarRoles) -> DataFrame:
@@ -131,7 +137,7 @@ def _daily_stats(s: StarRoles) -> DataFrame:
 
 def _daily_kpis(s: StarRoles, two_weeks: bool) -> DataFrame:
     """The daily travel metrics of each market as samples, without the change day."""
-    daily = travel.travel_metrics(*s.get(*_TRAVEL_TABLES))
+    daily = travel.travel_metrics(*_travel_tables(s))
     if two_weeks:
         daily = experiment.around(daily, "visit_date", CHANGE_DATE, days=10, inclusive=False)
     long = experiment.long_metrics(daily, ["visit_date", "market"], _KPIS)
@@ -244,6 +250,9 @@ _QUERIES: dict[str, Callable[[StarRoles], DataFrame]] = {
     "ped_by_week": lambda s: ped_views.ped_by_week(
         *s.get("transfers", "fiscal_dates", "experts")
     ),
+    "ped_by_week_of_pickups": lambda s: ped_views.ped_by_week(
+        *s.get("pickups", "fiscal_dates", "experts")
+    ),
     "ped_by_region": lambda s: ped_views.ped_by_region(*s.get("transfers", "experts")),
     "ped_by_region_of_pickups": lambda s: ped_views.ped_by_region(*s.get("pickups", "experts")),
     "ped_by_expert": lambda s: ped_views.ped_by_expert(*s.get("transfers", "experts")),
@@ -273,12 +282,12 @@ _QUERIES: dict[str, Callable[[StarRoles], DataFrame]] = {
     ),
     "upp_overall": lambda s: units.upp_overall(*s.get("items", "bridge", "transfers")),
     # Travel
-    "apportioned_travel": lambda s: travel.apportioned_travel(*s.get(*_TRAVEL_TABLES)),
+    "apportioned_travel": lambda s: travel.apportioned_travel(*_travel_tables(s)),
     "total_travel": lambda s: travel.total_travel(
-        travel.apportioned_travel(*s.get(*_TRAVEL_TABLES))
+        travel.apportioned_travel(*_travel_tables(s))
     ),
     "total_travel_by_date": lambda s: travel.total_travel_by_date(
-        travel.apportioned_travel(*s.get(*_TRAVEL_TABLES), by_market=False)
+        travel.apportioned_travel(*_travel_tables(s), by_market=False)
     ),
     "travel_share_of_shift": lambda s: travel.travel_share_of_shift(
         *s.get("shifts", "sched", "blocks", *_PLACE)
@@ -293,10 +302,10 @@ _QUERIES: dict[str, Callable[[StarRoles], DataFrame]] = {
         _pickup_trips(s), s["experts"]
     ),
     "travel_hours_overall": lambda s: travel.travel_hours_overall(_pickup_trips(s)),
-    "travel_metrics": lambda s: travel.travel_metrics(*s.get(*_TRAVEL_TABLES)),
-    "travel_metrics_spread": lambda s: travel.travel_metrics_spread(*s.get(*_TRAVEL_TABLES)),
+    "travel_metrics": lambda s: travel.travel_metrics(*_travel_tables(s)),
+    "travel_metrics_spread": lambda s: travel.travel_metrics_spread(*_travel_tables(s)),
     "travel_metrics_of_partner": lambda s: travel.travel_metrics_spread(
-        *s.get(*_TRAVEL_TABLES),
+        *_travel_tables(s),
         partner_orders=s["order_master"].where(partner_label() == CART_PARTNER),
     ),
     "visit_travel_rows": lambda s: _travel_rows(s),
@@ -399,6 +408,11 @@ _QUERIES: dict[str, Callable[[StarRoles], DataFrame]] = {
     )
     .groupBy("day", "metric", "period")
     .agg(F.avg("value").alias("value")),
+    "experiment_two_weeks_with_ends": lambda s: _periods(
+        experiment.around(_samples(s), "day", CHANGE_DATE, days=14, inclusive=True), "before"
+    )
+    .groupBy("day", "metric", "period")
+    .agg(F.avg("value").alias("value")),
     "experiment_until": lambda s: experiment.until(_samples(s), "day", "2024-01-30")
     .groupBy("day")
     .agg(F.count(F.lit(1)).alias("n")),

@@ -98,6 +98,15 @@ class StarRoles:
     def get(self, *roles: str) -> list[DataFrame]:
         return [self[r] for r in roles]
 
+    def blocks_of(self, event_type: str) -> DataFrame:
+        """The blocks of one type, chosen by the log's own type, which a scan can test."""
+        role = f"blocks of {event_type}"
+        if role not in self._roles:
+            raw = [k for k, v in _EVENT_TYPES.items() if v == event_type]
+            chosen = self.table("events").where(F.col("event_type").isin(raw))
+            self._roles[role] = _as_blocks(chosen)
+        return self._roles[role]
+
 
 def _centers(s: StarRoles) -> DataFrame:
     return (
@@ -126,7 +135,11 @@ def _experts(s: StarRoles) -> DataFrame:
 
 
 def _blocks(s: StarRoles) -> DataFrame:
-    return s.table("events").selectExpr(
+    return _as_blocks(s.table("events"))
+
+
+def _as_blocks(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id AS id",
         "event_id DIV 5 AS event_id",
         f"{_case('event_type', _EVENT_TYPES)} AS event_type",

@@ -151,14 +151,19 @@ FROM (SELECT sku, AVG(rate) AS rate
       GROUP BY sku) x
 JOIN part ON CAST(p_partkey AS VARCHAR) = x.sku"""
 
-_SQL["ped_by_week"] = f"""
+def _by_week(daily: str) -> str:
+    return f"""
 SELECT x.expert_id, e.full_name AS expert, {r2('AVG(x.n)', 'avg_weekly_pickups')}
 FROM (SELECT f.week_end, d.expert_id, SUM(d.n) AS n
-      FROM {_T_DAILY} d JOIN fiscal_dates f ON f.fiscal_date = d.d GROUP BY ALL) x
+      FROM {daily} d JOIN fiscal_dates f ON f.fiscal_date = d.d GROUP BY ALL) x
 JOIN experts e ON e.expert_id = x.expert_id
 GROUP BY x.expert_id, e.full_name"""
 
 
+_SQL["ped_by_week"] = _by_week(_T_DAILY)
+_SQL["ped_by_week_of_pickups"] = _by_week(_P_DAILY)
+
+
 def _by_region(daily: str) -> str:
     return f"""
 SELECT e.house_name AS market, {r2('AVG(x.rate)', 'ped')}
@@ -734,6 +739,11 @@ _SQL["experiment_two_weeks"] = f"""
 SELECT day, metric, period, {r('AVG(value)', 'value')}
 FROM {_labelled(_RAW, "day > DATE '2024-01-01' AND day < DATE '2024-01-29'")}
 GROUP BY day, metric, period"""
+_SQL["experiment_two_weeks_with_ends"] = f"""
+SELECT day, metric, period, {r('AVG(value)', 'value')}
+FROM (SELECT *, CASE WHEN day <= DATE '2024-01-15' THEN 'before' ELSE 'after' END AS period
+      FROM {_RAW} WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-29')
+GROUP BY day, metric, period"""
 _SQL["experiment_until"] = f"""
 SELECT day, COUNT(*) AS n FROM {_RAW} WHERE day < DATE '2024-01-30' GROUP BY day"""
 _TREATED = f"(SELECT * FROM {_labelled(_RAW)} WHERE period = 'before' OR zone = 'LA-A')"

@@ -78,6 +78,14 @@ def test_filters_and_columns_reach_the_scan(spark, stored):
     assert "end_time" not in text
 
 
+def test_mapped_event_type_reaches_the_scan(spark, sf_dir):
+    """The role maps the log's types; the test on the mapped one is a test on the log's."""
+    with settings_of(spark, {"spark.sql.maxMetadataStringLength": "2000"}):
+        text = plan(registry.queries()["ped"](spark, sf_dir))
+    pushed = re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", text)
+    assert any("EqualTo(event_type,view)" in p for p in pushed)
+
+
 def test_hot_expert_is_split(spark, stored):
     """One expert owning nearly all blocks: the join is split, the result is whole."""
     settings = {
