@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldkpi.functions.labels import CART_PARTNER, PICKUP_EVENT, TRAVEL_EVENT, partner_label
+from fieldkpi.functions.times import shift_day
 from fieldkpi.operators import (
     located,
     orders,
@@ -137,7 +138,8 @@ def _daily_stats(s: StarRoles) -> DataFrame:
 
 def _daily_kpis(s: StarRoles, two_weeks: bool) -> DataFrame:
     """The daily travel metrics of each market as samples, without the change day."""
-    daily = travel.travel_metrics(*_travel_tables(s))
+    around = (shift_day(CHANGE_DATE, -10), shift_day(CHANGE_DATE, 10))
+    daily = travel.travel_metrics(*_travel_tables(s), between=around if two_weeks else None)
     if two_weeks:
         daily = experiment.around(daily, "visit_date", CHANGE_DATE, days=10, inclusive=False)
     long = experiment.long_metrics(daily, ["visit_date", "market"], _KPIS)
@@ -316,7 +318,10 @@ _QUERIES: dict[str, Callable[[StarRoles], DataFrame]] = {
     ),
     "travel_stats_of_zone": lambda s: travel.travel_stats(_zone_rows(s), "zone", with_min=False),
     "travel_stats_by_period": lambda s: travel.travel_stats_by_period(
-        _travel_rows(s), CHANGE_DATE, "2024-01-01", "2024-01-29"
+        _travel_rows(s, between=("2024-01-01", "2024-01-29")),
+        CHANGE_DATE,
+        "2024-01-01",
+        "2024-01-29",
     ),
     "travel_samples": lambda s: travel.travel_samples(
         _travel_rows(s, skus=SAMPLE_SKUS), "visit_id", "visit_date", "market"
@@ -498,9 +503,9 @@ def _registered(build: Callable[[StarRoles], DataFrame]):
     return run
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    """Flagship query: the metrics deck on the smallest tables."""
-    return queries()["metrics_deck"](spark, "/root/testdata/sf0.001")
+def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
+    """Flagship query: the metrics deck, on the smallest tables unless told."""
+    return queries()["metrics_deck"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,107 +1,79 @@
 """Exact quantiles of groups that may be far larger than one task.
 
-Spark's exact percentile keeps every distinct value of a group in one buffer.
-Here a bounded sketch first brackets each wanted rank; exact counts say how many
-values lie below the bracket, and only the few values inside it are ordered.
+Spark's exact percentile keeps every distinct value of a group in one buffer. Here
+the counted values are dealt out by range. Each range of a group adds up to one row,
+the running sum of these rows tells which range holds a wanted rank, and only the
+values of that range are ordered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldkpi.functions.joins import join_same
 
-# The sketch misses a rank by at most n / _ACCURACY; brackets reach twice as far.
-# Of a billion values about 40,000 then lie inside one and are ordered.
-_ACCURACY = 100_000
-_SLACK = 2.0 / _ACCURACY
 
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows ``keys, _v, _c``: one row stands for all copies of a value.
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]
-) -> DataFrame:
-    """Rows ``keys, prob, n, quantile`` with linear interpolation between ranks.
-
-    Should a bracket miss its rank, that group falls back to all of its values, so
-    the result is exact whatever the sketch returns.
+    Durations repeat, and a large group is spread over the tasks by value.
     """
-    keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    low = [max(0.0, p - _SLACK) for p in probs]
-    high = [min(1.0, p + _SLACK) for p in probs]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", [*low, *high], _ACCURACY).alias("_bounds"),
+    rows = df.where(F.col(value).isNotNull())
+    return (
+        rows.select(*keys, F.col(value).cast("double").alias("_v"))
+        .groupBy(*keys, "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
 
-    # Durations repeat: from here on one row stands for all copies of a value, and a
-    # large group is spread over the tasks by value.
-    values = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
 
-    m = len(probs)
-    def rows_where(test: Column) -> Column:
-        return F.sum(F.when(test, F.col("_c")).otherwise(0))
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]
+) -> DataFrame:
+    """Rows ``keys, prob, n, quantile`` with linear interpolation between ranks."""
+    return quantiles_of_counts(value_counts(df, keys, value), keys, probs)
 
-    counts = []
-    for i in range(m):
-        low_i, high_i = F.get("_bounds", F.lit(i)), F.get("_bounds", F.lit(m + i))
-        counts.append(rows_where(F.col("_v") < low_i).alias(f"_below_{i}"))
-        counts.append(rows_where(F.col("_v") <= high_i).alias(f"_upto_{i}"))
-    counted = (
-        join_same(values, sketch, keys)
-        .groupBy(*keys)
-        .agg(F.any_value("_n").alias("_n"), F.any_value("_bounds").alias("_bounds"), *counts)
-    )
 
-    brackets = counted.select(
-        *keys,
-        F.col("_n"),
-        F.inline(
-            F.array(
-                *(
-                    F.struct(
-                        F.lit(float(p)).alias("prob"),
-                        F.get("_bounds", F.lit(i)).alias("_lo"),
-                        F.get("_bounds", F.lit(m + i)).alias("_hi"),
-                        F.col(f"_below_{i}").alias("_below"),
-                        F.col(f"_upto_{i}").alias("_upto"),
-                    )
-                    for i, p in enumerate(probs)
-                )
-            )
-        ),
+def quantiles_of_counts(
+    values: DataFrame, keys: Sequence[str], probs: Sequence[float]
+) -> DataFrame:
+    """``exact_quantiles`` of rows ``keys, _v, _c``."""
+    keys = list(keys)
+    # The bounds of a range are its own least and greatest value, so the result does not
+    # depend on where Spark's sample cuts; a window below orders one range at the most.
+    ranges = (
+        values.repartitionByRange(*keys, "_v")
+        .groupBy(*keys, F.spark_partition_id().alias("_range"))
+        .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_size"))
+    )
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_size").over(
+        group.orderBy("_lo").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     rank = (F.col("_n") - 1) * F.col("prob")
-    holds = (F.col("_below") <= F.col("_first")) & (F.col("_upto") > F.col("_last"))
-    brackets = (
-        brackets.withColumn("_first", F.floor(rank))
+    wanted = (
+        ranges.withColumn("_n", F.sum("_size").over(group))
+        .withColumn("_upto", upto)
+        .withColumn("_below", F.col("_upto") - F.col("_size"))
+        .withColumn("prob", F.explode(F.array(*(F.lit(float(p)) for p in probs))))
+        .withColumn("_first", F.floor(rank))
         .withColumn("_last", F.ceil(rank))
         .withColumn("_part", rank - F.floor(rank))
-        .withColumn("_holds", holds)
-        .select(
-            *keys,
-            "prob",
-            "_n",
-            "_first",
-            "_last",
-            "_part",
-            F.when(F.col("_holds"), F.col("_lo")).otherwise(F.lit(float("-inf"))).alias("_lo"),
-            F.when(F.col("_holds"), F.col("_hi")).otherwise(F.lit(float("inf"))).alias("_hi"),
-            F.when(F.col("_holds"), F.col("_below")).otherwise(F.lit(0)).alias("_below"),
-        )
+        # The two ranks around a quantile may lie in two ranges.
+        .where((F.col("_below") <= F.col("_last")) & (F.col("_first") < F.col("_upto")))
+        .select(*keys, "prob", "_n", "_first", "_last", "_part", "_lo", "_hi", "_below")
     )
 
-    inside = join_same(values, brackets, keys).where(
+    inside = join_same(values, wanted, keys).where(
         F.col("_v").between(F.col("_lo"), F.col("_hi"))
     )
-    ordered = Window.partitionBy(*keys, "prob").orderBy("_v")
-    upto = F.col("_below") + F.sum("_c").over(
+    ordered = Window.partitionBy(*keys, "prob", "_below").orderBy("_v")
+    end = F.col("_below") + F.sum("_c").over(
         ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = inside.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_c"))
+    placed = inside.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_c"))
 
     def at(position: str):
         here = (F.col("_start") <= F.col(position)) & (F.col(position) < F.col("_end"))

@@ -10,6 +10,7 @@ from fieldkpi.functions.times import (
     DEFAULT_SINCE,
     Day,
     could_be_after,
+    could_be_between,
     day,
     local_date,
     minutes_between,
@@ -37,11 +38,21 @@ def at_home(
     return rows.join(house, expert).join(center, "center_id").drop("center_id")
 
 
-def enabled_blocks(blocks: DataFrame, *event_types: str, since: Day | None = None) -> DataFrame:
-    """Enabled calendar blocks of the given types; the tests reach the scan."""
+def enabled_blocks(
+    blocks: DataFrame,
+    *event_types: str,
+    since: Day | None = None,
+    between: tuple[Day, Day] | None = None,
+) -> DataFrame:
+    """Enabled calendar blocks of the given types; the tests reach the scan.
+
+    ``since`` and ``between`` (first and last local day) keep all rows that could qualify.
+    """
     kept = blocks.where(F.col("enabled") & F.col("event_type").isin(*event_types))
     if since is not None:
         kept = kept.where(could_be_after("start_time", since))
+    if between is not None:
+        kept = kept.where(could_be_between("start_time", *between))
     return kept.select(
         F.col("id").alias("calendar_block_id"),
         "event_id",
@@ -52,10 +63,14 @@ def enabled_blocks(blocks: DataFrame, *event_types: str, since: Day | None = Non
 
 
 def scheduled_events(
-    blocks: DataFrame, sched: DataFrame, *event_types: str, since: Day | None = None
+    blocks: DataFrame,
+    sched: DataFrame,
+    *event_types: str,
+    since: Day | None = None,
+    between: tuple[Day, Day] | None = None,
 ) -> DataFrame:
     """Enabled blocks with the expert who was scheduled for them."""
-    return enabled_blocks(blocks, *event_types, since=since).join(
+    return enabled_blocks(blocks, *event_types, since=since, between=between).join(
         sched.select("calendar_block_id", "expert_id"), "calendar_block_id"
     )
 

@@ -100,10 +100,15 @@ def pickup_travel(
 
 
 def visit_trips(
-    visits: DataFrame, blocks: DataFrame, sched: DataFrame, *keep: str, since: Day | None = None
+    visits: DataFrame,
+    blocks: DataFrame,
+    sched: DataFrame,
+    *keep: str,
+    since: Day | None = None,
+    between: tuple[Day, Day] | None = None,
 ) -> DataFrame:
     """The trip of each visit, with the expert of the visit and of the block."""
-    trips = scheduled_events(blocks, sched, TRAVEL_EVENT, since=since).select(
+    trips = scheduled_events(blocks, sched, TRAVEL_EVENT, since=since, between=between).select(
         F.col("event_id").alias("travel_time_id"),
         F.col("expert_id").alias("trip_expert_id"),
         "start_time",
@@ -128,13 +133,15 @@ def visit_travel_rows(
     addresses: DataFrame | None = None,
     market: str | None = None,
     since: Day | None = None,
+    between: tuple[Day, Day] | None = None,
 ) -> DataFrame:
     """One row per visit and distinct trips: ``visit_id, visit_date, market[, zone]`` and
     the four metrics in minutes.
 
     ``skus`` limits the visits to orders with such an item. The shared pickup
     trip is still divided among all its visits. ``zones`` (zip, zone) with
-    ``addresses`` (address_id, zip) adds the zone of the meeting address.
+    ``addresses`` (address_id, zip) adds the zone of the meeting address. ``between`` keeps
+    visits of these local days and reaches the scan of their trips; a pickup may lie on any day.
     """
     served = order_transfers(items, bridge)
     wanted = served if skus is None else order_transfers(items, bridge, skus)
@@ -151,7 +158,7 @@ def visit_travel_rows(
         .select("order_id", "ptt", "pttpv")
         .distinct()
     )
-    rows = visit_trips(visits, blocks, sched, *_address_column(zones), since=since)
+    rows = visit_trips(visits, blocks, sched, *_address_column(zones), since=since, between=between)
     keys = ["visit_id", "visit_date", "market"]
     if zones is not None:
         address = addresses.select(F.col("address_id").alias("meeting_address_id"), "zip")
@@ -166,6 +173,8 @@ def visit_travel_rows(
         rows = rows.where(F.col("market") == market)
     if since is not None:
         rows = rows.where(F.col("visit_date") > day(since))
+    if between is not None:
+        rows = rows.where(F.col("visit_date").between(*map(day, between)))
     return rows.groupBy(*keys, "ptt", "vtt", "pttpv").agg(
         F.min(F.col("vtt") + F.col("pttpv")).alias("ttt")
     )
@@ -378,20 +387,25 @@ def travel_metrics(
     since: Day = DEFAULT_SINCE,
     partner_orders: DataFrame | None = None,
     spread: bool = False,
+    between: tuple[Day, Day] | None = None,
 ) -> DataFrame:
     """Mean visit, pickup, pickup-per-visit and total travel by local day and market.
 
     Visit and pickup trips are placed by the expert of the trip, totals by the
     expert of the visit. A visit trip counts once per item, as in a plain join.
     ``partner_orders`` (order_id) limits the visits; ``spread`` adds the sample
-    deviation and range of pickup trips.
+    deviation and range of pickup trips; ``between`` keeps these local days, and reaches the
+    scan of the visits' trips.
     """
     if partner_orders is not None:
         visits = visits.join(partner_orders.select("order_id").dropDuplicates(), "order_id")
     served = order_transfers(items, bridge)
     pickups = pickup_travel(visits, served, transfers, blocks, sched)
-    trips = visit_trips(visits, blocks, sched, since=since)
+    trips = visit_trips(visits, blocks, sched, since=since, between=between)
     keys = ["visit_date", "market"]
+    in_time = F.col("visit_date") > day(since)
+    if between is not None:
+        in_time &= F.col("visit_date").between(*map(day, between))
 
     known = transfers.select(F.col("id").alias("inventory_transfer_id"))
     items_of_order = (
@@ -402,7 +416,7 @@ def travel_metrics(
     visit_means = (
         at_home(trips.join(items_of_order, "order_id"), experts, centers, "trip_expert_id")
         .withColumn("visit_date", local_date("start_time", "time_zone"))
-        .where(F.col("visit_date") > day(since))
+        .where(in_time)
         .groupBy(*keys)
         .agg(
             ratio(
@@ -425,13 +439,14 @@ def travel_metrics(
     pickup_means = (
         at_home(pickups, experts, centers, "pickup_expert_id")
         .withColumn("visit_date", local_date("pickup_start", "time_zone"))
-        .where(F.col("visit_date") > day(since))
+        .where(in_time)
         .groupBy(*keys)
         .agg(*measures)
     )
 
     totals = (
         _smallest_totals(trips, served, pickups, experts, centers, since, ["visit_id", *keys])
+        .where(in_time)
         .groupBy(*keys)
         .agg(F.avg("total_travel_time").alias("avg_total_travel_time"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldkpi.functions.joins import join_same
 from fieldkpi.functions.labels import ratio
-from fieldkpi.functions.quantiles import exact_quantiles
+from fieldkpi.functions.quantiles import exact_quantiles, quantiles_of_counts, value_counts
 from fieldkpi.functions.tails import chi2_upper_udf, f_upper_udf, t_two_sided_udf
 from fieldkpi.functions.times import Day, day, shift_day
 
@@ -87,6 +87,45 @@ def _moments(long: DataFrame, keys: Sequence[str], value: str = "value") -> Data
     )
 
 
+def _spread(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``_moments`` with the ``median`` of each period, and the mean ``m`` and variance ``v``
+    of the distances to it.
+
+    Everything comes from one count of equal values, so the samples are read once. The
+    moments are sums of differences from the median, which is never further from the mean
+    than one deviation, so no digits are lost.
+    """
+    by = [*keys, "period"]
+    values = value_counts(long, by, "value")
+    medians = quantiles_of_counts(values, by, [0.5]).select(
+        *by, F.col("quantile").alias("median")
+    )
+    off = F.col("_v") - F.col("median")
+    n = F.col("n")
+    sums = (
+        join_same(values, medians, by)
+        .groupBy(*by, "median")
+        .agg(
+            F.sum("_c").alias("n"),
+            F.sum(off * F.col("_c")).alias("_off"),
+            F.sum(F.abs(off) * F.col("_c")).alias("_abs"),
+            F.sum(off * off * F.col("_c")).alias("_squares"),
+        )
+    )
+    shift, m, squares = F.col("_off") / n, F.col("_abs") / n, F.col("_squares") / n
+    var_pop = F.greatest(squares - shift * shift, F.lit(0.0))
+    return sums.select(
+        *by,
+        "n",
+        (F.col("median") + shift).alias("mean"),
+        "median",
+        F.try_divide(n * var_pop, n - 1).alias("var"),
+        F.sqrt(var_pop).alias("std"),
+        m.alias("m"),
+        F.greatest(squares - m * m, F.lit(0.0)).alias("v"),
+    )
+
+
 def _side_by_side(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
     def of(period: str, name: str) -> Column:
         return F.max(F.when(F.col("period") == period, F.col(name))).alias(f"{period}_{name}")
@@ -98,12 +137,8 @@ def _side_by_side(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def describe_periods(long: DataFrame, *keys: str) -> DataFrame:
     """Mean, exact median and population deviation of each period."""
-    keys = (*keys, "metric")
-    medians = exact_quantiles(long, [*keys, "period"], "value", [0.5]).select(
-        *keys, "period", F.col("quantile").alias("median")
-    )
-    return join_same(_moments(long, keys), medians, [*keys, "period"]).select(
-        *keys, "period", "n", "mean", "median", "std"
+    return _spread(long, (*keys, "metric")).select(
+        *keys, "metric", "period", "n", "mean", "median", "std"
     )
 
 
@@ -128,22 +163,10 @@ def _welch(pairs: DataFrame) -> DataFrame:
 def levene(long: DataFrame, *keys: str) -> DataFrame:
     """Equality of spread across periods, from distances to the period median."""
     keys = (*keys, "metric")
-    return _levene(long, keys).withColumn(
-        "levene_p", f_upper_udf("levene", "levene_df1", "levene_df2")
-    )
+    return _levene(_spread(long, keys), keys)
 
 
-def _levene(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    by = [*keys, "period"]
-    medians = exact_quantiles(long, by, "value", [0.5]).select(
-        *by, F.col("quantile").alias("_median")
-    )
-    distances = join_same(long.select(*by, "value"), medians, by).withColumn(
-        "_z", F.abs(F.col("value") - F.col("_median"))
-    )
-    parts = distances.groupBy(*by).agg(
-        F.count("_z").alias("n"), F.avg("_z").alias("m"), F.var_pop("_z").alias("v")
-    )
+def _levene(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     # Between-period squares come from the deviation of period means, weighted.
     total = F.sum("n")
     grand = F.sum(F.col("n") * F.col("m")) / total
@@ -166,14 +189,18 @@ def _levene(long: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.try_divide(df2 * between, df1 * F.col("_within")).alias("levene"),
         df1.alias("levene_df1"),
         df2.alias("levene_df2"),
-    )
+    ).withColumn("levene_p", f_upper_udf("levene", "levene_df1", "levene_df2"))
 
 
 def bartlett(long: DataFrame, *keys: str) -> DataFrame:
     """Equality of variances across periods under normality."""
     keys = (*keys, "metric")
+    return _bartlett(_moments(long, keys), keys)
+
+
+def _bartlett(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
     free = F.col("n") - 1
-    sums = _moments(long, keys).groupBy(*keys).agg(
+    sums = moments.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_k"),
         F.sum("n").alias("_n"),
         F.sum(free * F.col("var")).alias("_squares"),
@@ -210,7 +237,9 @@ def impact_summary(long: DataFrame, *keys: str) -> DataFrame:
 def impact_summary_full(long: DataFrame, *keys: str) -> DataFrame:
     """``impact_summary`` with population deviations and the spread test."""
     by = (*keys, "metric")
-    return join_same(welch_t(long, *keys), levene(long, *keys), by).select(
+    spread = _spread(long, by)
+    means = _welch(_side_by_side(spread, by))
+    return join_same(means, _levene(spread, by), by).select(
         *by,
         "before_mean",
         "after_mean",
@@ -227,7 +256,8 @@ def impact_summary_full(long: DataFrame, *keys: str) -> DataFrame:
 def variance_summary(long: DataFrame, *keys: str) -> DataFrame:
     """Bartlett and Levene side by side."""
     by = (*keys, "metric")
-    return join_same(bartlett(long, *keys), levene(long, *keys), by).select(
+    spread = _spread(long, by)
+    return join_same(_bartlett(spread, by), _levene(spread, by), by).select(
         *by, "bartlett", "bartlett_p", "levene", "levene_p"
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,3 +90,15 @@ def rows(df: DataFrame, *columns: str) -> list[tuple]:
         tuple(str(v) if hasattr(v, "isoformat") else v for v in r) for r in picked.collect()
     ]
     return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+@contextmanager
+def settings_of(spark, settings: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

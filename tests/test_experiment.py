@@ -8,7 +8,7 @@ import pytest
 from fieldkpi.functions import tails
 from fieldkpi.functions.quantiles import exact_quantiles
 from fieldkpi.plans import experiment
-from tests.frames import rows, table
+from tests.frames import rows, settings_of, table
 
 import pandas as pd
 
@@ -255,17 +255,21 @@ def test_exact_quantiles_against_brute_force(spark, kind):
     assert {r.n for r in found if r.market == "g"} == {len(values)}
 
 
-def test_quantiles_stay_exact_when_the_sketch_misleads(spark, monkeypatch):
-    from fieldkpi.functions import quantiles
-
-    # A coarse sketch with no slack: brackets miss their ranks.
-    monkeypatch.setattr(quantiles, "_ACCURACY", 2)
-    monkeypatch.setattr(quantiles, "_SLACK", 0.0)
+def test_a_group_over_many_ranges_is_exact(spark):
+    """Every range of a group holds few values; ranks on both sides of a cut are found."""
     values = np.random.default_rng(3).normal(0, 1, 3_001)
-    long = samples(spark, {("g", "before", "x"): values})
-    found = quantiles.exact_quantiles(long, ["market"], "value", QUANTILES).collect()
-    ours = {r.prob: r.quantile for r in found}
-    assert [ours[p] for p in QUANTILES] == pytest.approx(list(np.quantile(values, QUANTILES)))
+    long = samples(spark, {("g", "before", "x"): values, ("h", "before", "x"): values[:40]})
+    settings = {
+        "spark.sql.shuffle.partitions": "50",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    probs = [i / 37 for i in range(38)]
+    with settings_of(spark, settings):
+        found = exact_quantiles(long, ["market"], "value", probs).collect()
+    assert len(found) == 2 * len(probs)
+    for name, whole in (("g", values), ("h", values[:40])):
+        ours = {r.prob: r.quantile for r in found if r.market == name}
+        assert [ours[p] for p in probs] == pytest.approx(list(np.quantile(whole, probs)), rel=1e-12)
 
 
 def test_quantiles_without_keys(spark):

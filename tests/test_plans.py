@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as registry
 from fieldkpi.functions.times import DEFAULT_SINCE
 from fieldkpi.operators import located, pickups
-from tests.frames import centers, experts, rows
+from tests.frames import centers, experts, rows, settings_of
 
 USES_PYTHON = re.compile("BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas")
 
@@ -21,18 +20,6 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@contextmanager
-def settings_of(spark, settings: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 @pytest.mark.parametrize("name", sorted(registry._QUERIES))
 def test_no_cross_join_and_no_row_python(name, spark, sf_dir):
     text = plan(registry.queries()[name](spark, sf_dir))
@@ -121,3 +108,24 @@ def test_reschedules_collect_no_lists(spark, sf_dir):
 def test_sums_merge_before_the_shuffle(spark, sf_dir):
     text = plan(registry.queries()["upp"](spark, sf_dir))
     assert "partial_count" in text and "partial_avg" in text
+
+
+@pytest.mark.parametrize(
+    "name", ["experiment_impact_summary_full", "experiment_variance_summary", "experiment_describe_periods"]
+)
+def test_samples_are_read_once(name, spark, sf_dir):
+    """All moments, medians and distances come from one count of equal values."""
+    df = registry.queries()[name](spark, sf_dir)
+    df.collect()
+    text = plan(df).split("== Initial Plan ==")[0]
+    scans = set(re.findall(r"FileScan parquet \[[^\]]*value#\d+", text))
+    assert len(scans) == 1
+    assert "ReusedExchange" in text
+
+
+@pytest.mark.parametrize("name", ["travel_stats_by_period", "experiment_impact_around_change"])
+def test_date_window_reaches_the_scan_of_trips(name, spark, sf_dir):
+    with settings_of(spark, {"spark.sql.maxMetadataStringLength": "2000"}):
+        text = plan(registry.queries()[name](spark, sf_dir))
+    pushed = re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", text)
+    assert any("LessThan(ts," in p and "GreaterThanOrEqual(ts," in p for p in pushed)
