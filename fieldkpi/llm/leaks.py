@@ -9,8 +9,8 @@ one is worked through in blocks of its seeds, each against all documents.
 
 Cases: null and empty texts have no words and no hits; benchmark items of fewer
 than five words hold no seed and are not searched; items of equal words are one item, under
-its smallest id; repeated documents are each judged, and one id stands for all
-rows that share it; empty tables give an empty result; extra columns are not read.
+its smallest id; documents are told apart by id and text, so rows that share an id, or
+have none, are each judged by their own text; empty tables give an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +38,11 @@ def words(text: Column) -> Column:
     return F.transform(parts, lambda w: F.xxhash64(w))
 
 
+def text_key() -> Column:
+    """Tells different texts under one id apart; a null text is none of them."""
+    return F.xxhash64("text").alias("text_key")
+
+
 def seed_rows(
     rows: DataFrame, tokens: str, masks: Sequence[Sequence[int]] = MASKS
 ) -> DataFrame:
@@ -78,44 +83,59 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 def seed_hits(
     docs: DataFrame, items: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS
 ) -> DataFrame:
-    """Rows ``doc_id, item_id, diagonal, n_hits``; diagonal is the place of the item's word 0."""
+    """Rows ``doc_id, text_key, item_id, diagonal, n_hits``; diagonal is the place of the
+    item's word 0."""
     theirs = stored(
         seed_rows(items.select("item_id", "item_words"), "item_words").withColumnRenamed(
             "at", "item_at"
         ),
         "benchmark-seeds",
     )
-    tokens = docs.select("doc_id", words(text_or_empty()).alias("tokens"))
+    tokens = docs.select("doc_id", text_key(), words(text_or_empty()).alias("tokens"))
     ours = seed_rows(tokens, "tokens")
     blocks = -(-theirs.count() // broadcast_seeds) or 1
     hits = None
     for k in range(blocks):
         block = theirs if blocks == 1 else theirs.where(F.pmod("seed", F.lit(blocks)) == k)
         found = ours.join(F.broadcast(block), "seed").select(
-            "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")
+            "doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")
         )
         hits = found if hits is None else hits.unionByName(found)
-    return hits.groupBy("doc_id", "item_id", "diagonal").agg(F.count(F.lit(1)).alias("n_hits"))
+    return hits.groupBy("doc_id", "text_key", "item_id", "diagonal").agg(
+        F.count(F.lit(1)).alias("n_hits")
+    )
 
 
 def leaked_passages(
     docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS
 ) -> DataFrame:
-    """Rows ``doc_id, item_id, item_words, start, n_equal, run_words, run_equal, n_hits``.
+    """``leaked_texts`` without its ``text_key``."""
+    return leaked_texts(docs, benchmark, broadcast_seeds).drop("text_key")
 
-    One row per document and item, its best alignment. ``start`` is the word of the
+
+def leaked_texts(
+    docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS
+) -> DataFrame:
+    """Rows ``doc_id, text_key, item_id, item_words, start, n_equal, run_words, n_hits``.
+
+    One row per document (id and text) and item, its best alignment. ``start`` is the word of the
     document where the item begins (negative: before the text), ``n_equal`` the equal words
     of the whole alignment, ``run_*`` those from the first to the last equal word.
     """
     docs = docs.select("doc_id", "text")
+    texts = docs.withColumn("text_key", text_key())
     items = stored(benchmark_items(benchmark), "benchmark-items")
     hits = stored(seed_hits(docs, items, broadcast_seeds), "seed-hits")
     lengths = F.size("item_words")
     aligned = (
         hits.join(items, "item_id")
-        .join(docs, hits["doc_id"].eqNullSafe(docs["doc_id"]))
+        .join(
+            texts,
+            hits["doc_id"].eqNullSafe(texts["doc_id"]) & (hits["text_key"] == texts["text_key"]),
+        )
         .select(
             hits["doc_id"],
+            hits["text_key"],
             "item_id",
             "item_words",
             "diagonal",
@@ -134,6 +154,7 @@ def leaked_passages(
         )
         .select(
             "doc_id",
+            "text_key",
             "item_id",
             lengths.alias("n_words"),
             "diagonal",
@@ -153,10 +174,11 @@ def leaked_passages(
     )
     return (
         aligned.where(whole | part)
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "text_key", "item_id")
         .agg(best.alias("b"))
         .select(
             "doc_id",
+            "text_key",
             "item_id",
             F.col("b.n_words").cast("long").alias("item_words"),
             (-F.col("b.early")).cast("long").alias("start"),
@@ -168,7 +190,15 @@ def leaked_passages(
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents no benchmark item was found in, with all their columns."""
-    bad = stored(leaked_passages(docs, benchmark).select("doc_id").distinct(), "leaked")
-    bad = bad.withColumnRenamed("doc_id", "_leaked")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_leaked"]), "left_anti")
+    """The documents no benchmark item was found in, with all their columns.
+
+    Only rows with a leaked text go: not others of its id, or others without id.
+    """
+    bad = stored(
+        leaked_texts(docs, benchmark)
+        .select(F.col("doc_id").alias("_leaked"), F.col("text_key").alias("_key"))
+        .distinct(),
+        "leaked",
+    )
+    found = docs["doc_id"].eqNullSafe(bad["_leaked"]) & (F.xxhash64(docs["text"]) == bad["_key"])
+    return docs.join(bad, found, "left_anti")

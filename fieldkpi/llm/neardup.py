@@ -406,14 +406,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """Documents with one of each group of near copies, with all their columns.
 
-    Of rows that share an id one stays; rows without id all stay.
+    Documents are told apart by id and text: different texts under one id are compared
+    like any others, of equal rows one stays. Of a group the smallest id stays, and of its
+    texts that with the smallest hash. Rows without id all stay.
     """
+    known = docs.where(F.col("doc_id").isNotNull()).withColumn(
+        "_text", F.xxhash64("doc_id", "text")
+    )
+    names = known.select("doc_id", "_text").distinct()
+    groups = near_components(
+        known.select(F.col("_text").alias("doc_id"), "text"), k, percent
+    ).select(F.col("doc_id").alias("_text"), "component_id")
+    members = stored(names.join(groups.distinct(), "_text"), "near-copies")
+    name = F.struct("doc_id", "_text")
+    first = (
+        members.groupBy("component_id")
+        .agg(F.min(name).alias("first"), F.max(name).alias("last"))
+        .where(F.col("first") != F.col("last"))
+        .select("component_id", F.col("first._text").alias("_stays"))
+    )
     gone = (
-        near_duplicates(docs, k, percent)
-        .where(~F.col("kept"))
-        .select(F.col("doc_id").alias("_gone"))
+        members.join(first, "component_id")
+        .where(F.col("_text") != F.col("_stays"))
+        .select(F.col("_text").alias("_gone"))
         .distinct()
     )
-    known = docs.where(F.col("doc_id").isNotNull())
-    left = known.join(gone, known["doc_id"] == gone["_gone"], "left_anti")
-    return left.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    left = known.join(gone, known["_text"] == gone["_gone"], "left_anti")
+    return (
+        left.dropDuplicates(["_text"])
+        .select(*docs.columns)
+        .unionByName(docs.where(F.col("doc_id").isNull()))
+    )

@@ -298,6 +298,32 @@ def test_leaks(spark, empty):
     assert leaks.leaked_passages(empty, bench).count() == 0
 
 
+def test_leaks_tell_texts_of_one_id_apart(spark):
+    rng = np.random.default_rng(10)
+    item = prose(rng, 30)
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    clean = [" ".join(prose(rng, 40)) for _ in range(6)]
+    leaked = [" ".join(prose(rng, 9) + item) for _ in range(2)]
+    rows = [(None, t) for t in (*clean[:4], *leaked, None, "")]
+    rows += [(1, clean[4]), (1, leaked[0]), (2, clean[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in leaks.without_leaks(df, bench).collect()]
+    want = [(i, t) for i, t in rows if t not in leaked]
+    assert sorted(left, key=str) == sorted(want, key=str)
+    found = leaks.leaked_passages(df, bench)
+    assert sorted((str(r.doc_id), r.start) for r in found.collect()) == [("1", 9), ("None", 9), ("None", 9)]
+
+
+def test_near_copies_tell_texts_of_one_id_apart(spark):
+    rng = np.random.default_rng(11)
+    a, b, c = (" ".join(prose(rng, 60)) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, b), (6, c), (6, b), (7, None), (7, ""), (None, a), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in neardup.keep_one_of_each(df).collect()]
+    want = [(1, a), (5, b), (6, c), (7, None), (7, ""), (None, a), (None, c)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_severity_on_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/../sf0.1/labels.parquet")
