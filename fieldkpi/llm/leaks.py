@@ -69,6 +69,48 @@ def seed_rows(
     )
 
 
+def longest_run(equal_at: Column) -> Column:
+    """``n, words``: equal words and words of the longest stretch with ``MIN_DENSITY``.
+
+    Of equal words a to b (of places p) the density suffices if key[b] + 1 - MIN_DENSITY >=
+    key[a], where key[i] = i - MIN_DENSITY * p[i]. Two places move on: the end as long
+    as a key at or after it suffices, else the start.
+    """
+    keys = F.transform(equal_at, lambda p, i: i - p * MIN_DENSITY)
+    bound = F.transform(
+        F.array(keys),
+        lambda key: F.struct(
+            key.alias("key"),
+            F.transform(key, lambda _, i: F.array_max(F.slice(key, i + 1, F.size(key)))).alias(
+                "top"
+            ),
+        ),
+    )[0]
+    zero = F.struct(
+        *(F.lit(0).alias(c) for c in ("a", "b", "n", "at")), bound.alias("of"), equal_at.alias("p")
+    )
+
+    def step(acc: Column, _: Column) -> Column:
+        a, b = acc["a"], acc["b"]
+        inside = b < F.size(acc["p"])
+        dense = F.get(acc["of"]["top"], b) + (1 - MIN_DENSITY + 1e-9) >= F.get(acc["of"]["key"], a)
+        longer = inside & dense & (b - a + 1 > acc["n"])
+        return F.struct(
+            F.when(inside & ~dense, a + 1).otherwise(a).alias("a"),
+            F.when(inside & dense, b + 1).otherwise(b).alias("b"),
+            F.when(longer, b - a + 1).otherwise(acc["n"]).alias("n"),
+            F.when(longer, a).otherwise(acc["at"]).alias("at"),
+            acc["of"].alias("of"),
+            acc["p"].alias("p"),
+        )
+
+    def close(acc: Column) -> Column:
+        first, last = F.get(acc["p"], acc["at"]), F.get(acc["p"], acc["at"] + acc["n"] - 1)
+        return F.struct(acc["n"].alias("n"), (last - first + 1).alias("words"))
+
+    return F.aggregate(F.sequence(F.lit(1), 2 * F.size(equal_at)), zero, step, close)
+
+
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """Rows ``item_id, item_words``, one per different text."""
     return (
@@ -120,7 +162,7 @@ def leaked_texts(
 
     One row per document (id and text) and item, its best alignment. ``start`` is the word of the
     document where the item begins (negative: before the text), ``n_equal`` the equal words
-    of the whole alignment, ``run_*`` those from the first to the last equal word.
+    of the whole alignment, ``run_words`` the words of its longest dense stretch.
     """
     docs = docs.select("doc_id", "text")
     texts = docs.withColumn("text_key", text_key())
@@ -160,20 +202,27 @@ def leaked_texts(
             "diagonal",
             "n_hits",
             F.size("equal_at").alias("n_equal"),
-            (F.array_max("equal_at") - F.array_min("equal_at") + 1).alias("run_words"),
+            "equal_at",
         )
     )
     whole = (F.col("n_equal") >= F.least(F.lit(MIN_EQUAL), F.col("n_words"))) & (
         F.col("n_equal") >= F.col("n_words") * MIN_SHARE
     )
-    part = (F.col("n_equal") >= MIN_RUN) & (
-        F.col("n_equal") >= F.col("run_words") * MIN_DENSITY
+    judged = aligned.where(whole | (F.col("n_equal") >= MIN_RUN)).withColumn(
+        "run", longest_run(F.col("equal_at"))
     )
+    part = F.col("run.n") >= MIN_RUN
     best = F.max(
-        F.struct("n_equal", "n_hits", (-F.col("diagonal")).alias("early"), "run_words", "n_words")
+        F.struct(
+            "n_equal",
+            "n_hits",
+            (-F.col("diagonal")).alias("early"),
+            F.col("run.words").alias("run_words"),
+            "n_words",
+        )
     )
     return (
-        aligned.where(whole | part)
+        judged.where(whole | part)
         .groupBy("doc_id", "text_key", "item_id")
         .agg(best.alias("b"))
         .select(

@@ -314,6 +314,30 @@ def test_leaks_tell_texts_of_one_id_apart(spark):
     assert sorted((str(r.doc_id), r.start) for r in found.collect()) == [("1", 9), ("None", 9), ("None", 9)]
 
 
+def test_leaks_judge_the_best_stretch(spark):
+    rng = np.random.default_rng(12)
+    item = prose(rng, 60)
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    # A copied part, and one chance match far from it on the same diagonal.
+    cases = [["xx"] * 60 for _ in range(3)]
+    cases[0][5:18], cases[0][55] = item[5:18], item[55]
+    cases[1][40:57], cases[1][2] = item[40:57], item[2]
+    cases[1][44], cases[1][47] = "xx", "xx"
+    cases[2][5:17], cases[2][55] = item[5:17], item[55]
+    df = spark.createDataFrame([(i, " ".join(c)) for i, c in enumerate(cases)], "doc_id long, text string")
+    found = {r.doc_id: (r.n_equal, r.run_words) for r in leaks.leaked_passages(df, bench).collect()}
+    assert found == {0: (14, 13), 1: (16, 17)}
+    runs = [sorted(rng.choice(40, n, replace=False).tolist()) for n in (1, 5, 14, 20, 28, 35, 40)]
+    got = spark.createDataFrame([(r,) for r in runs], "p array<int>").select("p", leaks.longest_run(F.col("p")).alias("r"))
+    for p, (n, _) in got.collect():
+        assert n == max(
+            b - a + 1
+            for a in range(len(p))
+            for b in range(a, len(p))
+            if 4 * (b - a + 1) >= 3 * (p[b] - p[a] + 1)
+        )
+
+
 def test_near_copies_tell_texts_of_one_id_apart(spark):
     rng = np.random.default_rng(11)
     a, b, c = (" ".join(prose(rng, 60)) for _ in range(3))
