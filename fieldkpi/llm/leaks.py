@@ -22,8 +22,19 @@ from pyspark.sql import functions as F
 
 from fieldkpi.llm.common import stored, text_or_empty
 
-# Offsets of the words each mask reads.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 6, 7), (0, 2, 3, 5, 8))
+# Offsets of the words each mask reads. Chosen by enumeration: of 8 to 20
+# words, whichever MIN_EQUAL and MIN_SHARE of them are equal, one mask at least has a hit.
+MASKS = (
+    (0, 1, 2, 3),
+    (0, 1, 2, 5),
+    (0, 1, 3, 6),
+    (0, 1, 3, 7),
+    (0, 1, 4, 6),
+    (0, 1, 7, 8),
+    (0, 2, 3, 4),
+    (0, 2, 7, 8),
+)
+MIN_WORDS = 5
 BROADCAST_SEEDS = 2_000_000
 MIN_EQUAL = 8
 MIN_SHARE = 0.6
@@ -115,7 +126,7 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """Rows ``item_id, item_words``, one per different text."""
     return (
         benchmark.select("item_id", words(text_or_empty()).alias("item_words"))
-        .where(F.size("item_words") > max(MASKS[0]))
+        .where(F.size("item_words") >= MIN_WORDS)
         .groupBy("item_words")
         .agg(F.min("item_id").alias("item_id"))
         .select("item_id", "item_words")

@@ -7,6 +7,7 @@ import math
 import re
 import string
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -338,6 +339,22 @@ def test_leaks_judge_the_best_stretch(spark):
         )
 
 
+def test_masks_hit_whatever_the_whole_rule_accepts():
+    def hit(equal):
+        return any(
+            all(i + o in equal for o in mask)
+            for mask in leaks.MASKS
+            for i in range(max(equal) + 1 - max(mask))
+        )
+
+    for n in range(leaks.MIN_EQUAL, 15):
+        least = max(leaks.MIN_EQUAL, math.ceil(n * 6 / 10))
+        assert all(hit(set(equal)) for equal in combinations(range(n), least))
+    # Every so many words one, or two of five, are replaced in a long item.
+    for period, kept in ((3, {0, 1}), (4, {0, 1, 2}), (5, {0, 1, 2, 3}), (5, {0, 1, 2}), (5, {0, 1, 3})):
+        assert hit({i for i in range(200) if i % period in kept})
+
+
 def test_near_copies_tell_texts_of_one_id_apart(spark):
     rng = np.random.default_rng(11)
     a, b, c = (" ".join(prose(rng, 60)) for _ in range(3))
