@@ -31,7 +31,8 @@ RULES = (
 )
 MOST_RULES = 10_000
 DAMPING = 0.85
-ROUNDS = 8
+# The walk ends when no side's scores changed by more than this in sum, and no host is new.
+TOLERANCE = 1e-6
 _LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*((?:https?:)?//[^\s\"'<>]+)"
 
 
@@ -118,14 +119,20 @@ def domain_links(hosts: DataFrame) -> DataFrame:
 
 
 def personalised_rank(
-    links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING
+    links: DataFrame,
+    seeds: DataFrame,
+    rounds: int | None = None,
+    damping: float = DAMPING,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """Rows ``side, host, score``: mass from ``seeds`` (side, host, seed) along ``links``
     (side, src, dst, n). Sides are separate walks that share their jobs; each starts with
     mass 1. Mass at a host without links out leaves the graph.
 
     Each round joins one row per host to the links and adds up by target, partly before
-    the shuffle; skewed sources are split at run time. The lineage is cut every fourth round.
+    the shuffle; skewed sources are split at run time. The lineage is cut every fourth round,
+    and there the last two rounds are compared: they go on until no side's scores change
+    by more than ``tolerance`` in sum and no host is new, or for ``rounds`` if given.
     """
     total = links.groupBy("side", "src").agg(F.sum("n").alias("total"))
     shares = checkpointed(
@@ -143,23 +150,44 @@ def personalised_rank(
         )
     )
     rank, restart = start, (F.col("score") * (1.0 - damping)).alias("score")
-    for k in range(rounds):
+    k, moving = 0, True
+    while moving if rounds is None else k < rounds:
         arrived = shares.join(rank, ["side", "host"]).select(
             "side", F.col("dst").alias("host"), (F.col("share") * F.col("score")).alias("score")
         )
+        before, k = rank, k + 1
         rank = (
             start.select("side", "host", restart)
             .unionByName(arrived)
             .groupBy("side", "host")
             .agg(F.sum("score").alias("score"))
         )
-        if k % 4 == 3 or k == rounds - 1:
+        if k % 4 in (3, 0) or k == rounds:
             rank = checkpointed(rank)
+        if rounds is None and k % 4 == 0:
+            moving = _moved(before, rank, tolerance)
     return rank
 
 
+def _moved(before: DataFrame, after: DataFrame, tolerance: float) -> bool:
+    """Whether a side's scores differ by more than ``tolerance`` in sum, or a host is new."""
+    both = before.select("side", "host", F.lit(-1).alias("way"), "score").unionByName(
+        after.select("side", "host", F.lit(1).alias("way"), "score")
+    )
+    changes = both.groupBy("side", "host").agg(
+        F.abs(F.sum(F.col("score") * F.col("way"))).alias("change"),
+        F.min("way").alias("oldest"),
+    )
+    sides = changes.groupBy("side").agg(
+        F.sum("change").alias("change"), F.count_if(F.col("oldest") > 0).alias("fresh")
+    )
+    return not sides.where((F.col("change") > tolerance) | (F.col("fresh") > 0)).isEmpty()
+
+
 def host_scores(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, rounds: int = ROUNDS
+    pages: DataFrame,
+    rules: Sequence[tuple[str, str, str]] = RULES,
+    rounds: int | None = None,
 ) -> DataFrame:
     """Rows ``host, trust, distrust`` for every host the spread reaches."""
     judged = pages.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
@@ -206,7 +234,7 @@ def url_verdicts(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]] = RULES,
     ratio: float = 1.0,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
 ) -> DataFrame:
     """Rows ``page_id, host, path, rule, verdict, trust, distrust``, one per page."""
     pages = pages.select("page_id", "url", "html")

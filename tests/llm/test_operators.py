@@ -426,6 +426,17 @@ def test_distrust_goes_back_to_those_who_link(spark):
     assert found[2].distrust > 0 and found[3].trust > 0
 
 
+def test_distrust_goes_back_along_a_long_chain(spark):
+    link = "<a href='http://h{}.net/'>t</a>"
+    pages = [(i, f"http://h{i}.net/", link.format(i + 1)) for i in range(11)]
+    pages += [(11, "http://h11.net/", "<a href=http://bad.com/de/1>t</a>"), (12, "http://bad.com/de/1", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r for r in hostrank.url_verdicts(df).collect()}
+    assert all(found[i].verdict == "block" for i in range(13))
+    for i in range(12):
+        assert found[i].distrust == pytest.approx(0.15 * 0.85 ** (12 - i))
+
+
 def test_pipeline_keeps_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
