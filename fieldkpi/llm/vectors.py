@@ -1,18 +1,20 @@
 """Embedding near-dedup: inverted lists, product-quantised residuals, exact rerank.
 
 Equal vectors are one class, compared once. Coarse centroids and residual
-codebooks are fitted on a bounded sample (``SAMPLE`` classes); every class is
-indexed in its nearest list. A query looks into its ``PROBES`` nearest lists:
+codebooks are fitted on a bounded sample (``SAMPLE`` classes) of each vector length;
+every class is indexed in its nearest list. A list knows the least and largest angle of
+its vectors to its centroid, and a query looks into every list that may hold a vector
+within the threshold's angle by these, so that no list with a link is left out. There
 its lookup tables give each code's inner product, and since a unit query cannot gain
 more than the norm of what the code lost, ``table sum + lost >= threshold`` drops
-no link of a probed list. What passes is compared in double precision.
+no link. What passes is compared in double precision.
 
 A list is cut into blocks and a task compares two blocks, so a list that holds a
 third of all vectors is many tasks. A task returns counts and a spanning set of
 links, never all pairs.
 
 Cases: a null, empty, zero or non-finite vector, one with a null component, one
-without id and one of another length than most link with nothing; repeated rows are
+without id link with nothing; vectors of different lengths do not link; repeated rows are
 other vectors and count as links; an empty table gives an empty result; extra
 columns (labels too) are not read.
 """
@@ -35,7 +37,6 @@ THRESHOLD = 0.9
 SAMPLE = 20_000
 LIST_ROWS = 500
 MAX_LISTS = 4096
-PROBES = 8
 SUBSPACES = 8
 CODES = 64
 BLOCK = 2000
@@ -98,7 +99,8 @@ def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 class Index:
     """Coarse centroids and residual codebooks."""
 
-    def __init__(self, sample: np.ndarray, lists: int, seed: int = 7):
+    def __init__(self, sample: np.ndarray, lists: int, seed: int = 7, first: int = 0):
+        self.first = first  # number of its list 0
         rng = np.random.default_rng(seed)
         self.coarse = _kmeans(sample, lists, rng, spherical=True)
         rest = sample - self.coarse[_nearest(sample, self.coarse)]
@@ -120,10 +122,16 @@ class Index:
             lost += ((part - book[codes[:, m]]) ** 2).sum(axis=1)
         return at, codes, np.sqrt(lost)
 
-    def probes(self, x: np.ndarray, count: int) -> np.ndarray:
-        near = x @ self.coarse.T
-        count = min(count, near.shape[1])
-        return np.argpartition(-near, count - 1, axis=1)[:, :count]
+    def angles(self, x: np.ndarray) -> np.ndarray:
+        """Of each unit vector to each centroid."""
+        norms = np.maximum(np.linalg.norm(self.coarse, axis=1), 1e-300)
+        return np.arccos(np.clip(x @ self.coarse.T / norms, -1.0, 1.0))
+
+    def probes(self, x: np.ndarray, reach: np.ndarray, angle: float) -> list[np.ndarray]:
+        """Lists that may hold a vector within ``angle``, by their least and largest angle."""
+        at = self.angles(x)
+        may = (at - angle <= reach[:, 1]) & (at + angle >= reach[:, 0])
+        return [np.flatnonzero(row).astype(np.int32) for row in may]
 
     def estimates(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Inner products of queries and codes of one list, by table lookup."""
@@ -134,13 +142,26 @@ class Index:
         return total
 
 
-def fit_index(classes: DataFrame, sample: int = SAMPLE) -> Index | None:
-    """Index for about ``LIST_ROWS`` classes a list, at most ``MAX_LISTS`` lists."""
-    n = classes.count()
-    if not n:
-        return None
-    drawn = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("v").toPandas()
-    return Index(_unit(drawn["v"]), max(1, min(MAX_LISTS, n // LIST_ROWS, len(drawn))))
+def fit_indexes(classes: DataFrame, sample: int = SAMPLE) -> dict[int, Index]:
+    """By vector length, an index for about ``LIST_ROWS`` classes a list, at most
+    ``MAX_LISTS`` lists. A length of one class needs none."""
+    size = F.size("v")
+    counts = classes.groupBy(size.alias("dim")).agg(F.count(F.lit(1)).alias("m"))
+    out, first = {}, 0
+    for dim, m in sorted(tuple(r) for r in counts.where(F.col("m") > 1).collect()):
+        mine = classes.where(size == dim).orderBy(F.xxhash64("cid"), "cid")
+        drawn = _unit(mine.limit(sample).select("v").toPandas()["v"])
+        lists = max(1, min(MAX_LISTS, m // LIST_ROWS, len(drawn)))
+        out[dim] = Index(drawn, lists, first=first)
+        first += lists
+    return out
+
+
+def _by_length(indexes: dict[int, Index], rows: pd.DataFrame):
+    """Parts of a batch with their index; lengths without one are left out."""
+    for dim, part in rows.groupby(rows["v"].map(len)):
+        if dim in indexes:
+            yield indexes[dim], part, _unit(part["v"])
 
 
 def _spanning(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -168,20 +189,22 @@ def _linked(q: np.ndarray, x: np.ndarray, rows, cols, threshold: float):
     return rows[good], cols[good]
 
 
-def block_links(index: Index, threshold: float = THRESHOLD):
+def block_links(indexes: dict[int, Index], threshold: float = THRESHOLD):
     """Function for one pair of blocks: partial counts and spanning links."""
 
     def compare(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows):
             q, x = _unit(queries["v"]), _unit(rows["v"])
+            index = indexes[q.shape[1]]
+            which = int(key[0]) - index.first
             qid, xid = queries["cid"].to_numpy(), rows["cid"].to_numpy()
             weight = rows["n"].to_numpy()
             codes = np.vstack([np.frombuffer(c, np.uint8) for c in rows["codes"]])
             lost = rows["lost"].to_numpy()
             pairs = []
             for i in range(0, len(q), 256):
-                near = index.estimates(q[i : i + 256], int(key[0]), codes) + lost
+                near = index.estimates(q[i : i + 256], which, codes) + lost
                 r, c = np.nonzero(near >= threshold - 1e-9)
                 r, c = _linked(q, x, r + i, c, threshold)
                 other = qid[r] != xid[c]
@@ -197,32 +220,42 @@ def block_links(index: Index, threshold: float = THRESHOLD):
     return compare
 
 
-def class_links(classes: DataFrame, index: Index, probes: int = PROBES) -> DataFrame:
+def class_links(
+    classes: DataFrame, indexes: dict[int, Index], threshold: float = THRESHOLD
+) -> DataFrame:
     """Rows ``cid, to, links``: links of a class to others found in one pair of blocks
     (``to`` itself), and spanning links (``links`` 0)."""
 
     def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            if len(rows):
-                at, codes, lost = index.encode(_unit(rows["v"]))
-                yield rows[["cid", "n", "v"]].assign(
-                    list=at, codes=[c.tobytes() for c in codes], lost=lost
+            for index, part, x in _by_length(indexes, rows):
+                at, codes, lost = index.encode(x)
+                yield part[["cid", "n", "v"]].assign(
+                    list=at + index.first,
+                    codes=[c.tobytes() for c in codes],
+                    lost=lost,
+                    angle=index.angles(x)[np.arange(len(x)), at],
                 )
 
+    columns = "cid long, n long, v array<double>, list int, codes binary, lost double, angle double"
+    lists = stored(classes.mapInPandas(indexed, columns), "vector-index")
+    # No vector is in a list whose least angle is infinite.
+    reach = np.tile([np.inf, -np.inf], (sum(len(x.coarse) for x in indexes.values()), 1))
+    for k, low, high in lists.groupBy("list").agg(F.min("angle"), F.max("angle")).collect():
+        reach[k] = low, high
+    angle = float(np.arccos(threshold)) + 1e-6
+
     def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            if len(rows):
-                near = index.probes(_unit(rows["v"]), probes)
-                yield rows[["cid", "v"]].assign(list=list(near.astype(np.int32)))
+            for index, part, x in _by_length(indexes, rows):
+                own = reach[index.first : index.first + len(index.coarse)]
+                near = [p + np.int32(index.first) for p in index.probes(x, own, angle)]
+                yield part[["cid", "v"]].assign(list=near)
 
-    columns = "cid long, n long, v array<double>, list int, codes binary, lost double"
-    lists = stored(classes.mapInPandas(indexed, columns), "vector-index")
+    # Exploded after it is stored: a vector may ask many lists.
     asked = stored(
-        classes.mapInPandas(probing, "cid long, v array<double>, list array<int>").withColumn(
-            "list", F.explode("list")
-        ),
-        "vector-probes",
-    )
+        classes.mapInPandas(probing, "cid long, v array<double>, list array<int>"), "vector-probes"
+    ).withColumn("list", F.explode("list"))
     # Blocks of a list, of queries and of rows, from the true sizes.
     blocks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nx")).join(
         asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nq")), "list"
@@ -239,23 +272,15 @@ def class_links(classes: DataFrame, index: Index, probes: int = PROBES) -> DataF
     left = dealt(asked, "nq", "nx").groupBy("list", "nq", "nx")
     right = dealt(lists, "nx", "nq").groupBy("list", "nq", "nx")
     return left.cogroup(right).applyInPandas(
-        block_links(index), "cid long, to long, links long"
+        block_links(indexes, threshold), "cid long, to long, links long"
     )
 
 
-def near_vectors(vectors: DataFrame, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def near_vectors(vectors: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Rows ``vec_id, n_links, component_id, kept``, one per vector."""
     vectors = vectors.select("vec_id", "embedding")
     classes = vector_classes(vectors)
-    index = fit_index(classes, sample)
-    if index is None:
-        return vectors.select(
-            "vec_id",
-            F.lit(0).cast("long").alias("n_links"),
-            F.col("vec_id").alias("component_id"),
-            F.lit(True).alias("kept"),
-        )
-    found = stored(class_links(classes, index, probes), "vector-links")
+    found = stored(class_links(classes, fit_indexes(classes, sample)), "vector-links")
     counts = found.where(F.col("links") > 0).groupBy("cid").agg(F.sum("links").alias("links"))
     groups = connected_components(
         found.where(F.col("links") == 0).select(F.col("cid").alias("a"), F.col("to").alias("b"))

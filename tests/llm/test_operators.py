@@ -242,6 +242,28 @@ def test_vectors_match_all_pairs(spark):
     assert vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_of_every_length_and_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LIST_ROWS", 10)
+    rng = np.random.default_rng(14)
+    sets = []
+    for dim, n in ((24, 500),):
+        base = rng.normal(size=(n, dim))
+        aside = rng.normal(size=(n, dim))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        aside -= (aside * base).sum(axis=1, keepdims=True) * base
+        aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+        sets.append(np.vstack([base, 0.91 * base + math.sqrt(1 - 0.91**2) * aside, base[:3]]))
+    rows, want = [], {}
+    for x in sets:
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        for i, k in enumerate((unit @ unit.T >= vectors.THRESHOLD).sum(axis=1) - 1):
+            want[len(rows) + i] = k
+        rows += [(len(rows) + i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()}
+    assert found == want and len(vectors.fit_indexes(vectors.vector_classes(df))[24].coarse) == 100
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(50)] + [(7, 7)]
     df = spark.createDataFrame(edges, "a long, b long")
