@@ -51,19 +51,16 @@ def _usable(vector: Column) -> Column:
 
 
 def vector_classes(vectors: DataFrame) -> DataFrame:
-    """Rows ``cid, v, n, first_id``: one per different usable vector of the commonest length."""
+    """Rows ``cid, v, n, first_id``: one per different usable vector."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(
         F.col("vec_id").isNotNull() & _usable(F.col("v"))
     )
-    classes = stored(
+    return stored(
         rows.groupBy("v")
         .agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"))
         .select(F.xxhash64("v").alias("cid"), "v", "n", "first_id"),
         "vector-classes",
     )
-    lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("m"))
-    common = lengths.orderBy(F.desc("m"), "dim").first()
-    return classes if common is None else classes.where(F.size("v") == common["dim"])
 
 
 def _unit(values) -> np.ndarray:

@@ -246,7 +246,7 @@ def test_vectors_of_every_length_and_many_lists(spark, monkeypatch):
     monkeypatch.setattr(vectors, "LIST_ROWS", 10)
     rng = np.random.default_rng(14)
     sets = []
-    for dim, n in ((24, 500),):
+    for dim, n in ((24, 500), (12, 200)):
         base = rng.normal(size=(n, dim))
         aside = rng.normal(size=(n, dim))
         base /= np.linalg.norm(base, axis=1, keepdims=True)
