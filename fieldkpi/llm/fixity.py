@@ -2,7 +2,9 @@
 
 Each record of a file is a leaf, in offset order. ``FANOUT`` neighbours hash into
 one node of the next level, so a node stands for an ordered range of records. An
-audit compares roots and goes down only where nodes differ.
+audit compares roots and goes down only where nodes differ. Records below differing
+nodes are aligned by id and digest, so that sound records which only moved are told
+from damaged ones.
 
 Every node of a level is made from at most ``FANOUT`` children, so no group grows
 with a file. Cases: null fields are written as empty ones; repeated rows are
@@ -97,8 +99,9 @@ def fixity_audit(
     """Rows ``file, seq, first_id, second_id, first_offset, second_offset, fault``.
 
     ``first`` and ``second`` have the columns of ``page_records``. Fault is ``changed``,
-    ``missing`` (from the second) or ``added``. A record is aligned by its place; a
-    lost one therefore shows as a change of the rest of its file, as it does on disk.
+    ``missing`` (from the second), ``added`` or ``shifted``: a sound record at another
+    place or offset, since one before it was lost, came in or changed its length.
+    ``seq`` is the place in the first copy, of added records that in the second.
     """
     first, second = checkpointed(with_offsets(first)), checkpointed(with_offsets(second))
     longest = (
@@ -126,29 +129,58 @@ def fixity_audit(
         )
     at = suspects.withColumnRenamed("node", "seq")
 
-    def side(records: DataFrame, name: str) -> DataFrame:
-        return records.select(
-            "file",
-            "seq",
-            F.lit(True).alias(f"in_{name}"),
-            F.col("record_id").alias(f"{name}_id"),
-            F.col("offset").alias(f"{name}_offset"),
+    def side(records: DataFrame) -> DataFrame:
+        same = Window.partitionBy("file", "record_id", "digest").orderBy("seq")
+        return checkpointed(
+            records.join(at, ["file", "seq"], "left_semi").withColumn("nth", F.row_number().over(same))
         )
 
+    def paired(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
+        columns = dict.fromkeys((*kept, *key, "nth"))
+        a = a.select(*(F.col(c).alias(f"first_{c}") for c in columns))
+        b = b.select(*(F.col(c).alias(f"second_{c}") for c in columns))
+        on = F.col("first_file") == F.col("second_file")
+        for c in (*key, "nth"):
+            on = on & F.col(f"first_{c}").eqNullSafe(F.col(f"second_{c}"))
+        return a.join(b, on, "full_outer").select(
+            *(f"{name}_{c}" for name in ("first", "second") for c in kept)
+        )
+
+    def unpaired(pairs: DataFrame, name: str, other: str) -> DataFrame:
+        # Numbered again within their id: what is left of it differs in content.
+        left = pairs.where(F.col(f"{other}_seq").isNull()).select(
+            *(F.col(f"{name}_{c}").alias(c) for c in kept)
+        )
+        again = Window.partitionBy("file", "record_id").orderBy("seq")
+        return left.withColumn("nth", F.row_number().over(again))
+
+    kept = ("file", "seq", "record_id", "offset")
+    alike = checkpointed(paired(side(first), side(second), "record_id", "digest"))
+    moved = alike.where(F.col("first_seq").isNotNull() & F.col("second_seq").isNotNull())
+    rest = paired(
+        unpaired(alike, "first", "second"), unpaired(alike, "second", "first"), "record_id"
+    )
+    fault = (
+        F.when(F.col("second_seq").isNull(), "missing")
+        .when(F.col("first_seq").isNull(), "added")
+        .otherwise("changed")
+    )
     return (
-        at.join(side(first, "first"), ["file", "seq"], "left")
-        .join(side(second, "second"), ["file", "seq"], "left")
+        moved.withColumn("fault", F.lit("shifted"))
+        .unionByName(rest.withColumn("fault", fault))
+        .where(
+            (F.col("fault") != "shifted")
+            | (F.col("first_seq") != F.col("second_seq"))
+            | (F.col("first_offset") != F.col("second_offset"))
+        )
         .select(
-            "file",
-            "seq",
-            "first_id",
-            "second_id",
+            F.coalesce("first_file", "second_file").alias("file"),
+            F.coalesce("first_seq", "second_seq").alias("seq"),
+            F.col("first_record_id").alias("first_id"),
+            F.col("second_record_id").alias("second_id"),
             "first_offset",
             "second_offset",
-            F.when(F.col("in_second").isNull(), "missing")
-            .when(F.col("in_first").isNull(), "added")
-            .otherwise("changed")
-            .alias("fault"),
+            "fault",
         )
     )
 

@@ -421,6 +421,26 @@ def test_fixity_finds_what_differs(spark):
     assert fixity.fixity_audit(a.where("false"), a.where("false")).count() == 0
 
 
+def test_fixity_tells_shifted_records_from_damage(spark):
+    rows = [(i, f"http://h/{i}", "body %d" % i) for i in range(60)] + [(None, None, t) for t in ("a", "b")]
+    schema = "page_id long, url string, html string"
+    first = spark.createDataFrame(rows, schema)
+    # File 0: 3 truncated and 12 struck; file 1: 25 lost and 33 struck; file 2: 45 came in.
+    now = {3: "bo", 12: "bodY 12", 33: "bodY 33", 25: None}
+    second = [(i, u, now.get(i, t)) for i, u, t in rows if i is None or now.get(i, t)]
+    a = fixity.page_records(first.where("page_id is null or page_id <> 45"), per_file=20)
+    b = fixity.page_records(spark.createDataFrame(second, schema), per_file=20)
+    found = fixity.fixity_audit(a, b, fanout=4).collect()
+    faults = {(r.first_id, r.second_id, r.fault) for r in found if r.fault != "shifted"}
+    assert faults == {
+        (3, 3, "changed"), (12, 12, "changed"), (33, 33, "changed"), (25, None, "missing"), (None, 45, "added"),
+    }
+    shifted = {r.first_id for r in found if r.fault == "shifted"}
+    assert shifted == {*range(4, 20), *range(26, 40), *range(46, 60)} - {12, 33}
+    assert all(r.first_id == r.second_id for r in found if r.fault == "shifted")
+    assert len(found) == len(faults) + len(shifted)
+
+
 def test_hosts_and_rules(spark):
     cases = {
         None: ("", "", None), "no url": ("", "", None), "": ("", "", None),
