@@ -28,9 +28,21 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-# Bits a window must reach, by the character class of its candidate.
+# Bits a window must reach, by the character class of its whole candidate.
 THRESHOLDS = {"hex": 3.0, "letters": 4.1, "mixed": 3.7}
 WINDOW = 20
+# Bits a window of one alphabet must reach, whatever stands around it in its candidate.
+# Of 1,500 random strings of 24 the best window was above 3.15 (hex), 3.48 (one case) and
+# 3.78 (both cases) in 95 %; of 30 runs of letters in sf0.1 one was above 3.52.
+ALPHABETS = (
+    ("[0-9a-f]", 3.0),
+    ("[0-9A-F]", 3.0),
+    ("[a-z]", 3.5),
+    ("[A-Z]", 3.5),
+    ("[A-Za-z]", 3.75),
+    ("[a-z0-9]", 3.6),
+    ("[A-Z0-9]", 3.6),
+)
 # What looks random but is not secret: UUIDs, words joined into a path or slug,
 # and runs of one character.
 ALLOWED = (
@@ -120,6 +132,10 @@ def window_entropy(text: Column, window: int = WINDOW) -> Column:
     return F.when(size >= window, F.log2(F.lit(float(window))) - least / window)
 
 
+def _reaches(window: int, bits: float):
+    return lambda run: window_entropy(run, window) >= bits
+
+
 def looks_random(found: Column, window: int, allowed: Sequence[str]) -> Column:
     listed = F.lit(False)
     for pattern in allowed:
@@ -129,7 +145,11 @@ def looks_random(found: Column, window: int, allowed: Sequence[str]) -> Column:
         .when(found.rlike("^[^0-9]+$"), THRESHOLDS["letters"])
         .otherwise(THRESHOLDS["mixed"])
     )
-    return ~listed & (window_entropy(found, window) >= threshold)
+    loud = window_entropy(found, window) >= threshold
+    for alphabet, bits in ALPHABETS:
+        runs = F.regexp_extract_all(found, F.lit(f"{alphabet}{{{window},}}"), F.lit(0))
+        loud = loud | F.exists(runs, _reaches(window, bits))
+    return ~listed & loud
 
 
 def secret_spans(

@@ -217,6 +217,24 @@ def test_secrets(spark):
     assert value == pytest.approx(max(entropies))
 
 
+def test_secrets_of_one_alphabet(spark):
+    rng = np.random.default_rng(13)
+    upper_hex, lower, upper = "0123456789ABCDEF", string.ascii_lowercase, string.ascii_uppercase
+    cases = {}
+    for name, letters, n, around in (
+        ("id_", upper_hex, 32, ("id_", "")), ("_x", upper_hex, 32, ("", "_x")), ("id=", upper_hex, 24, ("id=", "")),
+        ("lower", lower, 32, ("", "")), ("upper", upper, 32, ("", "")), ("both", lower + upper, 32, ("", "")),
+    ):
+        cases[name] = ["".join(rng.choice(list(letters), n)).join(around) for _ in range(40)]
+    plain = ["internationalization", "this/is/only/a/long/path/of/words", "123e4567-e89b-12d3-a456-426614174000"]
+    rows = [(n, t) for n, many in cases.items() for t in many] + [("plain", t) for t in plain]
+    df = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(rows)], "doc_id long, name string, text string")
+    found = secrets.secret_spans(df).where(F.size("entropy_spans") > 0).groupBy("name").count()
+    share = {r["name"]: r["count"] / 40 for r in found.collect()}
+    assert "plain" not in share
+    assert all(share.get(name, 0) >= 0.9 for name in cases), share
+
+
 def test_vectors_match_all_pairs(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
