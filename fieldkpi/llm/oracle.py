@@ -24,4 +24,28 @@ ORACLE = {
                CASE WHEN page_id % 1000 = 999 THEN 'missing' ELSE 'changed' END AS fault
         FROM placed WHERE page_id % 97 = 13 OR page_id % 1000 = 999
     """,
+    # Positives and negatives by all inner products of the anchors.
+    "op11_cover_tree_negatives": """
+        WITH rows AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        pairs AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike,
+                   list_inner_product(a.x, b.x)::BIGINT AS score
+            FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score
+            FROM pairs WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT p.anchor_id, p.positive_id,
+               row_number() OVER (PARTITION BY p.anchor_id, p.positive_id
+                   ORDER BY n.score DESC, n.other_id)::INTEGER AS rank,
+               n.other_id AS negative_id, p.positive_score, n.score AS negative_score
+        FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.alike
+         AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+        QUALIFY rank <= 10
+    """,
 }

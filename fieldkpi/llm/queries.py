@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldkpi.llm import (
     fixity,
     hostrank,
     leaks,
+    licenses,
     mixing,
     neardup,
+    negatives,
     repeats,
     secrets,
     severity,
     shards,
     vectors,
+    whitening,
 )
 
 
@@ -69,6 +73,23 @@ def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_read(spark, sf_dir, "documents"))
 
 
+def _hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row is mislabelled; every hundredth is an anchor."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.integer_rows(
+        _read(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0
+    )
+    return negatives.mine_negatives(rows)
+
+
+def _whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_read(spark, sf_dir, "embeddings"))
+
+
+def _licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_spaced_seed_leaks": _leaks,
     "op2_repeated_passages": _repeats,
@@ -80,4 +101,7 @@ QUERIES = {
     "op8_training_order": _training_order,
     "op9_host_rank": _url_filter,
     "op10_source_mixture": _mixture,
+    "op11_cover_tree_negatives": _hard_negatives,
+    "op12_cholesky_jacobi_whitening": _whitening,
+    "op13_license_diagonals": _licenses,
 }
