@@ -42,7 +42,8 @@ BLOCK_CELLS = 1 << 22
 LEAST_ROWS = 2048
 FAN = 16
 LEAF = 64
-AT_ONCE = 4  # leaves an anchor visits between two looks at its kept partners
+QUERIES = 1024  # anchors searched at a time
+AT_ONCE = 8  # leaves an anchor visits between two looks at its kept partners
 FAR = 1 << 62
 LONG = (1 << 63) - 1
 
@@ -150,62 +151,100 @@ def search_tree(
     kind = np.int64 if (min(top, LONG) + 1) * m < FAR else object
     none = -FAR if kind is np.int64 else -(1 << 200)
     tree = CoverTree(xf)
+    # A leaf of equal rows may be long: its runs of LEAF rows share its bounds.
+    node, leaves = [], []
+    for at, (_, _, _, start, stop) in enumerate(tree.levels[-1]):
+        rows_of = np.sort(tree.order[start:stop])
+        for i in range(0, len(rows_of), LEAF):
+            node.append(at)
+            leaves.append(rows_of[i : i + LEAF])
+    out = []
+    for start in range(0, len(q), QUERIES):
+        part = slice(start, start + QUERIES)
+        best = np.full((len(q[part]), low.shape[1], keep), none, dtype=kind)
+
+        def scores(who: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            who = who + start
+            if in_doubles:
+                score = np.rint(qf[who] @ xf[mine].T).astype(np.int64)
+            else:
+                score = q[who].astype(object) @ x[mine].T.astype(object)
+                score = np.clip(score, -LONG, LONG)
+            alike = queries["label"][who][:, None] == rows["label"][mine][None, :]
+            other = queries["rid"][who][:, None] != rows["rid"][mine][None, :]
+            return score, (alike if same else ~alike) & other
+
+        _best_first(
+            tree, node, leaves, qf[part], xf, low[part], high[part], best, none, scores
+        )
+        who, window, place = np.nonzero(best != none)
+        codes = best[who, window, place]
+        rank, score = (m - 1 - codes % m).tolist(), (codes // m).tolist()
+        out += zip((who + start).tolist(), window.tolist(), rank, score)
+    return out
+
+
+def _best_first(tree, node, leaves, q, x, low, high, best, none, scores) -> None:
+    """Fill ``best`` (per query and window, worst first) from the leaves that the windows
+    touch, each query's own best bound first."""
+    m, keep, kind = len(x), best.shape[2], best.dtype
     low_f, high_f = low.astype(float), high.astype(float)
     windows = range(low.shape[1])
     touch = np.ones((len(q), 1), bool)
     for level in tree.levels:  # nodes that touch a window, below such nodes
-        least, most = tree.bounds(qf, xf, level)
+        least, most = tree.bounds(q, x, level)
         touch = touch[:, [n[2] for n in level]] & np.logical_or.reduce(
             [(most >= low_f[:, w, None]) & (least <= high_f[:, w, None]) for w in windows]
         )
-    leaves = [np.sort(tree.order[n[3] : n[4]]) for n in tree.levels[-1]]
+    least, most, touch = least[:, node], most[:, node], touch[:, node]
     visit = np.argsort(np.where(touch, -most, np.inf), axis=1, kind="stable")
-    best = np.full((len(q), len(windows), keep), none, dtype=kind)
-    kth = np.full((len(q), len(windows)), -np.inf)
-    everyone = np.arange(len(q))[:, None]
+    kth = np.full(low.shape, -np.inf)
     for first in range(0, len(leaves), AT_ONCE):
         some = visit[:, first : first + AT_ONCE]
-        least_s, most_s = least[everyone, some], most[everyone, some]
-        need = touch[everyone, some] & np.logical_or.reduce(
+        row = np.arange(len(q))[:, None]
+        least_s, most_s = least[row, some], most[row, some]
+        need = touch[row, some] & np.logical_or.reduce(
             [
                 (most_s >= np.maximum(low_f[:, w], kth[:, w])[:, None])
                 & (least_s <= high_f[:, w, None])
                 for w in windows
             ]
         )
-        if not need.any():
-            continue
         who, place = np.nonzero(need)
+        if not len(who):
+            continue
+        # Of every asking query, the rows of its leaves beside each other.
+        asking, line = np.unique(who, return_inverse=True)
+        value = np.zeros((len(asking), AT_ONCE, LEAF), kind)
+        code = np.full((len(asking), AT_ONCE, LEAF), none, dtype=kind)
         leaf_of = some[who, place]
         by = np.argsort(leaf_of, kind="stable")
-        who, leaf_of = who[by], leaf_of[by]
-        cuts = np.flatnonzero(np.diff(leaf_of)) + 1
-        for a, leaf in zip(np.split(who, cuts), leaf_of[np.concatenate([[0], cuts])]):
-            mine = leaves[leaf]
-            if in_doubles:
-                score = np.rint(qf[a] @ xf[mine].T).astype(np.int64)
-            else:
-                score = q[a].astype(object) @ x[mine].T.astype(object)
-                score = np.clip(score, -LONG, LONG)
-            alike = queries["label"][a][:, None] == rows["label"][mine][None, :]
-            other = queries["rid"][a][:, None] != rows["rid"][mine][None, :]
-            allowed = (alike if same else ~alike) & other
-            code = score.astype(kind) * m + (m - 1 - mine)
-            for w in windows:
-                fits = allowed & (score >= low[a, w, None]) & (score <= high[a, w, None])
-                if fits.any():
-                    found = np.where(fits, code, none)
-                    if len(mine) > keep and kind is np.int64:
-                        found = np.partition(found, len(mine) - keep, axis=1)[:, -keep:]
-                    merged = np.sort(np.concatenate([best[a, w], found], axis=1), axis=1)
-                    best[a, w] = merged[:, -keep:]
+        ends = np.flatnonzero(np.diff(leaf_of[by])) + 1
+        for group in np.split(by, ends):
+            mine = leaves[leaf_of[group[0]]]
+            score, allowed = scores(who[group], mine)
+            score = score.astype(kind)
+            value[line[group], place[group], : len(mine)] = score
+            code[line[group], place[group], : len(mine)] = np.where(
+                allowed, score * m + (m - 1 - mine), none
+            )
+        value, code = value.reshape(len(asking), -1), code.reshape(len(asking), -1)
+        for w in windows:
+            better = (
+                (code > best[asking, w, :1])
+                & (value >= low[asking, w, None])
+                & (value <= high[asking, w, None])
+            )
+            some_better = better.any(axis=1)
+            if some_better.any():
+                a = asking[some_better]
+                found = np.where(better[some_better], code[some_better], none)
+                merged = np.concatenate([best[a, w], found], axis=1)
+                if kind == np.int64:
+                    merged = np.partition(merged, merged.shape[1] - keep, axis=1)[:, -keep:]
+                best[a, w] = np.sort(merged, axis=1)[:, -keep:]
         full = best[:, :, 0] != none
         kth[full] = (best[:, :, 0][full] // m).astype(float)
-    who, window, place = np.nonzero(best != none)
-    codes = best[who, window, place]
-    return list(
-        zip(who.tolist(), window.tolist(), (m - 1 - codes % m).tolist(), (codes // m).tolist())
-    )
 
 
 def _largest(x: np.ndarray) -> int:
