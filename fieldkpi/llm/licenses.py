@@ -128,41 +128,32 @@ TEMPLATES = (
 
 def words_of(text: Column) -> Column:
     """Words of a text, A-Z lower-cased."""
-    return F.filter(F.split(lower_ascii(text), APART), lambda w: w != "")
+    return F.array_remove(F.split(lower_ascii(text), APART), "")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is made once, though its parts are used at every step."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _gram_hashes(words: Column, k: int) -> Column:
-    """Structs ``pos, gram`` of the k words from each position on; of k words at least."""
-    return _let(
-        F.transform(words, lambda w: F.xxhash64(w)),
-        lambda h: F.transform(
-            F.sequence(F.lit(0), F.size(h) - k),
-            lambda i: F.struct(
-                i.alias("pos"), F.xxhash64(*[h[i + j] for j in range(k)]).alias("gram")
-            ),
-        ),
-    )
+def rolling_grams(rows: DataFrame, k: int, *columns: str) -> DataFrame:
+    """``columns`` with ``pos, gram, tuple``: each k words in a row of ``words`` and their
+    hash. The array is slid against itself, so all is compiled; no step runs per word."""
+    n = F.size("words") - (k - 1)
+    slid = F.arrays_zip(*[F.slice("words", j + 1, n).alias(f"w{j}") for j in range(k)])
+    cut = rows.where(F.size("words") >= k).select(*columns, F.posexplode(slid).alias("pos", "tuple"))
+    return cut.withColumn("gram", F.xxhash64(*[F.col("tuple")[f"w{j}"] for j in range(k)]))
 
 
 def template_grams(
     spark: SparkSession, templates: tuple[Template, ...] = TEMPLATES, k: int = GRAM
 ) -> DataFrame:
-    """Rows ``template, tpos, gram, tgram``: one per k words of each template."""
+    """Rows ``template, tpos, gram, ttuple``: one per k words of each template."""
     given = F.array(
         *[
             F.struct(F.lit(i).alias("template"), F.lit(t.text).alias("text"))
             for i, t in enumerate(templates)
         ]
     )
-    cut = spark.range(1).select(F.inline(given)).select("template", words_of(F.col("text")).alias("w"))
-    cut = cut.where(F.size("w") >= k)
-    return cut.select("template", "w", F.inline(_gram_hashes(F.col("w"), k))).select(
-        "template", F.col("pos").alias("tpos"), "gram", F.slice("w", F.col("pos") + 1, k).alias("tgram")
+    cut = spark.range(1).select(F.inline(given))
+    cut = cut.select("template", words_of(F.col("text")).alias("words"))
+    return rolling_grams(cut, k, "template").select(
+        "template", F.col("pos").alias("tpos"), "gram", F.col("tuple").alias("ttuple")
     )
 
 
@@ -219,16 +210,12 @@ def license_spans(
     the different texts in which a template is verified. A span that reaches over more than
     twice the template's words is judged by its best diagonal alone."""
     spark = docs.sparkSession
-    grams = (
-        document_words(docs)
-        .where(F.size("words") >= k)
-        .select("k1", "k2", "words", F.inline(_gram_hashes(F.col("words"), k)))
-    )
+    grams = rolling_grams(document_words(docs), k, "k1", "k2")
     # Both sides of the product of positions are hashes that agree; the templates are
     # fixed text, so their grams are of known size.
     hits = (
         grams.join(F.broadcast(template_grams(spark, templates, k)), "gram")
-        .where(F.slice("words", F.col("pos") + 1, k) == F.col("tgram"))
+        .where(F.col("tuple") == F.col("ttuple"))
         .select("k1", "k2", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos")
     )
     votes = hits.groupBy("k1", "k2", "template", "diagonal").agg(
