@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldkpi.functions.labels import CART_PARTNER, PICKUP_EVENT, TRAVEL_EVENT, partner_label
 from fieldkpi.functions.times import shift_day
 from fieldkpi.operators import (
+    levels,
     located,
     orders,
     ped_views,
@@ -25,19 +25,24 @@ from fieldkpi.sources import tables
 from fieldkpi.sources.star_roles import AS_OF, CHANGE_DATE, StarRoles
 from oracle.queries import ORACLE
 
-# The corpus operators are optional: without their folder the rest still works.
+# The corpus operators are optional: without their folder, or a library that only they
+# need, the rest still works.
 _CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _CORPUS_ORACLE: dict[str, str] = {}
-if importlib.util.find_spec("fieldkpi.llm") and importlib.util.find_spec("corpus_pipeline"):
+try:
     import corpus_pipeline
     from fieldkpi.llm.oracle import ORACLE as _CORPUS_SQL
     from fieldkpi.llm.queries import QUERIES as _CORPUS
-
+except ImportError:
+    pass
+else:
     _CORPUS_QUERIES = _CORPUS | {"pipeline": corpus_pipeline.run}
     _CORPUS_ORACLE = _CORPUS_SQL
 
 # Zones and product list of the zone and product restricted travel samples.
 SAMPLE_SKUS = [str(n) for n in range(0, 200)]
+# Rows of one array of samples.
+CHUNK = 100
 
 
 # --- shared inputs ---------------------------------------------------------
@@ -167,7 +172,7 @@ def _joined_list(column: str) -> Column:
 
 
 def _as_text(arrays: DataFrame, *keys: str) -> DataFrame:
-    return arrays.select(*keys, "part", *(_joined_list(m) for m in travel.TRAVEL_METRICS))
+    return arrays.select(*keys, *(_joined_list(m) for m in travel.TRAVEL_METRICS))
 
 
 # --- the deck --------------------------------------------------------------
@@ -244,6 +249,11 @@ _QUERIES: dict[str, Callable[[StarRoles], DataFrame]] = {
     "pickup_duration_per_unit": lambda s: pickups.pickup_duration_per_unit(_events(s), _units(s)),
     "pickup_units_histogram": lambda s: pickups.pickup_units_histogram(_units(s)),
     "pickup_class_mix": lambda s: pickups.pickup_class_mix(_events(s), _units(s)),
+    "ped_levels": lambda s: levels.ped_levels(_events(s)),
+    "upp_levels": lambda s: levels.upp_levels(_events(s), _units(s)),
+    "distinct_expert_levels": lambda s: levels.distinct_levels(
+        levels.daily_bitmaps(_events(s)), "n_experts"
+    ),
     # Pickup rates by location, product, week, region, expert
     "ped_by_location": lambda s: ped_views.ped_by_location(*s.get("locations", "transfers")),
     "ped_by_sku": lambda s: ped_views.ped_by_sku(
@@ -292,7 +302,7 @@ _QUERIES: dict[str, Callable[[StarRoles], DataFrame]] = {
         travel.apportioned_travel(*_travel_tables(s), by_market=False)
     ),
     "travel_share_of_shift": lambda s: travel.travel_share_of_shift(
-        *s.get("shifts", "sched", "blocks", *_PLACE)
+        *s.get("shifts", "sched"), s.blocks_of(TRAVEL_EVENT), *s.get(*_PLACE), until=AS_OF
     ),
     "utilization_pvt": lambda s: travel.utilization_pvt(
         *s.get("shifts", "sched", "blocks", *_PLACE), first="2016-08-01", as_of=AS_OF
@@ -327,16 +337,19 @@ _QUERIES: dict[str, Callable[[StarRoles], DataFrame]] = {
         _travel_rows(s, skus=SAMPLE_SKUS), "visit_id", "visit_date", "market"
     ),
     "travel_sample_arrays": lambda s: _as_text(
-        travel.sample_arrays(_travel_rows(s, skus=SAMPLE_SKUS), "visit_date"), "visit_date"
+        travel.sample_arrays(_travel_rows(s, skus=SAMPLE_SKUS), "visit_date"), "visit_date", "part"
     ),
     "travel_sample_arrays_by_zone": lambda s: _as_text(
-        travel.sample_arrays(_zone_rows(s), "zone", "visit_date"), "zone", "visit_date"
+        travel.sample_arrays(_zone_rows(s), "zone", "visit_date"), "zone", "visit_date", "part"
+    ),
+    "travel_sample_chunks": lambda s: _as_text(
+        travel.chunked_arrays(_travel_rows(s), "market", length=CHUNK), "market", "chunk", "n"
     ),
-    "travel_array_means": lambda s: travel.array_means(
-        travel.sample_arrays(_travel_rows(s), "visit_date"), "visit_date"
+    "travel_array_means": lambda s: travel.chunk_means(
+        travel.chunked_arrays(_travel_rows(s), "visit_date", length=CHUNK), "visit_date"
     ),
     "travel_arrays_exploded": lambda s: travel.explode_arrays(
-        travel.sample_arrays(_travel_rows(s), "market"), "market"
+        travel.chunked_arrays(_travel_rows(s), "market", length=CHUNK), "market"
     ),
     # Orders
     "same_day_share": lambda s: orders.same_day_share(*s.get("visit_facts", "orders")),

@@ -18,6 +18,10 @@ DEFAULT_SINCE = "2016-09-25"
 DECK_START = "2016-09-26"
 HEADQUARTERS_ZONE = "America/Los_Angeles"
 
+# A block counts for the shift it is scheduled in if it starts at most so many days before
+# or after the shift does.
+SHIFT_MARGIN_DAYS = 2
+
 
 def day(value: Day) -> Column:
     return F.lit(value).cast("date")
@@ -65,5 +69,26 @@ def could_be_between(ts_utc: str | Column, first: Day, last: Day) -> Column:
     return (_col(ts_utc) >= lower) & (_col(ts_utc) < upper)
 
 
+def near_shift(block_start: str | Column, shift_start: str | Column) -> Column:
+    """Whether a block starts within ``SHIFT_MARGIN_DAYS`` of its shift's start."""
+    margin = F.make_dt_interval(days=F.lit(SHIFT_MARGIN_DAYS))
+    start = _col(shift_start)
+    return _col(block_start).between(start - margin, start + margin)
+
+
+def could_be_near_shifts(
+    ts_utc: str | Column, first: Day | None = None, last: Day | None = None
+) -> Column:
+    """Raw-timestamp test implied by ``near_shift`` for shifts of local days ``first`` to
+    ``last``; a missing end is open."""
+    test = F.lit(True)
+    if first is not None:
+        lower = day(shift_day(first, -1 - SHIFT_MARGIN_DAYS)).cast("timestamp_ntz")
+        test = _col(ts_utc) >= lower
+    if last is not None:
+        test &= _col(ts_utc) < day(shift_day(last, 2 + SHIFT_MARGIN_DAYS)).cast("timestamp_ntz")
+    return test
+
+
 def _col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value

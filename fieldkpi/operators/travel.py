@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldkpi.functions.joins import join_same
@@ -24,10 +24,12 @@ from fieldkpi.functions.times import (
     Day,
     could_be_after,
     could_be_between,
+    could_be_near_shifts,
     day,
     hours_between,
     local_date,
     minutes_between,
+    near_shift,
 )
 from fieldkpi.operators.located import at_home, by_day_and_market, scheduled_events
 
@@ -35,6 +37,9 @@ from fieldkpi.operators.located import at_home, by_day_and_market, scheduled_eve
 # visit, total.
 TRAVEL_METRICS = ("vtt", "ptt", "pttpv", "ttt")
 
+# Roles of a trip.
+VISIT_LEG, PICKUP_LEG = "visit", "pickup"
+
 
 def order_transfers(
     items: DataFrame, bridge: DataFrame, skus: Sequence[str] | None = None
@@ -64,6 +69,21 @@ def visits_per_transfer(visits: DataFrame, served: DataFrame) -> DataFrame:
     )
 
 
+def _shared_out(visits: DataFrame, served: DataFrame, pickup_trips: DataFrame) -> DataFrame:
+    """Pickup trips with the part that falls to one visit."""
+    return (
+        visits_per_transfer(visits, served)
+        .join(pickup_trips, "inventory_transfer_id")
+        .select(
+            "inventory_transfer_id",
+            "pickup_expert_id",
+            "pickup_start",
+            "ptt",
+            ratio("ptt", "n_visits").alias("pttpv"),
+        )
+    )
+
+
 def pickup_travel(
     visits: DataFrame,
     served: DataFrame,
@@ -71,34 +91,102 @@ def pickup_travel(
     blocks: DataFrame,
     sched: DataFrame,
 ) -> DataFrame:
-    """Trip of each transfer and the part of it that falls to one visit.
+    """Trip of each transfer and the part of it that falls to one visit."""
+    return _shared_out(visits, served, _pickup_trips(trip_base(None, transfers, blocks, sched)))
+
+
+def trip_base(
+    visits: DataFrame | None,
+    transfers: DataFrame,
+    blocks: DataFrame,
+    sched: DataFrame,
+    *keep: str,
+) -> DataFrame:
+    """Every scheduled trip of a visit and of a transfer, tagged with its ``role``.
 
-    The transfers join after the visits are counted, on the key of that count.
+    Visits and transfers are one set of tagged legs that meets blocks and schedules once.
+    Equal rows become one with its number of ``copies``. The role is an aggregate, so a
+    filter on it stays above, and the plan below is the same for all uses: Spark runs it
+    once and reads its exchange again. Without visits it holds the trips to pickups alone.
     """
+    empty = F.lit(None).cast("bigint")
+    legs = transfers.select(
+        F.lit(PICKUP_LEG).alias("leg"),
+        empty.alias("visit_id"),
+        empty.alias("order_id"),
+        empty.alias("expert_id"),
+        F.col("id").cast("bigint").alias("inventory_transfer_id"),
+        "travel_time_id",
+        *(F.lit(None).cast(visits.schema[k].dataType).alias(k) for k in keep),
+    )
+    if visits is not None:
+        legs = legs.unionByName(
+            visits.select(
+                F.lit(VISIT_LEG).alias("leg"),
+                F.col("id").cast("bigint").alias("visit_id"),
+                F.col("order_id").cast("bigint").alias("order_id"),
+                F.col("expert_id").cast("bigint").alias("expert_id"),
+                empty.alias("inventory_transfer_id"),
+                "travel_time_id",
+                *keep,
+            )
+        )
     trips = scheduled_events(blocks, sched, TRAVEL_EVENT).select(
-        F.col("event_id").alias("pickup_travel_id"),
-        F.col("expert_id").alias("pickup_expert_id"),
-        F.col("start_time").alias("pickup_start"),
-        minutes_between("start_time", "end_time").alias("ptt"),
+        F.col("event_id").alias("travel_time_id"),
+        F.col("expert_id").alias("trip_expert_id"),
+        "start_time",
+        minutes_between("start_time", "end_time").alias("minutes"),
     )
-    transfer = transfers.select(
-        F.col("id").alias("inventory_transfer_id"),
-        F.col("travel_time_id").alias("pickup_travel_id"),
+    joined = legs.join(trips, "travel_time_id")
+    return joined.groupBy(*joined.columns).agg(
+        F.max("leg").alias("role"), F.count(F.lit(1)).alias("copies")
     )
-    return (
-        visits_per_transfer(visits, served)
-        .join(transfer, "inventory_transfer_id")
-        .join(trips, "pickup_travel_id")
-        .select(
-            "inventory_transfer_id",
-            "pickup_expert_id",
-            "pickup_start",
-            "ptt",
-            ratio("ptt", "n_visits").alias("pttpv"),
-        )
+
+
+def _of_role(base: DataFrame, role: str, **columns: str) -> DataFrame:
+    """The rows of one role, each as often as it stood, with ``columns`` (new name, old name).
+
+    The columns depend on the role, so that what Spark infers of them (a join key is not
+    null) also stays above the aggregate.
+    """
+    this = F.col("role") == role
+    rows = base.where(this).select(
+        *(F.when(this, F.col(old)).alias(new) for new, old in columns.items()), "copies"
+    )
+    often = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    return rows.select(*columns, often).drop("copy")
+
+
+def _pickup_trips(base: DataFrame) -> DataFrame:
+    return _of_role(
+        base,
+        PICKUP_LEG,
+        inventory_transfer_id="inventory_transfer_id",
+        pickup_expert_id="trip_expert_id",
+        pickup_start="start_time",
+        ptt="minutes",
     )
 
 
+def _visit_and_pickup_trips(
+    visits: DataFrame,
+    transfers: DataFrame,
+    blocks: DataFrame,
+    sched: DataFrame,
+    *keep: str,
+    between: tuple[Day, Day] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Trips of visits and of transfers. Without a window both come out of one base; a
+    window bounds the visits' trips at the scan, which pickups on any day may not share."""
+    if between is not None:
+        own = visit_trips(visits, blocks, sched, *keep, between=between)
+        return own, _pickup_trips(trip_base(None, transfers, blocks, sched))
+    base = trip_base(visits, transfers, blocks, sched, *keep)
+    same = ("visit_id", "order_id", "expert_id", "trip_expert_id", "start_time", *keep)
+    own = _of_role(base, VISIT_LEG, **{k: k for k in same}, vtt="minutes")
+    return own, _pickup_trips(base)
+
+
 def visit_trips(
     visits: DataFrame,
     blocks: DataFrame,
@@ -147,18 +235,18 @@ def visit_travel_rows(
     wanted = served if skus is None else order_transfers(items, bridge, skus)
     # Equal trips of an order are one row before they meet its visits. The test on the count
     # keeps the column alive, so that both uses of the bridge are one plan and one shuffle.
+    rows, to_pickup = _visit_and_pickup_trips(
+        visits, transfers, blocks, sched, *_address_column(zones), between=between
+    )
     pickups = (
         wanted.where(F.col("n_items") > 0)
         .join(
-            pickup_travel(visits, served, transfers, blocks, sched).select(
-                "inventory_transfer_id", "ptt", "pttpv"
-            ),
+            _shared_out(visits, served, to_pickup).select("inventory_transfer_id", "ptt", "pttpv"),
             "inventory_transfer_id",
         )
         .select("order_id", "ptt", "pttpv")
         .distinct()
     )
-    rows = visit_trips(visits, blocks, sched, *_address_column(zones), since=since, between=between)
     keys = ["visit_id", "visit_date", "market"]
     if zones is not None:
         address = addresses.select(F.col("address_id").alias("meeting_address_id"), "zip")
@@ -198,23 +286,13 @@ def apportioned_travel(
     each side is reduced before they meet and no product of the two is formed.
     """
     served = order_transfers(items, bridge)
-    pickups = pickup_travel(visits, served, transfers, blocks, sched)
-    trips = visit_trips(visits, blocks, sched, since=since)
+    trips, to_pickup = _visit_and_pickup_trips(visits, transfers, blocks, sched)
+    pickups = _shared_out(visits, served, to_pickup)
     keys = ["visit_id", "visit_date"] + (["market"] if by_market else [])
-    return _smallest_totals(trips, served, pickups, experts, centers, since, keys)
-
-
-def _smallest_totals(
-    trips: DataFrame,
-    served: DataFrame,
-    pickups: DataFrame,
-    experts: DataFrame,
-    centers: DataFrame,
-    since: Day,
-    keys: Sequence[str],
-) -> DataFrame:
+    # The test on the count keeps both uses of the bridge one plan, as above.
     part_of_order = (
-        served.join(pickups.select("inventory_transfer_id", "pttpv"), "inventory_transfer_id")
+        served.where(F.col("n_items") > 0)
+        .join(pickups.select("inventory_transfer_id", "pttpv"), "inventory_transfer_id")
         .groupBy("order_id")
         .agg(F.min("pttpv").alias("pickup_part"))
     )
@@ -252,20 +330,30 @@ def shift_event_minutes(
     blocks: DataFrame,
     event_types: Sequence[str],
     shifts: DataFrame,
+    first: Day | None = None,
+    last: Day | None = None,
 ) -> DataFrame:
     """Minutes of the given events in each shift and expert.
 
-    Only schedules of ``shifts`` (shift_id, one row each) meet the blocks. The sum comes
-    before the shifts' own columns; a null sum (no usable block) stays null.
+    Only schedules of ``shifts`` (shift_id, start_time, one row each) meet the blocks, and a
+    block counts only if it starts within ``SHIFT_MARGIN_DAYS`` of the shift's start. So the
+    local days of the shifts, ``first`` to ``last``, bound the scan of the blocks too. The
+    sum comes before the shifts' own columns; a null sum (no usable block) stays null.
     """
-    events = blocks.where(F.col("enabled") & F.col("event_type").isin(list(event_types))).select(
+    events = blocks.where(
+        F.col("enabled")
+        & F.col("event_type").isin(list(event_types))
+        & could_be_near_shifts("start_time", first, last)
+    ).select(
         F.col("id").alias("calendar_block_id"),
+        F.col("start_time").alias("block_start"),
         minutes_between("start_time", "end_time").alias("minutes"),
     )
     return (
         sched.select("calendar_block_id", "shift_id", "expert_id")
-        .join(shifts.select("shift_id"), "shift_id")
+        .join(shifts.select("shift_id", F.col("start_time").alias("shift_start")), "shift_id")
         .join(events, "calendar_block_id")
+        .where(near_shift("block_start", "shift_start"))
         .groupBy("shift_id", "expert_id")
         .agg(F.sum("minutes").alias("event_minutes"))
     )
@@ -278,21 +366,25 @@ def travel_share_of_shift(
     experts: DataFrame,
     centers: DataFrame,
     since: Day = DEFAULT_SINCE,
+    until: Day | None = None,
 ) -> DataFrame:
-    """Mean over shifts of travel as a percentage of the shift."""
-    open_shifts = shifts.where(F.col("enabled") & could_be_after("start_time", since)).select(
+    """Mean over shifts of travel as a percentage of the shift; local shift days after
+    ``since``, up to ``until`` if given."""
+    near = could_be_after("start_time", since)
+    in_time = F.col("shift_date") > day(since)
+    if until is not None:
+        near &= could_be_between("start_time", since, until)
+        in_time &= F.col("shift_date") <= day(until)
+    open_shifts = shifts.where(F.col("enabled") & near).select(
         F.col("id").alias("shift_id"),
         "start_time",
         minutes_between("start_time", "end_time").alias("shift_minutes"),
     )
+    minutes = shift_event_minutes(sched, blocks, [TRAVEL_EVENT], open_shifts, since, until)
     shares = (
-        at_home(
-            shift_event_minutes(sched, blocks, [TRAVEL_EVENT], open_shifts).join(open_shifts, "shift_id"),
-            experts,
-            centers,
-        )
+        at_home(minutes.join(open_shifts, "shift_id"), experts, centers)
         .withColumn("shift_date", local_date("start_time", "time_zone"))
-        .where(F.col("shift_date") > day(since))
+        .where(in_time)
         .groupBy("shift_id", "shift_date", "market", "shift_minutes")
         .agg(F.sum("event_minutes").alias("event_minutes"))
     )
@@ -322,15 +414,13 @@ def utilization_pvt(
         & shift_date.between(day(first), day(as_of))
     ).select(
         F.col("id").alias("shift_id"),
+        "start_time",
         shift_date.alias("shift_date"),
         minutes_between("start_time", "end_time").alias("shift_minutes"),
     )
+    minutes = shift_event_minutes(sched, blocks, PVT_EVENTS, open_shifts, first, as_of)
     per_shift = (
-        at_home(
-            shift_event_minutes(sched, blocks, PVT_EVENTS, open_shifts).join(open_shifts, "shift_id"),
-            experts,
-            centers,
-        )
+        at_home(minutes.join(open_shifts, "shift_id"), experts, centers)
         .groupBy("shift_id", "shift_date", "market", "shift_minutes")
         .agg(F.sum("event_minutes").alias("pvt"))
     )
@@ -400,30 +490,56 @@ def travel_metrics(
     if partner_orders is not None:
         visits = visits.join(partner_orders.select("order_id").dropDuplicates(), "order_id")
     served = order_transfers(items, bridge)
-    pickups = pickup_travel(visits, served, transfers, blocks, sched)
-    trips = visit_trips(visits, blocks, sched, since=since, between=between)
+    trips, to_pickup = _visit_and_pickup_trips(visits, transfers, blocks, sched, between=between)
+    pickups = _shared_out(visits, served, to_pickup)
     keys = ["visit_date", "market"]
     in_time = F.col("visit_date") > day(since)
     if between is not None:
         in_time &= F.col("visit_date").between(*map(day, between))
 
+    # What an order's visits need of its transfers: their items, and the least pickup part.
     known = transfers.select(F.col("id").alias("inventory_transfer_id"))
-    items_of_order = (
+    least_part = pickups.groupBy("inventory_transfer_id").agg(F.min("pttpv").alias("pttpv"))
+    of_order = (
         served.join(known, "inventory_transfer_id")
+        .join(least_part, "inventory_transfer_id", "left")
         .groupBy("order_id")
-        .agg(F.sum("n_items").alias("n_rows"))
+        .agg(
+            F.sum("n_items").alias("n_rows"),
+            F.min("pttpv").alias("pickup_part"),
+            F.count("pttpv").alias("n_parts"),
+        )
+    )
+    # Each trip twice, tagged: placed by its own expert, and by the expert of the visit.
+    placing = F.array(
+        F.struct(F.lit(True).alias("as_trip"), F.col("trip_expert_id").alias("placed_by")),
+        F.struct(F.lit(False).alias("as_trip"), F.col("expert_id").alias("placed_by")),
     )
-    visit_means = (
-        at_home(trips.join(items_of_order, "order_id"), experts, centers, "trip_expert_id")
+    tagged = trips.join(of_order, "order_id").select(
+        "visit_id", "start_time", "vtt", "n_rows", "pickup_part", "n_parts", F.inline(placing)
+    )
+    as_trip = F.col("as_trip")
+    per_visit = (
+        at_home(tagged, experts, centers, "placed_by")
         .withColumn("visit_date", local_date("start_time", "time_zone"))
-        .where(in_time)
-        .groupBy(*keys)
+        .where(in_time & (as_trip | (F.col("n_parts") > 0)))
+        .groupBy(*keys, "visit_id", "as_trip")
+        .agg(
+            F.sum(F.when(as_trip, F.col("vtt") * F.col("n_rows"))).alias("minutes"),
+            F.sum(F.when(as_trip & F.col("vtt").isNotNull(), F.col("n_rows"))).alias("n_rows"),
+            F.min(F.when(~as_trip, F.col("vtt") + F.col("pickup_part"))).alias("total"),
+        )
+    )
+    visits_of_day = (
+        per_visit.groupBy(*keys)
         .agg(
-            ratio(
-                F.sum(F.col("vtt") * F.col("n_rows")),
-                F.sum(F.when(F.col("vtt").isNotNull(), F.col("n_rows"))),
-            ).alias("visit_travel_time")
+            F.avg("total").alias("avg_total_travel_time"),
+            ratio(F.sum("minutes"), F.sum("n_rows")).alias("visit_travel_time"),
+            F.bool_or(as_trip).alias("has_trips"),
+            F.bool_or(~as_trip).alias("has_totals"),
         )
+        .where("has_trips AND has_totals")
+        .drop("has_trips", "has_totals")
     )
 
     measures = [
@@ -443,14 +559,7 @@ def travel_metrics(
         .groupBy(*keys)
         .agg(*measures)
     )
-
-    totals = (
-        _smallest_totals(trips, served, pickups, experts, centers, since, ["visit_id", *keys])
-        .where(in_time)
-        .groupBy(*keys)
-        .agg(F.avg("total_travel_time").alias("avg_total_travel_time"))
-    )
-    return totals.join(visit_means, keys).join(pickup_means, keys)
+    return visits_of_day.join(pickup_means, keys)
 
 
 def travel_metrics_spread(*tables: DataFrame, **options) -> DataFrame:
@@ -504,6 +613,70 @@ def sample_arrays(rows: DataFrame, *keys: str, parts: int = 1) -> DataFrame:
     )
 
 
+def chunked_arrays(
+    rows: DataFrame,
+    *keys: str,
+    length: int,
+    order: str = "visit_id",
+    together: int = 50_000,
+) -> DataFrame:
+    """Samples as arrays of ``length`` rows, the last of a group shorter.
+
+    Rows ``keys, chunk, n, vtt, ptt, pttpv, ttt`` with ``sum_`` and ``count_`` of each metric
+    beside its array, so that means need no array. A group's rows stand in the order of
+    ``order`` (a number), then of their values; a row's place follows from the sizes of the
+    ranges of ``order`` before its own. A range is as wide as about ``together`` rows of
+    the group would fill evenly, and only one range is ordered in a task.
+    """
+    if length < 1:
+        raise ValueError(f"length must be positive, not {length}")
+    keys = list(keys)
+    spans = rows.groupBy(*keys).agg(
+        F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count(F.lit(1)).alias("_n")
+    )
+    width = F.greatest(
+        F.ceil((F.col("_hi") - F.col("_lo") + 1) * F.lit(float(together)) / F.col("_n")), F.lit(1)
+    )
+    # A row without a number stands first, in a range of its own.
+    of_range = F.coalesce(F.floor((F.col(order) - F.col("_lo")) / width), F.lit(-1))
+    dealt = join_same(rows, spans, keys).select(
+        *keys, order, *TRAVEL_METRICS, of_range.alias("_range")
+    )
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    starts = (
+        dealt.groupBy(*keys, "_range")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .select(*keys, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
+    )
+    inside = Window.partitionBy(*keys, "_range").orderBy(order, *TRAVEL_METRICS)
+    placed = join_same(
+        dealt.withColumn("_place", F.row_number().over(inside) - 1), starts, [*keys, "_range"]
+    ).withColumn("_at", F.col("_first") + F.col("_place"))
+
+    def ordered(metric: str) -> Column:
+        pairs = F.array_sort(F.collect_list(F.struct("_at", metric)))
+        return F.transform(pairs, lambda p: p[metric]).alias(metric)
+
+    return (
+        placed.groupBy(*keys, F.floor(F.col("_at") / length).cast("int").alias("chunk"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *(ordered(m) for m in TRAVEL_METRICS),
+            *(F.sum(m).alias(f"sum_{m}") for m in TRAVEL_METRICS),
+            *(F.count(m).alias(f"count_{m}") for m in TRAVEL_METRICS),
+        )
+    )
+
+
+def chunk_means(chunks: DataFrame, *keys: str) -> DataFrame:
+    """Mean of each metric over all chunks of a group, from the sums beside the arrays."""
+    return chunks.groupBy(*keys).agg(
+        *(ratio(F.sum(f"sum_{m}"), F.sum(f"count_{m}")).alias(m) for m in TRAVEL_METRICS)
+    )
+
+
 def array_means(arrays: DataFrame, *keys: str) -> DataFrame:
     """Mean of each array column, over all parts of a group."""
     totals = []

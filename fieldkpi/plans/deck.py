@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldkpi.functions.joins import held_on_day
 from fieldkpi.functions.labels import (
     CANCELED,
     DECK_PICKUP_EVENTS,
@@ -23,10 +24,12 @@ from fieldkpi.functions.times import (
     DEFAULT_SINCE,
     Day,
     could_be_between,
+    could_be_near_shifts,
     day,
     headquarters_date,
     hours_between,
     local_date,
+    near_shift,
     shift_day,
 )
 
@@ -83,20 +86,25 @@ def roster_days(
         "market",
         "time_zone",
     )
-    spells = profile_changes.select(
-        F.col("expert_id").alias("spell_expert_id"),
-        "enjoyment_center_id",
-        "effective_start_date",
-        "effective_end_date",
-    )
-    dated = _dated_shifts(shifts, experts, centers, start, as_of).where(
-        ~F.col("expert_id").isin(list(test_experts))
-    )
-    on_day = headquarters_date("start_time").between(
-        F.col("effective_start_date"), F.col("effective_end_date")
+    dated = (
+        _dated_shifts(shifts, experts, centers, start, as_of)
+        .where(~F.col("expert_id").isin(list(test_experts)))
+        .withColumn("on_day", headquarters_date("start_time"))
     )
+    # The headquarters' day is at most a day off the local one.
+    days = (shift_day(start, -1), shift_day(as_of, DAYS_AHEAD + 1))
     return (
-        dated.join(spells, (F.col("expert_id") == F.col("spell_expert_id")) & on_day)
+        held_on_day(
+            dated,
+            profile_changes.select(
+                "expert_id", "enjoyment_center_id", "effective_start_date", "effective_end_date"
+            ),
+            "expert_id",
+            "on_day",
+            "effective_start_date",
+            "effective_end_date",
+            *days,
+        )
         .join(house, "enjoyment_center_id")
         .select(
             local_date("start_time", "time_zone").alias("start_date_local"),
@@ -168,7 +176,11 @@ def used_hours(
     as_of: Day,
     start: Day = DECK_START,
 ) -> DataFrame:
-    """Hours of enabled blocks by kind, summed per shift before shifts are joined."""
+    """Hours of enabled blocks by kind, summed per shift before shifts are joined.
+
+    A block counts if it starts near its shift (``near_shift``), so the deck's days bound
+    the scan of the blocks.
+    """
     hours = F.col("hours")
     kind = F.col("event_type")
     kinds = {
@@ -178,21 +190,27 @@ def used_hours(
         "used_hours_pto": F.when(kind.isin(*TIME_OFF_EVENTS), hours),
         "pickup_duration": F.when(kind.isin(*DECK_PICKUP_EVENTS), hours),
     }
-    block = blocks.where("enabled").select(
+    last = shift_day(as_of, DAYS_AHEAD)
+    block = blocks.where(
+        F.col("enabled") & could_be_near_shifts("start_time", start, last)
+    ).select(
         F.col("id").alias("calendar_block_id"),
         "event_type",
+        F.col("start_time").alias("block_start"),
         hours_between("start_time", "end_time").alias("hours"),
     )
     dated = _dated_shifts(shifts, experts, centers, start, as_of).select(
         F.col("id").alias("shift_id"),
         F.col("home_date").alias("start_date_local"),
+        F.col("start_time").alias("shift_start"),
         "current_enjoyment_house_name",
     )
     # Only schedules of the wanted shifts meet the blocks.
     per_shift = (
         sched.select("calendar_block_id", "shift_id")
-        .join(dated.select("shift_id"), "shift_id")
+        .join(dated.select("shift_id", "shift_start"), "shift_id")
         .join(block, "calendar_block_id")
+        .where(near_shift("block_start", "shift_start"))
         .groupBy("shift_id")
         .agg(*(F.sum(c).alias(name) for name, c in kinds.items()))
     )

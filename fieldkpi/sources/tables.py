@@ -2,19 +2,62 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+# Schemas of tables by path, each with the files it was read from; the latest are kept.
+_SCHEMAS: OrderedDict[str, tuple[frozenset, StructType]] = OrderedDict()
+_SCHEMAS_KEPT = 256
+_MOST_FILES = 1000
+
+
+def files_of(spark: SparkSession, path: str) -> frozenset | None:
+    """Name, size and change time of each file under ``path``.
+
+    None if it can't be listed or holds more than 1,000 files: next to a scan of so many,
+    the job that reads one footer is nothing, and asking for each would take longer.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    try:
+        where = hadoop.Path(path)
+        system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        listed, found = system.listFiles(where, True), set()
+        while listed.hasNext():
+            if len(found) == _MOST_FILES:
+                return None
+            f = listed.next()
+            found.add((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    except Py4JError:
+        return None
+    return frozenset(found)
+
 
 def read_table(
     spark: SparkSession, directory: str, name: str, schema: StructType | None = None
 ) -> DataFrame:
     """Scan one table stored as Parquet under ``directory``.
 
-    With a known ``schema`` no job is needed to read file footers first.
+    With a known ``schema`` no job is needed to read file footers first. It is remembered
+    as long as the table's files stay the same in name, size and change time, so a table
+    that was written anew is read anew.
     """
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+    path = f"{directory.rstrip('/')}/{name}.parquet"
+    if schema is not None:
+        return spark.read.schema(schema).parquet(path)
+    files = files_of(spark, path)
+    known = _SCHEMAS.get(path)
+    if files and known and known[0] == files:
+        return spark.read.schema(known[1]).parquet(path)
+    df = spark.read.parquet(path)
+    if files:
+        _SCHEMAS[path] = (files, df.schema)
+        _SCHEMAS.move_to_end(path)
+        while len(_SCHEMAS) > _SCHEMAS_KEPT:
+            _SCHEMAS.popitem(last=False)
+    return df
 
 
 def list_columns(spark: SparkSession, table: str) -> DataFrame:

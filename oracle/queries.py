@@ -377,6 +377,12 @@ SELECT visit_date, CAST(0 AS INTEGER) AS part, {_LISTS} FROM {_BY_SKU} GROUP BY
 _SQL["travel_sample_arrays_by_zone"] = f"""
 SELECT zone, visit_date, CAST(0 AS INTEGER) AS part, {_LISTS} FROM {_ZONED}
 GROUP BY zone, visit_date"""
+_SQL["travel_sample_chunks"] = f"""
+SELECT market, chunk, COUNT(*) AS n, {_LISTS}
+FROM (SELECT *, CAST((row_number() OVER (PARTITION BY market
+                 ORDER BY visit_id NULLS FIRST, vtt, ptt, pttpv, ttt) - 1) // 100 AS INTEGER) AS chunk
+      FROM visit_travel)
+GROUP BY market, chunk"""
 _SQL["travel_array_means"] = f"""
 SELECT visit_date, {', '.join(r(f'AVG({m})', m) for m in _M)} FROM visit_travel
 GROUP BY visit_date"""
@@ -384,6 +390,35 @@ _SQL["travel_arrays_exploded"] = " UNION ALL ".join(
     f"SELECT market, '{m}' AS metric, {r(m, 'value')} FROM visit_travel" for m in _M
 )
 
+# --- levels of time and place ------------------------------------------------
+
+_LEVELS = """
+    CASE WHEN GROUPING(event_date) = 0 THEN 'day' WHEN GROUPING(week) = 0 THEN 'week'
+         ELSE 'month' END AS time_level,
+    COALESCE(event_date, week, month) AS period_start,
+    CASE WHEN GROUPING(market) = 0 THEN 'market' WHEN GROUPING(center_market) = 0 THEN 'region'
+         ELSE 'all' END AS place_level,
+    COALESCE(market, center_market) AS place"""
+_SETS = "GROUP BY GROUPING SETS (" + ", ".join(
+    f"({when}{where})"
+    for when in ("event_date", "week", "month")
+    for where in (", market", ", center_market", "")
+) + ")"
+_DATED = f"""(SELECT *, CAST(date_trunc('week', event_date) AS DATE) AS week,
+    CAST(date_trunc('month', event_date) AS DATE) AS month FROM {PICKED})"""
+_SQL["ped_levels"] = f"""
+SELECT {_LEVELS}, {big('SUM(n)', 'n_pickups')}, COUNT(*) AS n_expert_days, {r('AVG(n)', 'ped')}
+FROM (SELECT event_date, week, month, market, center_market, expert_id, COUNT(*) AS n
+      FROM {_DATED} GROUP BY ALL)
+{_SETS}"""
+_SQL["upp_levels"] = f"""
+SELECT {_LEVELS}, COUNT(n_units) AS n_pickups, {big('SUM(n_units)', 'n_units')},
+       {r('AVG(n_units)', 'units_per_pickup')}
+FROM {_DATED} e JOIN units u ON u.transfer_id = e.event_id
+{_SETS}"""
+_SQL["distinct_expert_levels"] = f"""
+SELECT {_LEVELS}, {big('COUNT(DISTINCT expert_id)', 'n_experts')} FROM {_DATED} {_SETS}"""
+
 # --- orders ----------------------------------------------------------------
 
 _LIVE = "order_status <> 'canceled' AND status <> 'canceled'"

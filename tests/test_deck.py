@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 
+from fieldkpi.functions.joins import held_on_day
 from fieldkpi.plans import deck
 from tests.frames import centers, experts, rows, table
 
@@ -163,3 +166,41 @@ def test_travel_and_pickup_ranges(spark):
     units = table(spark, "inventory_transfer_id bigint, n_units bigint", [(1, 0), (2, 3)])
     # The day of the report itself is not complete.
     assert rows(deck.pickup_totals(events, units, AS_OF)) == [("2016-10-01", "LA", 3, 2)]
+
+
+def test_spells_meet_by_bucket_as_by_pairs(spark):
+    """A hot expert with many spells and shifts: equal to all pairs, and no pairing by expert."""
+    base = dt.date(2020, 1, 1)
+    day = lambda n: str(base + dt.timedelta(days=n))
+    spells = [(1, i, day(i * 3), day(i * 3 + 1 + i % 5)) for i in range(200)]
+    spells += [(1, 900, day(-4000), "9999-12-31"), (2, 901, day(50), None), (2, 902, None, day(50))]
+    spells += [(2, 903, day(60), day(59)), (2, 904, day(20), day(20)), (None, 905, day(0), day(9))]
+    seen = [(1, day(i % 640 - 20), i) for i in range(900)] + [(2, day(i), i) for i in range(80)]
+    seen += [(3, day(5), 0), (1, None, 0), (None, day(5), 0)]
+    left = table(spark, "expert_id bigint, on_day date, n bigint", seen)
+    right = table(spark, "expert_id bigint, house bigint, since date, until date", spells)
+    met = held_on_day(left, right, "expert_id", "on_day", "since", "until", day(-10), day(700))
+    got = sorted((r.expert_id, str(r.on_day), r.n, r.house) for r in met.collect())
+    assert got == sorted(
+        (e, d, n, h)
+        for e, d, n in seen
+        for k, h, a, b in spells
+        if e is not None and e == k and None not in (d, a, b) and a <= d <= b and day(-10) <= d <= day(700)
+    )
+    assert met.columns == ["expert_id", "on_day", "n", "house", "since", "until"]
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "_day_bucket" in plan.split("Join Inner")[1].split("\n")[0]
+
+
+def test_hours_of_blocks_far_from_the_shift_are_left_out(spark, shift_rows):
+    blocks = table(
+        spark,
+        "blocks",
+        [(0, 0, "Visit", "2016-10-01 16:00:00", "2016-10-01 16:30:00", True),
+         (1, 1, "Visit", "2016-10-09 16:00:00", "2016-10-09 16:30:00", True)],
+    )
+    sched = table(spark, "sched", [(i, 900, 1) for i in range(2)])
+    found = deck.used_hours(
+        shift_rows, sched, blocks, experts(spark), centers(spark), as_of=AS_OF
+    )
+    assert rows(found, "used_hours") == [(0.5,)]

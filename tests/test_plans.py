@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import glob
 import re
 import tempfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from fieldkpi.functions.times import DEFAULT_SINCE
-from fieldkpi.operators import located, pickups
+from fieldkpi.operators import located, pickups, travel
+from fieldkpi.sources import stored as bucketed_tables
+from fieldkpi.sources import tables
+from fieldkpi.sources.star_roles import StarRoles
 from tests.frames import centers, experts, rows, settings_of
 
 USES_PYTHON = re.compile("BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas")
@@ -129,3 +134,115 @@ def test_date_window_reaches_the_scan_of_trips(name, spark, sf_dir):
         text = plan(registry.queries()[name](spark, sf_dir))
     pushed = re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", text)
     assert any("LessThan(ts," in p and "GreaterThanOrEqual(ts," in p for p in pushed)
+
+
+def scans(df) -> dict[str, int]:
+    """Files scanned by the final plan, reused results not counted."""
+    df.collect()
+    text = plan(df).split("== Initial Plan ==")[0]
+    return Counter(re.findall(r"FileScan parquet .*?/(\w+)\.parquet", text))
+
+
+@pytest.mark.parametrize(
+    "name, events", [("travel_metrics", 4), ("total_travel", 4), ("travel_stats", 4), ("experiment_impact_around_change", 5)]
+)
+def test_trips_are_one_base_and_the_bridge_is_joined_once(name, events, spark, sf_dir):
+    # Sort-merge joins would read each side through an exchange of its own.
+    found = scans(registry.queries()[name](spark, sf_dir))
+    assert found["lineitem"] == 2
+    assert found["events"] == events
+
+
+@pytest.mark.parametrize(
+    "name", ["utilization_pvt", "travel_share_of_shift", "deck_used_hours", "metrics_deck"]
+)
+def test_days_of_shifts_bound_the_scan_of_blocks(name, spark, sf_dir):
+    with settings_of(spark, {"spark.sql.maxMetadataStringLength": "2000"}):
+        text = plan(registry.queries()[name](spark, sf_dir))
+    blocks = [
+        line
+        for line in text.split("\n")
+        if "FileScan" in line and "value#" in line.split("]")[0] and "ts#" in line.split("]")[0]
+    ]
+    assert any("LessThan(ts," in b and "GreaterThanOrEqual(ts," in b for b in blocks)
+
+
+@pytest.mark.parametrize("name", ["travel_array_means", "travel_arrays_exploded"])
+def test_no_array_holds_a_whole_group(name, spark, sf_dir):
+    """Means come from sums; what is exploded was collected in chunks of a given length."""
+    text = plan(registry.queries()[name](spark, sf_dir))
+    if name == "travel_array_means":
+        assert "collect_list" not in text
+    for line in text.split("\n"):
+        if "collect_list" in line:
+            assert re.search(r"floor\(.*_at#", line) or "chunk" in line or "_groupingexpression" in line
+
+
+def test_no_job_reads_footers_twice(spark, tmp_path):
+    path = f"{tmp_path}/part.parquet"
+    spark.range(5).toDF("a").write.parquet(path)
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs_of(build):
+        spark.sparkContext.setJobGroup(group := f"build {build}", "")
+        df = tables.read_table(spark, str(tmp_path), "part")
+        spark.sparkContext.setJobGroup("rest", "")
+        return df, len(tracker.getJobIdsForGroup(group))
+
+    assert jobs_of(1)[1] == 1
+    assert jobs_of(2)[1] == 0
+    spark.range(5, 9).selectExpr("CAST(id AS STRING) AS b").write.mode("overwrite").parquet(path)
+    df, jobs = jobs_of(3)
+    assert jobs == 1 and [r.b for r in df.orderBy("b").collect()] == ["5", "6", "7", "8"]
+    assert jobs_of(4)[1] == 0
+
+
+def test_a_missing_or_unlisted_table_is_not_remembered(spark, tmp_path):
+    assert tables.files_of(spark, f"{tmp_path}/nothing.parquet") is None
+    assert tables.files_of(spark, "nosuchscheme://there/is.parquet") is None
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark, sf_dir):
+    """Bridge, items, blocks and schedules as bucketed tables, blocks in day folders."""
+    path = tempfile.mkdtemp(prefix="run-")
+    roles = StarRoles(spark, sf_dir)
+    for name, key, by_day in (
+        ("bridge", "order_item_id", None), ("items", "id", None),
+        ("blocks", "id", "start_time"), ("sched", "calendar_block_id", None),
+    ):
+        bucketed_tables.write_bucketed(roles[name], f"kept_{name}", f"{path}/{name}", key, 4, by_day)
+    yield roles, path
+    for name in ("bridge", "items", "blocks", "sched"):
+        spark.sql(f"DROP TABLE kept_{name}")
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, bucketed):
+    roles, path = bucketed
+    bridge, items = (bucketed_tables.read_bucketed(spark, f"kept_{n}") for n in ("bridge", "items"))
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    with settings_of(spark, off):
+        served = travel.order_transfers(items, bridge)
+        found = rows(served)
+        below = plan(served).split("== Initial Plan ==")[0].split("SortMergeJoin")[1]
+        assert "Exchange" not in below and "Bucketed: true" in below
+        assert found == rows(travel.order_transfers(roles["items"], roles["bridge"]))
+        pairs = bucketed_tables.read_bucketed(spark, "kept_blocks").join(
+            bucketed_tables.read_bucketed(spark, "kept_sched"), F.col("id") == F.col("calendar_block_id")
+        )
+        assert pairs.count() == roles["blocks"].count()
+        assert "Exchange hashpartitioning" not in plan(pairs)
+    assert len(glob.glob(f"{path}/bridge/*.parquet")) <= 4
+
+
+def test_day_folders_are_pruned(spark, bucketed):
+    roles, path = bucketed
+    some = bucketed_tables.read_bucketed(spark, "kept_blocks", "2024-01-10", "2024-01-12")
+    assert some.columns == roles["blocks"].columns
+    text = plan(some)
+    assert re.search(r"PartitionFilters: \[[^\]]*stored_day", text)
+    days = {r[0] for r in some.selectExpr("CAST(CAST(start_time AS DATE) AS STRING)").collect()}
+    assert days == {f"2024-01-{d:02d}" for d in range(9, 14)}
+    whole = [located.scheduled_events(b, roles["sched"], "TravelTime", between=("2024-01-10", "2024-01-12"))
+             for b in (some, roles["blocks"])]
+    assert rows(whole[0]) == rows(whole[1])

@@ -173,3 +173,87 @@ def test_travel_hours(spark, trip_tables):
     assert rows(travel.travel_hours_overall(trips)) == [(0.28,)]
     assert rows(travel.travel_hours_by_market(trips, people)) == [("Los Angeles", 0.28)]
     assert rows(travel.travel_hours_by_expert(trips, people)) == [(1, "Ann Lee", 0.28)]
+
+
+def test_base_keeps_repeated_rows(spark, trip_tables):
+    """A visit scheduled twice counts twice in means of rows, as in plain joins."""
+    visits, items, bridge, transfers, blocks, sched, *places = trip_tables
+    twice = sched.union(sched.where("calendar_block_id IN (2, 4)"))
+    base = travel.trip_base(visits, transfers, blocks, twice)
+    assert sorted((r.role, r.copies) for r in base.collect()) == [
+        ("pickup", 1), ("pickup", 2), ("visit", 1), ("visit", 1), ("visit", 2)
+    ]
+    found = travel.travel_metrics(visits, items, bridge, transfers, blocks, twice, *places)
+    # Visit trips: (10 + 2 * 3 * 20) / 7 by items; pickups: 30, 30 and 4 minutes.
+    assert rows(found, "visit_travel_time", "pickup_travel_time") == [(130 / 7, 64 / 3)]
+
+
+def test_window_and_base_agree(trip_tables):
+    wide = ("2016-09-30", "2016-10-05")
+    assert rows(travel.travel_metrics(*trip_tables, between=wide)) == rows(
+        travel.travel_metrics(*trip_tables)
+    )
+    assert rows(travel.visit_travel_rows(*trip_tables, between=wide)) == rows(
+        travel.visit_travel_rows(*trip_tables)
+    )
+
+
+def test_blocks_far_from_their_shift_do_not_count(spark):
+    shifts = table(
+        spark,
+        "shifts",
+        [(900, 1, "2016-10-01 16:00:00", "2016-10-01 20:00:00", True),
+         (901, 1, "2016-10-05 16:00:00", "2016-10-05 20:00:00", True)],
+    )
+    starts = [
+        ("2016-09-29 16:00:00", 900), ("2016-09-29 15:59:59", 900), ("2016-10-03 16:00:00", 900),
+        ("2016-10-03 16:00:01", 900), ("2016-10-05 17:00:00", 901), ("2016-10-05 17:00:00", 900),
+    ]
+    blocks = table(
+        spark, "blocks", [(i, i, "TravelTime", at, at[:14] + "59:59", True) for i, (at, _) in enumerate(starts)]
+    )
+    sched = table(spark, "sched", [(i, shift, 1) for i, (_, shift) in enumerate(starts)])
+    open_shifts = shifts.selectExpr("id AS shift_id", "start_time")
+    for bounds in ((), ("2016-10-01", "2016-10-05")):
+        found = travel.shift_event_minutes(sched, blocks, ["TravelTime"], open_shifts, *bounds)
+        # On the margin's very end a block counts, a second beyond it does not.
+        assert [(i, round(m, 2)) for i, m in rows(found, "shift_id", "event_minutes")] == [
+            (900, 119.97), (901, 59.98)
+        ]
+    share = travel.travel_share_of_shift(
+        shifts, sched, blocks, experts(spark), centers(spark), until="2016-10-01"
+    )
+    assert [r[0] for r in rows(share, "shift_date")] == ["2016-10-01"]
+
+
+ROWS = "visit_id bigint, day string, vtt double, ptt double, pttpv double, ttt double"
+
+
+@pytest.mark.parametrize("together", [1, 7, 10_000])
+@pytest.mark.parametrize("length", [1, 4, 1000])
+def test_chunks_number_rows_without_ordering_a_group(spark, together, length):
+    values = [
+        ((i * 37) % 101 if i % 9 else None, "ab"[i % 4 == 0], i / 4, i / 8 if i % 5 else None, 1.0, 2.0)
+        for i in range(150)
+    ] + [(5, None, 1.0, 2.0, 3.0, 4.0), (10**15, "a", 9.0, 9.0, 9.0, 9.0), (-(10**15), "b", 8.0, 8.0, 8.0, 8.0)]
+    df = table(spark, ROWS, values).repartition(5)
+    chunks = travel.chunked_arrays(df, "day", length=length, together=together).collect()
+    first = lambda v: (v is not None, v or 0)
+    for group in ("a", "b", None):
+        own = sorted((v for v in values if v[1] == group), key=lambda v: (*first(v[0]), *map(first, v[2:])))
+        mine = sorted((c for c in chunks if c.day == group), key=lambda c: c.chunk)
+        assert [c.chunk for c in mine] == list(range(len(mine)))
+        assert [c.n for c in mine] == [len(own[i : i + length]) for i in range(0, len(own), length)]
+        assert [v for c in mine for v in c.vtt] == [v[2] for v in own]
+        assert [v for c in mine for v in c.ptt] == [v[3] for v in own]
+        for c in mine:
+            assert c.sum_vtt == sum(c.vtt) and c.count_ptt == sum(v is not None for v in c.ptt)
+    means = travel.chunk_means(travel.chunked_arrays(df, "day", length=length), "day")
+    assert rows(means, "day", "ttt") == [("a", (2.0 * 112 + 9) / 113), ("b", (2.0 * 38 + 8) / 39), (None, 4.0)]
+
+
+def test_chunks_reject_no_length_and_take_no_rows(spark):
+    df = table(spark, ROWS, [])
+    with pytest.raises(ValueError):
+        travel.chunked_arrays(df, "day", length=0)
+    assert travel.chunked_arrays(df, "day", length=3).count() == 0
