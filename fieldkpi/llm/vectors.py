@@ -2,16 +2,19 @@
 
 Equal vectors are one class, compared once. Coarse centroids and residual
 codebooks are fitted on a bounded sample (``SAMPLE`` classes) of each vector length;
-every class is indexed in its nearest list. A list knows the least and largest angle of
-its vectors to its centroid, and a query looks into every list that may hold a vector
-within the threshold's angle by these, so that no list with a link is left out. There
-its lookup tables give each code's inner product, and since a unit query cannot gain
-more than the norm of what the code lost, ``table sum + lost >= threshold`` drops
-no link. What passes is compared in double precision.
+every class is indexed in its nearest list and asks the lists of its nearest centroids.
+A pair meets if either vector asks the other's list. How many lists are asked is not
+fixed but measured: sample vectors are compared with all rows, and drawn partners at the
+threshold's very angle with their vectors; as many lists are asked as find ``RECALL`` of the
+partners of an average sample vector and ``RECALL_AT_THRESHOLD`` of the drawn ones.
+
+In a list the lookup tables give each code's inner product, and since a unit query cannot
+gain more than the norm of what the code lost, ``table sum + lost >= threshold`` drops
+no link there. What passes is compared in double precision.
 
 A list is cut into blocks and a task compares two blocks, so a list that holds a
 third of all vectors is many tasks. A task returns counts and a spanning set of
-links, never all pairs.
+links, never all pairs. Vectors travel as the bytes of their own precision.
 
 Cases: a null, empty, zero or non-finite vector, one with a null component, one
 without id link with nothing; vectors of different lengths do not link; repeated rows are
@@ -28,15 +31,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldkpi.llm.common import stored, travels
+from fieldkpi.llm.common import release, stored, travels
 from fieldkpi.llm.components import connected_components
 
 travels(__name__)
 
 THRESHOLD = 0.9
-SAMPLE = 20_000
+SAMPLE = 40_000
+SAMPLE_CELLS = 1 << 24  # components the sample may hold
 LIST_ROWS = 500
-MAX_LISTS = 4096
+# Lists grow with the rows up to the number that the sample can place.
+SAMPLE_A_LIST = 4
+RECALL, RECALL_AT_THRESHOLD = 0.9999, 0.999
+MEASURED, DRAWN = 256, 2048
 SUBSPACES = 8
 CODES = 64
 BLOCK = 2000
@@ -88,8 +95,8 @@ def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 10, spherical: bool = Fals
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     half = (centers**2).sum(axis=1) / 2.0
     out = np.empty(len(x), int)
-    for i in range(0, len(x), 4096):
-        out[i : i + 4096] = np.argmax(x[i : i + 4096] @ centers.T - half, axis=1)
+    for i in range(0, len(x), 1024):
+        out[i : i + 1024] = np.argmax(x[i : i + 1024] @ centers.T - half, axis=1)
     return out
 
 
@@ -119,16 +126,28 @@ class Index:
             lost += ((part - book[codes[:, m]]) ** 2).sum(axis=1)
         return at, codes, np.sqrt(lost)
 
-    def angles(self, x: np.ndarray) -> np.ndarray:
-        """Of each unit vector to each centroid."""
-        norms = np.maximum(np.linalg.norm(self.coarse, axis=1), 1e-300)
-        return np.arccos(np.clip(x @ self.coarse.T / norms, -1.0, 1.0))
-
-    def probes(self, x: np.ndarray, reach: np.ndarray, angle: float) -> list[np.ndarray]:
-        """Lists that may hold a vector within ``angle``, by their least and largest angle."""
-        at = self.angles(x)
-        may = (at - angle <= reach[:, 1]) & (at + angle >= reach[:, 0])
-        return [np.flatnonzero(row).astype(np.int32) for row in may]
+    def closeness(self, x: np.ndarray) -> np.ndarray:
+        """Of each unit vector to each centroid, by which lists are asked."""
+        return x @ self.coarse.T - (self.coarse**2).sum(axis=1) / 2.0
+
+    def probes(self, x: np.ndarray, number: int) -> np.ndarray:
+        """The ``number`` nearest lists of each unit vector."""
+        number = min(number, len(self.coarse))
+        out = np.empty((len(x), number), np.int32)
+        for i in range(0, len(x), 1024):
+            near = -self.closeness(x[i : i + 1024])
+            out[i : i + 1024] = np.argpartition(near, number - 1, axis=1)[:, :number]
+        return out
+
+    def rounds_to_meet(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For pairs of unit vectors, how many lists must be asked until they meet, less one:
+        the lists that are nearer to one of them than the other's own."""
+        sx, sy = self.closeness(x), self.closeness(y)
+        row = np.arange(len(x))
+        home_x, home_y = sx.argmax(axis=1), sy.argmax(axis=1)
+        ask_x = (sx > sx[row, home_y][:, None]).sum(axis=1)
+        ask_y = (sy > sy[row, home_x][:, None]).sum(axis=1)
+        return np.minimum(ask_x, ask_y)
 
     def estimates(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Inner products of queries and codes of one list, by table lookup."""
@@ -139,21 +158,72 @@ class Index:
         return total
 
 
-def fit_indexes(classes: DataFrame, sample: int = SAMPLE) -> dict[int, Index]:
-    """By vector length, an index for about ``LIST_ROWS`` classes a list, at most
-    ``MAX_LISTS`` lists. A length of one class needs none."""
+def fit_indexes(
+    classes: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD
+) -> dict[int, Index]:
+    """By vector length, an index for about ``LIST_ROWS`` classes a list, with its number of
+    lists to ask (``number``) and the ``recall`` measured at it. A length of one class needs none."""
     size = F.size("v")
     counts = classes.groupBy(size.alias("dim")).agg(F.count(F.lit(1)).alias("m"))
     out, first = {}, 0
     for dim, m in sorted(tuple(r) for r in counts.where(F.col("m") > 1).collect()):
         mine = classes.where(size == dim).orderBy(F.xxhash64("cid"), "cid")
-        drawn = _unit(mine.limit(sample).select("v").toPandas()["v"])
-        lists = max(1, min(MAX_LISTS, m // LIST_ROWS, len(drawn)))
+        take = max(2, min(sample, SAMPLE_CELLS // dim))
+        drawn = _unit(mine.limit(take).select("v").toPandas()["v"])
+        lists = max(1, min(m // LIST_ROWS, len(drawn) // SAMPLE_A_LIST))
         out[dim] = Index(drawn, lists, first=first)
         first += lists
+        out[dim].number, out[dim].recall = lists_to_ask(classes, out[dim], drawn, threshold)
     return out
 
 
+def lists_to_ask(
+    classes: DataFrame, index: Index, drawn: np.ndarray, threshold: float
+) -> tuple[int, float]:
+    """How many lists to ask, and the share of partners of a sample vector found so."""
+    lists, dim = len(index.coarse), drawn.shape[1]
+    rng = np.random.default_rng(11)
+    x = drawn[:DRAWN]
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(axis=1)[:, None] * x
+    norm = np.linalg.norm(away, axis=1, keepdims=True)
+    away /= np.where(norm > 1e-9, norm, 1.0)
+    at_threshold = index.rounds_to_meet(x, threshold * x + np.sqrt(1 - threshold**2) * away)
+    wanted = int(np.quantile(at_threshold, RECALL_AT_THRESHOLD, method="higher")) + 1
+    queries = drawn[:MEASURED]
+
+    def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            part = rows[rows["v"].map(len) == dim]
+            for i in range(0, len(part), 2048):
+                y = _unit(part["v"].iloc[i : i + 2048])
+                score = queries @ y.T
+                q, c = np.nonzero((score >= threshold) & (score < 1 - 1e-12))
+                if len(q):
+                    met = index.rounds_to_meet(queries[q], y[c])
+                    pairs, n = np.unique(np.stack([q, met]), axis=1, return_counts=True)
+                    yield pd.DataFrame({"q": pairs[0], "met": pairs[1], "n": n})
+
+    found = (
+        classes.select("v")
+        .mapInPandas(partners, "q long, met long, n long")
+        .groupBy("q", "met")
+        .agg(F.sum("n").alias("n"))
+        .toPandas()
+    )
+    if len(found):
+        of_query = found.groupby("q")["n"].sum()
+
+        def recall(number: int) -> float:
+            got = found[found["met"] < number].groupby("q")["n"].sum()
+            return float((got.reindex(of_query.index, fill_value=0) / of_query).mean())
+
+        while wanted < lists and recall(wanted) < RECALL:
+            wanted += 1
+        return min(wanted, lists), recall(min(wanted, lists))
+    return min(wanted, lists), 1.0
+
+
 def _by_length(indexes: dict[int, Index], rows: pd.DataFrame):
     """Parts of a batch with their index; lengths without one are left out."""
     for dim, part in rows.groupby(rows["v"].map(len)):
@@ -186,32 +256,65 @@ def _linked(q: np.ndarray, x: np.ndarray, rows, cols, threshold: float):
     return rows[good], cols[good]
 
 
+def _packed(v) -> bytes:
+    """The bytes of a vector, in single precision where that is exact."""
+    x = np.asarray(v, float)
+    short = x.astype(np.float32)
+    return short.tobytes() if np.array_equal(short, x) else x.tobytes()
+
+
+def _unpacked(values, dim: int) -> np.ndarray:
+    kinds = {4 * dim: np.float32, 8 * dim: np.float64}
+    return _unit([np.frombuffer(b, kinds[len(b)]) for b in values])
+
+
+def _knows(near: np.ndarray, homes: np.ndarray) -> np.ndarray:
+    """Whether each row (by its asked lists ``near``) asks each list of ``homes`` (sorted)."""
+    at = np.clip(np.searchsorted(homes, near), 0, len(homes) - 1)
+    row, place = np.nonzero(homes[at] == near)
+    out = np.zeros((len(near), len(homes)), bool)
+    out[row, at[row, place]] = True
+    return out
+
+
 def block_links(indexes: dict[int, Index], threshold: float = THRESHOLD):
-    """Function for one pair of blocks: partial counts and spanning links."""
+    """Function for one pair of blocks: partial counts and spanning links.
+
+    Rows of the list count for the query that asked. The query counts for a row only if
+    the row does not ask the query's own list, where it will count by itself.
+    """
+    of_list = {k: x for x in indexes.values() for k in range(x.first, x.first + len(x.coarse))}
 
     def compare(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows):
-            q, x = _unit(queries["v"]), _unit(rows["v"])
-            index = indexes[q.shape[1]]
-            which = int(key[0]) - index.first
+            index = of_list[int(key[0])]
+            dim, which = index.coarse.shape[1], int(key[0]) - index.first
+            q, x = _unpacked(queries["v"], dim), _unpacked(rows["v"], dim)
             qid, xid = queries["cid"].to_numpy(), rows["cid"].to_numpy()
-            weight = rows["n"].to_numpy()
             codes = np.vstack([np.frombuffer(c, np.uint8) for c in rows["codes"]])
             lost = rows["lost"].to_numpy()
-            pairs = []
+            homes, home = np.unique(queries["home"].to_numpy(), return_inverse=True)
+            asks_back = _knows(np.vstack(rows["near"].to_numpy()), homes)
+            to_query, to_row = np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)
+            weight_q, weight_x = queries["n"].to_numpy(), rows["n"].to_numpy()
+            joined = []
             for i in range(0, len(q), 256):
                 near = index.estimates(q[i : i + 256], which, codes) + lost
                 r, c = np.nonzero(near >= threshold - 1e-9)
                 r, c = _linked(q, x, r + i, c, threshold)
                 other = qid[r] != xid[c]
-                pairs.append((r[other], c[other]))
-            r = np.concatenate([p[0] for p in pairs])
-            c = np.concatenate([p[1] for p in pairs])
-            if len(r):
-                links = np.bincount(r, weights=weight[c], minlength=len(q)).astype(np.int64)
-                out = [(int(i), int(i), int(k)) for i, k in zip(qid, links) if k]
-                out += [(a, b, 0) for a, b in _spanning(qid[r], xid[c])]
+                r, c = r[other], c[other]
+                np.add.at(to_query, r, weight_x[c])
+                alone = ~asks_back[c, home[r]]
+                np.add.at(to_row, c[alone], weight_q[r[alone]])
+                if len(r):
+                    joined += _spanning(qid[r], xid[c])
+            out = [(int(i), int(i), int(k)) for i, k in zip(qid, to_query) if k]
+            out += [(int(i), int(i), int(k)) for i, k in zip(xid, to_row) if k]
+            if joined:
+                pairs = np.array(joined, np.int64)
+                out += [(a, b, 0) for a, b in _spanning(pairs[:, 0], pairs[:, 1])]
         return pd.DataFrame(out, columns=["cid", "to", "links"]).astype("int64")
 
     return compare
@@ -227,47 +330,41 @@ def class_links(
         for rows in batches:
             for index, part, x in _by_length(indexes, rows):
                 at, codes, lost = index.encode(x)
-                yield part[["cid", "n", "v"]].assign(
-                    list=at + index.first,
-                    codes=[c.tobytes() for c in codes],
-                    lost=lost,
-                    angle=index.angles(x)[np.arange(len(x)), at],
+                near = index.probes(x, index.number) + np.int32(index.first)
+                yield pd.DataFrame(
+                    {
+                        "cid": part["cid"],
+                        "n": part["n"],
+                        "v": [_packed(v) for v in part["v"]],
+                        "list": at + index.first,
+                        "codes": [c.tobytes() for c in codes],
+                        "lost": lost,
+                        "near": list(near),
+                    }
                 )
 
-    columns = "cid long, n long, v array<double>, list int, codes binary, lost double, angle double"
+    columns = "cid long, n long, v binary, list int, codes binary, lost double, near array<int>"
     lists = stored(classes.mapInPandas(indexed, columns), "vector-index")
-    # No vector is in a list whose least angle is infinite.
-    reach = np.tile([np.inf, -np.inf], (sum(len(x.coarse) for x in indexes.values()), 1))
-    for k, low, high in lists.groupBy("list").agg(F.min("angle"), F.max("angle")).collect():
-        reach[k] = low, high
-    angle = float(np.arccos(threshold)) + 1e-6
-
-    def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for index, part, x in _by_length(indexes, rows):
-                own = reach[index.first : index.first + len(index.coarse)]
-                near = [p + np.int32(index.first) for p in index.probes(x, own, angle)]
-                yield part[["cid", "v"]].assign(list=near)
-
-    # Exploded after it is stored: a vector may ask many lists.
-    asked = stored(
-        classes.mapInPandas(probing, "cid long, v array<double>, list array<int>"), "vector-probes"
-    ).withColumn("list", F.explode("list"))
+    asked = lists.select("cid", "n", "v", F.col("list").alias("home"), F.explode("near").alias("list"))
     # Blocks of a list, of queries and of rows, from the true sizes.
     blocks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nx")).join(
-        asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nq")), "list"
+        lists.select(F.explode("near").alias("list"))
+        .groupBy("list")
+        .agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nq")),
+        "list",
     )
 
-    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+    def dealt(rows: DataFrame, own: str, other: str):
         mine = F.pmod(F.xxhash64("cid"), F.col(own)).cast("int")
-        return (
+        rows = (
             rows.join(blocks, "list")
             .withColumn(own, mine)
             .withColumn(other, F.explode(F.sequence(F.lit(0), (F.col(other) - 1).cast("int"))))
         )
+        return rows.toDF(*rows.columns).groupBy("list", "nq", "nx")  # columns of its own
 
-    left = dealt(asked, "nq", "nx").groupBy("list", "nq", "nx")
-    right = dealt(lists, "nx", "nq").groupBy("list", "nq", "nx")
+    left = dealt(asked, "nq", "nx")
+    right = dealt(lists, "nx", "nq")
     return left.cogroup(right).applyInPandas(
         block_links(indexes, threshold), "cid long, to long, links long"
     )
@@ -277,7 +374,9 @@ def near_vectors(vectors: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Rows ``vec_id, n_links, component_id, kept``, one per vector."""
     vectors = vectors.select("vec_id", "embedding")
     classes = vector_classes(vectors)
-    found = stored(class_links(classes, fit_indexes(classes, sample)), "vector-links")
+    indexes = fit_indexes(classes, sample)
+    found = stored(class_links(classes, indexes), "vector-links")
+    release(vectors.sparkSession)
     counts = found.where(F.col("links") > 0).groupBy("cid").agg(F.sum("links").alias("links"))
     groups = connected_components(
         found.where(F.col("links") == 0).select(F.col("cid").alias("a"), F.col("to").alias("b"))
