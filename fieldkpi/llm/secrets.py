@@ -10,6 +10,7 @@ names. Positions are code points, the end exclusive.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -44,10 +45,11 @@ ALPHABETS = (
     ("[A-Z0-9]", 3.6),
 )
 # What looks random but is not secret: UUIDs, words joined into a path or slug,
-# and runs of one character.
+# and runs of one character. Possessive repeats: nothing is tried twice, and the matcher
+# loops where a plain repeated group would call itself once per word.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^/?[A-Za-z]+([-_/=+][A-Za-z]+)+/?$",
+    r"^/?[A-Za-z]++(?:[-_/=+][A-Za-z]++)++/?$",
     r"^(.)\1*$",
 )
 _SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
@@ -91,44 +93,59 @@ def _spans_of(text: Column, pattern: str, kind_no: int, keep=None) -> Column:
     return F.when(text.rlike(pattern), close).otherwise(F.array().cast(_SPANS))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is made once, though its parts are used at every step."""
+    return F.transform(F.array(value), body)[0]
+
+
 def window_entropy(text: Column, window: int = WINDOW) -> Column:
     """Largest Shannon entropy, in bits, of any ``window`` characters of a text over ALPHABET.
 
     One character enters and one leaves per step. With counts c the entropy is
-    log2(w) - sum(c log2 c) / w, so each step changes two terms of the sum.
+    log2(w) - sum(c log2 c) / w, so each step changes two terms of the sum. The text is
+    cut into its characters once, and a count is replaced between two slices of the
+    counts, so the cost grows with the length alone.
     """
     size = F.length(text)
-    # i: character i enters; -i: character i leaves.
-    events = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), size),
-            lambda i: F.when(i > window, F.array(i, F.lit(window) - i)).otherwise(F.array(i)),
-        )
-    )
+    kinds = len(ALPHABET)
+    terms = F.array(*(F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(window + 2)))
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"),
+        F.array_repeat(F.lit(0), kinds).alias("counts"),
         F.lit(0.0).alias("total"),
         F.lit(1e9).alias("least"),
     )
 
-    def term(count: Column) -> Column:
-        return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
-
-    def step(acc: Column, event: Column) -> Column:
-        change = F.signum(event.cast("double")).cast("int")
-        slot = F.instr(F.lit(ALPHABET), F.substring(text, F.abs(event), F.lit(1))) - 1
-        before = F.get(acc["counts"], slot)
-        total = acc["total"] + term(before + change) - term(before)
-        full = (event < 0) | (event == window)
-        return F.struct(
-            F.transform(
-                acc["counts"], lambda v, j: F.when(j == slot, v + change).otherwise(v)
-            ).alias("counts"),
-            total.alias("total"),
-            F.when(full, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"),
-        )
-
-    least = F.aggregate(events, zero, step, lambda acc: acc["least"])
+    def least_sum(slots: Column) -> Column:
+        def step(acc: Column, j: Column) -> Column:
+            # The first ``window`` characters enter; then one enters, one leaves, in turns.
+            beyond = j - window
+            leaves = (beyond > 0) & (beyond % 2 == 0)
+            place = F.when(beyond <= 0, j).when(leaves, beyond / 2).otherwise(
+                window + (beyond + 1) / 2
+            )
+            slot = F.get(slots, place.cast("int") - 1)
+            before = F.get(acc["counts"], slot)
+            after = before + F.when(leaves, -1).otherwise(1)
+            total = acc["total"] + F.get(terms, after) - F.get(terms, before)
+            return F.struct(
+                F.concat(
+                    F.slice(acc["counts"], F.lit(1), slot),
+                    F.array(after),
+                    F.slice(acc["counts"], slot + 2, F.lit(kinds)),
+                ).alias("counts"),
+                total.alias("total"),
+                F.when(leaves | (beyond == 0), F.least(acc["least"], total))
+                .otherwise(acc["least"])
+                .alias("least"),
+            )
+
+        steps = F.sequence(F.lit(1), 2 * F.size(slots) - window)
+        return F.aggregate(steps, zero, step, lambda acc: acc["least"])
+
+    def slots_of(chars: Column) -> Column:
+        return F.transform(F.slice(chars, F.lit(1), size), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+
+    least = _let(slots_of(F.split(text, "")), least_sum)
     return F.when(size >= window, F.log2(F.lit(float(window))) - least / window)
 
 
