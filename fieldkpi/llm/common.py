@@ -25,12 +25,16 @@ travels(__name__)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one on a local
+    master; on a cluster that is an error, as executors would not see each other's files."""
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or os.path.join(tempfile.gettempdir(), f"shared-{uuid.uuid4().hex}")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), f"shared-{uuid.uuid4().hex}")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -43,7 +47,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and outlives executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of ``stored`` frames that nothing reads any more."""
+    for df in frames:
+        spark, path = df.sparkSession, df._stored_at
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
