@@ -48,6 +48,7 @@ SUBSPACES = 8
 CODES = 64
 BLOCK = 2000
 PAIRS_AT_ONCE = 200_000
+ROUNDING = 1e-5  # of sums of table entries in single precision
 
 
 def _usable(vector: Column) -> Column:
@@ -150,11 +151,12 @@ class Index:
         return np.minimum(ask_x, ask_y)
 
     def estimates(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Inner products of queries and codes of one list, by table lookup."""
-        total = np.repeat((queries @ self.coarse[which])[:, None], len(codes), axis=1)
+        """Inner products of queries and codes of one list, by table lookup, to ``ROUNDING``."""
+        own = (queries @ self.coarse[which]).astype(np.float32)
+        total = np.repeat(own[:, None], len(codes), axis=1)
         for m, book in enumerate(self.books):
             table = queries[:, self.cuts[m] : self.cuts[m + 1]] @ book.T
-            total += table[:, codes[:, m]]
+            total += np.take(table.astype(np.float32), codes[:, m], axis=1)
         return total
 
 
@@ -293,15 +295,15 @@ def block_links(indexes: dict[int, Index], threshold: float = THRESHOLD):
             q, x = _unpacked(queries["v"], dim), _unpacked(rows["v"], dim)
             qid, xid = queries["cid"].to_numpy(), rows["cid"].to_numpy()
             codes = np.vstack([np.frombuffer(c, np.uint8) for c in rows["codes"]])
-            lost = rows["lost"].to_numpy()
+            needed = (threshold - ROUNDING - rows["lost"].to_numpy()).astype(np.float32)
             homes, home = np.unique(queries["home"].to_numpy(), return_inverse=True)
             asks_back = _knows(np.vstack(rows["near"].to_numpy()), homes)
             to_query, to_row = np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)
             weight_q, weight_x = queries["n"].to_numpy(), rows["n"].to_numpy()
             joined = []
             for i in range(0, len(q), 256):
-                near = index.estimates(q[i : i + 256], which, codes) + lost
-                r, c = np.nonzero(near >= threshold - 1e-9)
+                near = index.estimates(q[i : i + 256], which, codes)
+                r, c = np.nonzero(near >= needed)
                 r, c = _linked(q, x, r + i, c, threshold)
                 other = qid[r] != xid[c]
                 r, c = r[other], c[other]
@@ -347,11 +349,17 @@ def class_links(
     lists = stored(classes.mapInPandas(indexed, columns), "vector-index")
     asked = lists.select("cid", "n", "v", F.col("list").alias("home"), F.explode("near").alias("list"))
     # Blocks of a list, of queries and of rows, from the true sizes.
-    blocks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nx")).join(
-        lists.select(F.explode("near").alias("list"))
-        .groupBy("list")
-        .agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nq")),
-        "list",
+    # Stored, so that Spark knows their size and need not shuffle the vectors to learn it.
+    blocks = stored(
+        lists.groupBy("list")
+        .agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nx"))
+        .join(
+            lists.select(F.explode("near").alias("list"))
+            .groupBy("list")
+            .agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nq")),
+            "list",
+        ),
+        "list-blocks",
     )
 
     def dealt(rows: DataFrame, own: str, other: str):
