@@ -8,7 +8,7 @@ The benchmark is broadcast only up to ``BROADCAST_SEEDS`` seeds a time; a larger
 one is worked through in blocks of its seeds, each against all documents.
 
 Cases: null and empty texts have no words and no hits; benchmark items of fewer
-than five words hold no seed and are not searched; items of equal words are one item, under
+than five words hold no seed and are found only as the whole text of a document; items of equal words are one item, under
 its smallest id; documents are told apart by id and text, so rows that share an id, or
 have none, are each judged by their own text; empty tables give an empty result; extra columns are not read.
 """
@@ -123,42 +123,84 @@ def longest_run(equal_at: Column) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """Rows ``item_id, item_words``, one per different text."""
+    """Rows ``item_id, item_words``, one per different text with words."""
     return (
         benchmark.select("item_id", words(text_or_empty()).alias("item_words"))
-        .where(F.size("item_words") >= MIN_WORDS)
+        .where(F.size("item_words") > 0)
         .groupBy("item_words")
         .agg(F.min("item_id").alias("item_id"))
         .select("item_id", "item_words")
     )
 
 
+def document_words(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text_key(), words(text_or_empty()).alias("tokens"))
+
+
 def seed_hits(
     docs: DataFrame, items: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS
 ) -> DataFrame:
-    """Rows ``doc_id, text_key, item_id, diagonal, n_hits``; diagonal is the place of the
-    item's word 0."""
+    """Rows ``doc_id, text_key, item_id, diagonal, skipped, covered, n_hits``; diagonal is the
+    place of the item's word 0, ``covered`` the document's words along the item, and
+    ``skipped`` how many words of the item lie before the text."""
     theirs = stored(
-        seed_rows(items.select("item_id", "item_words"), "item_words").withColumnRenamed(
-            "at", "item_at"
-        ),
+        seed_rows(
+            items.where(F.size("item_words") >= MIN_WORDS).select(
+                "item_id", F.size("item_words").alias("n_words"), "item_words"
+            ),
+            "item_words",
+        ).withColumnRenamed("at", "item_at"),
         "benchmark-seeds",
     )
-    tokens = docs.select("doc_id", text_key(), words(text_or_empty()).alias("tokens"))
-    ours = seed_rows(tokens, "tokens")
+    # ``seed_rows`` gives up the words it hashes: a second column takes them along.
+    ours = seed_rows(document_words(docs).withColumn("held", F.col("tokens")), "tokens")
     blocks = -(-theirs.count() // broadcast_seeds) or 1
+    diagonal = F.col("at") - F.col("item_at")
+    first = F.greatest(diagonal, F.lit(0))
+    last = F.least(diagonal + F.col("n_words"), F.size("held"))
     hits = None
     for k in range(blocks):
         block = theirs if blocks == 1 else theirs.where(F.pmod("seed", F.lit(blocks)) == k)
         found = ours.join(F.broadcast(block), "seed").select(
-            "doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")
+            "doc_id",
+            "text_key",
+            "item_id",
+            diagonal.alias("diagonal"),
+            (first - diagonal).alias("skipped"),
+            F.slice("held", first + 1, last - first).alias("covered"),
         )
         hits = found if hits is None else hits.unionByName(found)
-    return hits.groupBy("doc_id", "text_key", "item_id", "diagonal").agg(
+    # The covered words follow from the text and the diagonal: as a key they cost no sort.
+    return hits.groupBy("doc_id", "text_key", "item_id", "diagonal", "skipped", "covered").agg(
         F.count(F.lit(1)).alias("n_hits")
     )
 
 
+def whole_short_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents whose words are all of an item of fewer than ``MIN_WORDS`` words, as rows of
+    ``leaked_texts``."""
+    few = F.size("tokens").between(1, MIN_WORDS - 1)
+    short = items.where(F.size("item_words") < MIN_WORDS)
+    n = F.size("tokens").cast("long")
+    return (
+        document_words(docs)
+        .where(few)
+        .join(short, F.col("tokens") == F.col("item_words"))
+        .groupBy("doc_id", "text_key", "item_id", "tokens")
+        .agg(F.count(F.lit(1)).alias("n_hits"))
+        .select(
+            "doc_id",
+            "text_key",
+            "item_id",
+            n.alias("item_words"),
+            F.lit(0).cast("long").alias("start"),
+            n.alias("n_equal"),
+            n.alias("run_words"),
+            "n_hits",
+        )
+    )
+
+
 def leaked_passages(
     docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS
 ) -> DataFrame:
@@ -176,31 +218,18 @@ def leaked_texts(
     of the whole alignment, ``run_words`` the words of its longest dense stretch.
     """
     docs = docs.select("doc_id", "text")
-    texts = docs.withColumn("text_key", text_key())
     items = stored(benchmark_items(benchmark), "benchmark-items")
     hits = stored(seed_hits(docs, items, broadcast_seeds), "seed-hits")
     lengths = F.size("item_words")
     aligned = (
         hits.join(items, "item_id")
-        .join(
-            texts,
-            hits["doc_id"].eqNullSafe(texts["doc_id"]) & (hits["text_key"] == texts["text_key"]),
-        )
-        .select(
-            hits["doc_id"],
-            hits["text_key"],
-            "item_id",
-            "item_words",
-            "diagonal",
-            "n_hits",
-            words(text_or_empty()).alias("tokens"),
-        )
         .withColumn(
             "equal_at",
             F.filter(
                 F.sequence(F.lit(0), lengths - 1),
                 lambda i: F.coalesce(
-                    F.get("tokens", i + F.col("diagonal")) == F.get("item_words", i),
+                    F.get("covered", F.when(i >= F.col("skipped"), i - F.col("skipped")))
+                    == F.get("item_words", i),
                     F.lit(False),
                 ),
             ),
@@ -232,7 +261,7 @@ def leaked_texts(
             "n_words",
         )
     )
-    return (
+    long_items = (
         judged.where(whole | part)
         .groupBy("doc_id", "text_key", "item_id")
         .agg(best.alias("b"))
@@ -247,6 +276,9 @@ def leaked_texts(
             F.col("b.n_hits").alias("n_hits"),
         )
     )
+    if items.where(lengths < MIN_WORDS).isEmpty():
+        return long_items
+    return long_items.unionByName(whole_short_items(docs, items))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
