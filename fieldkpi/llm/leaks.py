@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldkpi.llm.common import stored, text_or_empty
+from fieldkpi.llm.common import fresh, stored, text_or_empty
 
 # Offsets of the words each mask reads. Chosen by enumeration: of 8 to 20
 # words, whichever MIN_EQUAL and MIN_SHARE of them are equal, one mask at least has a hit.
@@ -286,11 +286,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Only rows with a leaked text go: not others of its id, or others without id.
     """
+    leaked, key = fresh(docs, "leaked", "leaked_key")
     bad = stored(
         leaked_texts(docs, benchmark)
-        .select(F.col("doc_id").alias("_leaked"), F.col("text_key").alias("_key"))
+        .select(F.col("doc_id").alias(leaked), F.col("text_key").alias(key))
         .distinct(),
         "leaked",
     )
-    found = docs["doc_id"].eqNullSafe(bad["_leaked"]) & (F.xxhash64(docs["text"]) == bad["_key"])
+    found = docs["doc_id"].eqNullSafe(bad[leaked]) & (F.xxhash64(docs["text"]) == bad[key])
     return docs.join(bad, found, "left_anti")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldkpi.llm.common import travels
+from fieldkpi.llm.common import fresh, travels
 
 travels(__name__)
 
@@ -228,5 +228,6 @@ def severity_report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents below the rejection severity, with all their columns."""
     severity = severity_udf(train(docs, labels, sample))
-    scored = docs.withColumn("_severity", severity(F.col("text"))["expected"])
-    return scored.where(F.col("_severity") < REJECT_AT).drop("_severity")
+    (expected,) = fresh(docs, "expected_severity")
+    scored = docs.withColumn(expected, severity(F.col("text"))["expected"])
+    return scored.where(F.col(expected) < REJECT_AT).drop(expected)
