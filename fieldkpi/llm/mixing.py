@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldkpi.llm.common import SPACES, stored, text_or_empty, travels
+from fieldkpi.llm.common import SPACES, fresh, stored, text_or_empty, travels
 
 travels(__name__)
 
@@ -161,11 +161,16 @@ def mix_plan(
 
     The texts are read once, to be counted; only ids, sources and sizes are shuffled.
     """
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40))
+    # The text takes part, so that rows without id are spread over the ranges too.
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 40))
     sized = stored(
         docs.select(
-            "doc_id", "source", word_count(text_or_empty()).alias("size"), *keep
-        ).withColumn("draw", draw),
+            "doc_id",
+            "source",
+            word_count(text_or_empty()).alias("size"),
+            draw.alias("draw"),
+            *keep,
+        ),
         "mix-sizes",
     )
     part = F.floor(F.col("draw") / ((1 << 40) // BUCKETS))
@@ -239,18 +244,20 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     Rows that share an id are told apart by source and text; equal rows are taken together
     as often as the plan takes them in all.
     """
-    twin = F.xxhash64("source", "text")
+    own = F.xxhash64("source", "text")
+    twin, same_id, same_twin, times, copy = fresh(docs, "twin", "same_id", "same_twin", "times", "copy")
+    planned = docs.select("doc_id", "source", "text", own.alias(twin))
     plan = (
-        mix_plan(docs.withColumn("_twin", twin), seed=seed, keep=["_twin"])
+        mix_plan(planned, seed=seed, keep=[twin])
         .where(F.col("taken") > 0)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("_twin").alias("_key"))
-        .agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+        .groupBy(F.col("doc_id").alias(same_id), F.col(twin).alias(same_twin))
+        .agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias(times))
     )
-    joined = docs.withColumn("_twin", twin).join(
-        plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_twin") == F.col("_key"))
+    joined = docs.withColumn(twin, own).join(
+        plan, F.col("doc_id").eqNullSafe(F.col(same_id)) & (F.col(twin) == F.col(same_twin))
     )
     return (
-        joined.dropDuplicates(["_id", "_key"])
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        joined.dropDuplicates([same_id, same_twin])
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
         .select(*docs.columns)
     )
