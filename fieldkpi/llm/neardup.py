@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldkpi.llm import wordhash
-from fieldkpi.llm.common import release, stored, travels
+from fieldkpi.llm.common import fresh, release, stored, travels
 from fieldkpi.llm.components import connected_components
 
 travels(__name__)
@@ -396,10 +396,31 @@ def near_components(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFram
     )
 
 
+def _document_key() -> Column:
+    """Tells documents apart by id and text; null without an id."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """``near_components`` with ``kept``: the smallest id of a component stays."""
-    return near_components(docs, k, percent).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    """``near_components`` with ``kept``: the smallest id of a component stays.
+
+    Documents are compared by id and text, so of different texts under one id each is
+    linked by its own.
+    """
+    keyed = docs.select("doc_id", "text", _document_key().alias("key"))
+    found = stored(
+        near_components(keyed.select(F.col("key").alias("doc_id"), "text"), k, percent).select(
+            F.col("doc_id").alias("key"), "n_shingles", "component_id"
+        ),
+        "document-components",
+    )
+    names = stored(keyed.where(F.col("key").isNotNull()).select("key", "doc_id").distinct(), "names")
+    named = found.join(names, "key", "left")
+    least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    return (
+        named.join(stored(least, "least-ids"), "component_id", "left")
+        .select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
@@ -410,30 +431,30 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Dat
     like any others, of equal rows one stays. Of a group the smallest id stays, and of its
     texts that with the smallest hash. Rows without id all stay.
     """
-    known = docs.where(F.col("doc_id").isNotNull()).withColumn(
-        "_text", F.xxhash64("doc_id", "text")
-    )
-    names = known.select("doc_id", "_text").distinct()
+    (key,) = fresh(docs, "document_key")
+    known = docs.where(F.col("doc_id").isNotNull()).withColumn(key, _document_key())
+    names = known.select("doc_id", F.col(key).alias("name")).distinct()
     groups = near_components(
-        known.select(F.col("_text").alias("doc_id"), "text"), k, percent
-    ).select(F.col("doc_id").alias("_text"), "component_id")
-    members = stored(names.join(groups.distinct(), "_text"), "near-copies")
-    name = F.struct("doc_id", "_text")
+        known.select(F.col(key).alias("doc_id"), "text"), k, percent
+    ).select(F.col("doc_id").alias("name"), "component_id")
+    members = stored(names.join(groups.distinct(), "name"), "near-copies")
+    both = F.struct("doc_id", "name")
     first = (
         members.groupBy("component_id")
-        .agg(F.min(name).alias("first"), F.max(name).alias("last"))
+        .agg(F.min(both).alias("first"), F.max(both).alias("last"))
         .where(F.col("first") != F.col("last"))
-        .select("component_id", F.col("first._text").alias("_stays"))
+        .select("component_id", F.col("first.name").alias("stays"))
     )
+    (gone_key,) = fresh(known, "gone_key")
     gone = (
         members.join(first, "component_id")
-        .where(F.col("_text") != F.col("_stays"))
-        .select(F.col("_text").alias("_gone"))
+        .where(F.col("name") != F.col("stays"))
+        .select(F.col("name").alias(gone_key))
         .distinct()
     )
-    left = known.join(gone, known["_text"] == gone["_gone"], "left_anti")
+    left = known.join(gone, known[key] == gone[gone_key], "left_anti")
     return (
-        left.dropDuplicates(["_text"])
+        left.dropDuplicates([key])
         .select(*docs.columns)
         .unionByName(docs.where(F.col("doc_id").isNull()))
     )
