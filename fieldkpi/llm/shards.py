@@ -32,6 +32,8 @@ PER_SHARD = 8192
 KEY = 20240131
 FEISTEL_ROUNDS = 6
 BUCKETS = 1 << 12
+# Documents that meet in one hash range; from so many on, there are more ranges.
+RANGE_DOCS = 20_000
 PAD = b"\xff"
 # Closes every record; the text sink wants a separator, and readers can test it.
 CLOSE = "\n"
@@ -98,17 +100,18 @@ def training_order(
 ) -> DataFrame:
     """Rows ``slot, shard, byte_offset, doc_id, part, n_tokens, tokens``, one per sequence.
 
-    Counts by hash range come to the driver (``BUCKETS`` numbers at most); the running
-    count of a range is a window over it.
+    Counts by hash range come to the driver, one number for ``RANGE_DOCS`` documents (or
+    ``BUCKETS`` numbers, if that is more); the running count of a range is a window over it.
     """
+    ranges = max(BUCKETS, -(-docs.count() // RANGE_DOCS))
     body = docs.select("doc_id", tokens(text_or_empty()).alias("tokens"))
     draw = F.xxhash64("doc_id", "tokens")
-    body = body.withColumn("draw", draw).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)))
+    body = body.withColumn("draw", draw).withColumn("bucket", F.pmod("draw", F.lit(ranges)))
     parts = F.ceil(F.octet_length("tokens") / (length * width))
     counts = (
         body.groupBy("bucket").agg(F.sum(parts).cast("long").alias("n")).toPandas()
     )  # one row per hash range
-    sizes = np.zeros(BUCKETS, np.int64)
+    sizes = np.zeros(ranges, np.int64)
     sizes[counts["bucket"].to_numpy(int)] = counts["n"].to_numpy(np.int64)
     starts, total = np.concatenate([[0], np.cumsum(sizes)[:-1]]), int(sizes.sum())
 
