@@ -6,8 +6,8 @@ audit compares roots and goes down only where nodes differ. Records below differ
 nodes are aligned by id and digest, so that sound records which only moved are told
 from damaged ones.
 
-Every node of a level is made from at most ``FANOUT`` children, so no group grows
-with a file. Cases: null fields are written as empty ones; repeated rows are
+Every node of a level is made from at most ``FANOUT`` children; only the numbering of a
+file's records orders a whole file, and files are of bounded size. Cases: null fields are written as empty ones; repeated rows are
 separate records, told apart by their place; an empty table has no tree; a file
 or record only one copy holds is reported as missing from the other; extra
 columns are not read.
@@ -22,6 +22,7 @@ from fieldkpi.llm.common import checkpointed
 
 FANOUT = 16
 FILE_RECORDS = 1000
+LOOSE_FILES = 1 << 20
 
 
 def warc_record(uri: Column, identity: Column, body: Column) -> Column:
@@ -43,18 +44,28 @@ def warc_record(uri: Column, identity: Column, body: Column) -> Column:
 def page_records(pages: DataFrame, per_file: int = FILE_RECORDS) -> DataFrame:
     """Rows ``file, seq, record_id, n_bytes, digest``: pages dealt to files by id.
 
-    The block is hashed where it is read; only digests travel. Pages without an id
-    go to file -1. Records of a file are in order of id, then digest.
+    The block is hashed where it is read; only digests travel. Pages without an id are
+    dealt by their digest to ``LOOSE_FILES`` files, -1 and below, so that however many there
+    are, no file holds them all; a changed one lies in another file and counts as missing
+    there and added here. Records of a file are in order of id, then digest.
     """
     record = warc_record(F.col("url"), F.col("page_id"), F.col("html"))
     hashed = (
         pages.select("page_id", record.alias("record"))
         .select(
-            F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).alias("file"),
             F.col("page_id").alias("record_id"),
             F.octet_length("record").cast("long").alias("n_bytes"),
             F.sha2("record", 256).alias("digest"),
         )
+        .select(
+            F.coalesce(
+                F.floor(F.col("record_id") / per_file),
+                -1 - F.pmod(F.xxhash64("digest"), F.lit(LOOSE_FILES)),
+            ).alias("file"),
+            "record_id",
+            "n_bytes",
+            "digest",
+        )
     )
     place = Window.partitionBy("file").orderBy("record_id", "digest")
     return hashed.withColumn("seq", (F.row_number().over(place) - 1).cast("long"))
