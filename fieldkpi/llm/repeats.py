@@ -15,7 +15,7 @@ before the shuffle, in place of one sorted suffix array that a single task would
 
 Cases: a null or empty text, or one shorter than ``WINDOW`` bytes, loses nothing; repeated
 rows remove each other's whole text, as every string in them also starts elsewhere; rows
-that share an id are told apart by their text; an empty table gives an empty result; extra
+without id or with a shared one are told apart by their text; an empty table gives an empty result; extra
 columns are not read.
 """
 
@@ -40,7 +40,7 @@ GRAM = 12
 RUN = 128
 # Starts of a phrase fit the bits of a long.
 STRETCH = 64
-PHRASES = "doc_id long, twin int, lo int, size int, core long, phrase long"
+PHRASES = "name long, n_bytes int, lo int, size int, core long, phrase long"
 
 
 def triggers(data: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,10 +86,14 @@ def phrases_of(data: np.ndarray, at: np.ndarray):
 
 
 def _identified(docs: DataFrame) -> DataFrame:
+    """Rows ``doc_id, name, n_bytes, text``. A 64-bit hash of id and text and the number of
+    bytes stand for a document: equal rows have equal ones, and their results are equal too."""
+    text = text_or_empty()
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.hash("text").alias("twin"),
-        text_or_empty().alias("text"),
+        F.xxhash64("doc_id", text).alias("name"),
+        F.octet_length(text).alias("n_bytes"),
+        text.alias("text"),
     )
 
 
@@ -99,9 +103,7 @@ def parse(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in wordhash.slices(whole, 2):
-                row, low, size, core, phrase = phrases_of(
-                    *wordhash.batch_bytes(part.column(2))
-                )
+                row, low, size, core, phrase = phrases_of(*wordhash.batch_bytes(part.column(2)))
                 at = pa.array(row)
                 yield pa.record_batch(
                     [
@@ -112,10 +114,10 @@ def parse(docs: DataFrame) -> DataFrame:
                         pa.array(core.view(np.int64)),
                         pa.array(phrase.view(np.int64)),
                     ],
-                    names=["doc_id", "twin", "lo", "size", "core", "phrase"],
+                    names=["name", "n_bytes", "lo", "size", "core", "phrase"],
                 )
 
-    return docs.mapInArrow(run, PHRASES)
+    return docs.select("name", "n_bytes", "text").mapInArrow(run, PHRASES)
 
 
 def _suffixes(dictionary: DataFrame, docs: DataFrame) -> DataFrame:
@@ -123,12 +125,10 @@ def _suffixes(dictionary: DataFrame, docs: DataFrame) -> DataFrame:
 
     A phrase's bytes are read where it occurs first.
     """
-    per_text = dictionary.groupBy(F.col("rep.doc_id").alias("d"), F.col("rep.twin").alias("t")).agg(
+    per_text = dictionary.groupBy("rep.name", "rep.n_bytes").agg(
         F.collect_list(F.struct("core", "phrase", "n", "rep.lo", "rep.size")).alias("wanted")
     )
-    texts = docs.join(
-        per_text, docs["doc_id"].eqNullSafe(F.col("d")) & (docs["twin"] == F.col("t"))
-    ).dropDuplicates(["doc_id", "twin"])
+    texts = docs.join(per_text, ["name", "n_bytes"]).dropDuplicates(["name", "n_bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -162,7 +162,7 @@ def _suffixes(dictionary: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """Rows ``doc_id, twin, lo, starts``: bit p of ``starts`` says that the string at byte
+    """Rows ``name, n_bytes, lo, starts``: bit p of ``starts`` says that the string at byte
     ``lo + p`` also starts elsewhere."""
     spark = docs.sparkSession
     phrases = parse(docs)
@@ -184,7 +184,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     dictionary = stored(
         mixed.groupBy("core", "phrase").agg(
             F.count(F.lit(1)).alias("n"),
-            F.min(F.struct("doc_id", "twin", "lo", "size")).alias("rep"),
+            F.min(F.struct("name", "n_bytes", "lo", "size")).alias("rep"),
         ),
         "phrase-dictionary",
     )
@@ -208,9 +208,9 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     full = F.expr(f"shiftrightunsigned(-1L, {STRETCH} - size)")  # ``size`` ones
     return (
         again.where("same")
-        .select("doc_id", "twin", "lo", full.alias("starts"))
+        .select("name", "n_bytes", "lo", full.alias("starts"))
         .unionByName(
-            mixed.join(marks, ["core", "phrase"]).select("doc_id", "twin", "lo", "starts")
+            mixed.join(marks, ["core", "phrase"]).select("name", "n_bytes", "lo", "starts")
         )
     )
 
@@ -232,14 +232,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     docs = _identified(docs)
     found = repeated_starts(docs)
-    per_text = found.groupBy(F.col("doc_id").alias("d"), F.col("twin").alias("t")).agg(
+    per_text = found.groupBy("name", "n_bytes").agg(
         F.collect_list(F.struct("lo", "starts")).alias("found")
     )
-    joined = docs.join(
-        per_text,
-        docs["doc_id"].eqNullSafe(F.col("d")) & (docs["twin"] == F.col("t")),
-        "left",
-    )
+    joined = docs.join(per_text, ["name", "n_bytes"], "left")
     bits = np.arange(STRETCH, dtype=np.int64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
