@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldkpi.llm import wordhash
-from fieldkpi.llm.common import release, stored, text_or_empty, travels
+from fieldkpi.llm.common import discard, release, stored, text_or_empty, travels
 
 travels(__name__)
 travels(wordhash.__name__)
@@ -179,6 +179,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     )
     release(spark)
     again = stored(phrases.join(cores, "core"), "repeated-cores")
+    discard(cores)
     release(spark)
     mixed = again.where(~F.col("same"))
     dictionary = stored(
@@ -189,6 +190,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
         "phrase-dictionary",
     )
     suffixes = stored(_suffixes(dictionary, docs), "suffixes")
+    discard(dictionary)
     release(spark)
     ranks = stored(
         suffixes.groupBy("core", "suffix")
@@ -204,6 +206,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
         .agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("starts")),
         "phrase-marks",
     )
+    discard(suffixes, ranks)
     release(spark)
     full = F.expr(f"shiftrightunsigned(-1L, {STRETCH} - size)")  # ``size`` ones
     return (
