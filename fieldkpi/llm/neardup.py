@@ -404,23 +404,41 @@ def _document_key() -> Column:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """``near_components`` with ``kept``: the smallest id of a component stays.
 
-    Documents are compared by id and text, so of different texts under one id each is
-    linked by its own.
+    Of different texts under one id each is linked by its own: the one with the smallest
+    hash goes by the id, the others by a hash of id and text.
     """
-    keyed = docs.select("doc_id", "text", _document_key().alias("key"))
-    found = stored(
-        near_components(keyed.select(F.col("key").alias("doc_id"), "text"), k, percent).select(
-            F.col("doc_id").alias("key"), "n_shingles", "component_id"
-        ),
-        "document-components",
+    docs = docs.select("doc_id", "text").withColumn("own", F.xxhash64("text"))
+    shared = stored(
+        docs.where(F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.min("own").alias("low"), F.max("own").alias("high"))
+        .where(F.col("low") != F.col("high"))
+        .select("doc_id", "low"),
+        "shared-ids",
     )
-    names = stored(keyed.where(F.col("key").isNotNull()).select("key", "doc_id").distinct(), "names")
-    named = found.join(names, "key", "left")
-    least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"))
-    return (
-        named.join(stored(least, "least-ids"), "component_id", "left")
-        .select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    if shared.isEmpty():
+        found = near_components(docs, k, percent)
+    else:
+        other = F.col("low").isNotNull() & (F.col("own") != F.col("low"))
+        keyed = docs.join(shared, "doc_id", "left").withColumn(
+            "key", F.when(other, F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+        )
+        names = stored(
+            keyed.where(other).select("key", F.col("doc_id").alias("shared_id")).distinct(), "names"
+        )
+        parts = stored(
+            near_components(keyed.select(F.col("key").alias("doc_id"), "text"), k, percent)
+            .withColumnRenamed("doc_id", "key")
+            .join(names, "key", "left")
+            .withColumn("doc_id", F.coalesce("shared_id", "key")),
+            "document-components",
+        )
+        least = parts.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        found = parts.join(stored(least, "least-ids"), "component_id", "left").select(
+            "doc_id", "n_shingles", F.col("least").alias("component_id")
+        )
+    return found.withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
