@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldkpi.llm.common import fresh, travels
+from fieldkpi.llm.common import fresh, stored, travels
 
 travels(__name__)
 
@@ -61,11 +61,13 @@ class Model:
 
 
 def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Rows ``row, toxic, word, n`` of at most ``sample`` documents of each label, with words
-    as hashes, and the words by hash. Both come as Arrow columns, not as Python objects.
+    """``(documents, rows, spelled)`` of at most ``sample`` documents of each label:
+    ``row, toxic`` of those with a common word, ``row, key, n`` of words that can be features
+    or grade a document, as hashes, and these words by hash. Rows are Arrow columns.
 
     The sample is drawn by a hash of the id, so it is the same in every run. Only it is
-    broadcast (two times ``sample`` ids), and only its word counts come to the driver.
+    broadcast (two times ``sample`` ids). Words are counted and chosen in Spark: what comes
+    to the driver are the sampled ids and the counts of the chosen words.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(
         "doc_id", "toxic"
@@ -88,19 +90,39 @@ def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
                 out += [(doc, toxic, w, n) for w, n in words.items()]
             yield pd.DataFrame(out, columns=["row", "toxic", "word", "n"])
 
-    counted = texts.mapInPandas(count, "row long, toxic int, word string, n int")
-    common = counted.groupBy("word").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= MIN_DOCS)
+    counted = stored(
+        texts.mapInPandas(count, "row long, toxic int, word string, n int"), "labelled-words"
+    )
+    common = (
+        counted.groupBy("word")
+        .agg(F.count(F.lit(1)).alias("d"), F.sum("toxic").alias("in_bad"))
+        .where(F.col("d") >= MIN_DOCS)
+    )
+    documents = (
+        counted.join(common, "word").groupBy("row").agg(F.max("toxic").alias("toxic")).toArrow()
+    )
+    toxic = documents["toxic"].to_numpy()
+    n_bad, n_good = int((toxic == 1).sum()), int((toxic == 0).sum())
+    if not n_bad or not n_good:
+        return documents, None, {}
+    in_bad, in_good = F.col("in_bad"), F.col("d") - F.col("in_bad")
+    p = F.col("d") / (n_bad + n_good)
+    error = F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) * (1 / n_bad + 1 / n_good))
+    # A little wider than ``telling`` and ``derive_grades``, which decide.
+    tells = F.abs(in_bad / n_bad - in_good / n_good) >= MIN_Z * error * 0.999
+    grades = in_bad >= 0.0099 * n_bad
     key = F.xxhash64("word").alias("key")
-    rows = counted.join(common, "word").select("row", "toxic", key, "n").toArrow()
-    names = common.select(key, "word").toArrow()
-    return rows, dict(zip(names["key"].to_pylist(), names["word"].to_pylist()))
+    chosen = common.where(tells | grades).select("word", key)
+    rows = counted.join(chosen, "word").select("row", "key", "n").toArrow()
+    names = chosen.toArrow()
+    return documents, rows, dict(zip(names["key"].to_pylist(), names["word"].to_pylist()))
 
 
 def derive_grades(
     rows: np.ndarray, words: np.ndarray, counts: np.ndarray, toxic: np.ndarray
 ) -> np.ndarray:
     """Grade of each sampled document from its label and its toxic-typical words."""
-    n_words = int(words.max()) + 1
+    n_words = int(words.max(initial=-1)) + 1
     bad = toxic[rows] == 1
     in_bad = np.bincount(words[bad], minlength=n_words)
     in_good = np.bincount(words[~bad], minlength=n_words)
@@ -161,7 +183,7 @@ def fit_ordinal(
 
 def telling(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Words whose shares of toxic and of clean documents differ by ``MIN_Z`` errors."""
-    n = int(words.max()) + 1
+    n = int(words.max(initial=-1)) + 1
     bad = toxic[rows] == 1
     n_bad, n_good = int((toxic == 1).sum()), int((toxic == 0).sum())
     in_bad, in_good = np.bincount(words[bad], minlength=n), np.bincount(words[~bad], minlength=n)
@@ -171,17 +193,17 @@ def telling(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> np.ndarra
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    found, spelled = labelled_words(docs, labels, sample)
-    label = found["toxic"].to_numpy()
-    if len(np.unique(label)) < 2:
+    documents, found, spelled = labelled_words(docs, labels, sample)
+    if found is None:
         return Model()
     # In order of document and word, so that sums of doubles come out the same in every run.
+    by_row = np.argsort(documents["row"].to_numpy())
+    ids = documents["row"].to_numpy()[by_row]
+    toxic = documents["toxic"].to_numpy()[by_row].astype(int)
     order = np.lexsort((found["key"].to_numpy(), found["row"].to_numpy()))
-    keys, rows = np.unique(found["row"].to_numpy()[order], return_inverse=True)
+    rows = np.searchsorted(ids, found["row"].to_numpy()[order])
     hashes, words = np.unique(found["key"].to_numpy()[order], return_inverse=True)
     names = [spelled[int(h)] for h in hashes]
-    toxic = np.zeros(len(keys), int)
-    toxic[rows] = label[order]
     counts = found["n"].to_numpy()[order].astype(float)
     grades = derive_grades(rows, words, counts, toxic)
     used = telling(rows, words, toxic)[words]
