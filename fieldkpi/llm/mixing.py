@@ -60,12 +60,31 @@ def fill_budget(
 ) -> list[int]:
     """How many documents of each length to take, so that their words come near ``budget``.
 
-    ``lengths`` are distinct and positive. The sum never exceeds the budget.
+    ``lengths`` are distinct and positive. The sum never exceeds the budget. All lengths are
+    taken in proportion first and the programme fills the rest; while that leaves words
+    over, more of the documents taken are given back to it. With all given back, a budget of
+    at most ``cap`` words is met as nearly as any choice from below could.
     """
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total:
         return list(counts)
-    take = [c * budget // total for c in counts]
+    even = [c * budget // total for c in counts]
+    best, most = [0] * len(lengths), -1
+    for give in (0, 1, 4, 16, max(even)):
+        take = _fill_rest(lengths, counts, [t - min(t, give) for t in even], budget, cap)
+        words = sum(n * t for n, t in zip(lengths, take))
+        if words > most:
+            best, most = take, words
+        if words == budget:
+            break
+    return best
+
+
+def _fill_rest(
+    lengths: Sequence[int], counts: Sequence[int], take: list[int], budget: int, cap: int
+) -> list[int]:
+    """``take`` with more documents for what the budget leaves: the longest first until at
+    most ``cap`` words are left, these by the bounded knapsack."""
     left = budget - sum(n * k for n, k in zip(lengths, take))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     for i in order:
