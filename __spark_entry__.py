@@ -251,6 +251,14 @@ _QUERIES: dict[str, Callable[[StarRoles], DataFrame]] = {
     "pickup_class_mix": lambda s: pickups.pickup_class_mix(_events(s), _units(s)),
     "ped_levels": lambda s: levels.ped_levels(_events(s)),
     "upp_levels": lambda s: levels.upp_levels(_events(s), _units(s)),
+    "partner_rate_levels": lambda s: levels.rates_within(
+        _events(s), levels.carried_by_partner(*s.get("order_master", "items", "bridge")), "partner"
+    ),
+    "location_rate_levels": lambda s: levels.rates_within(
+        _events(s),
+        levels.carried_by_location(s["transfers"], _units(s), s["locations"]),
+        "location",
+    ),
     "distinct_expert_levels": lambda s: levels.distinct_levels(
         levels.daily_bitmaps(_events(s)), "n_experts"
     ),

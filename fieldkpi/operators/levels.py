@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldkpi.functions.labels import ratio
+from fieldkpi.functions.labels import partner_label, ratio
 from fieldkpi.operators.pickups import with_units
 
 TIME_LEVELS = {"day": "event_date", "week": "week", "month": "month"}
@@ -99,6 +99,66 @@ def upp_levels(events: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
+def carried_by_partner(order_master: DataFrame, items: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Rows ``inventory_transfer_id, partner, n_units``: units of each partner's orders in
+    every transfer that carries any."""
+    orders = order_master.select("order_id", partner_label().alias("partner"))
+    item = items.select(F.col("id").alias("order_item_id"), "order_id")
+    return (
+        bridge.select("inventory_transfer_id", "order_item_id")
+        .join(item, "order_item_id")
+        .join(orders, "order_id")
+        .groupBy("inventory_transfer_id", "partner")
+        .agg(F.count(F.lit(1)).alias("n_units"))
+    )
+
+
+def carried_by_location(transfers: DataFrame, units: DataFrame, locations: DataFrame) -> DataFrame:
+    """Rows ``inventory_transfer_id, location, n_units``: units of each transfer under the stock
+    location it was picked up at."""
+    place = locations.select(
+        F.col("id").alias("inventory_location_id"), F.col("name").alias("location")
+    )
+    return (
+        transfers.select(F.col("id").alias("inventory_transfer_id"), "inventory_location_id")
+        .join(place, "inventory_location_id")
+        .join(units, "inventory_transfer_id")
+        .select("inventory_transfer_id", "location", "n_units")
+    )
+
+
+def rates_within(events: DataFrame, carried: DataFrame, entity: str) -> DataFrame:
+    """PED and UPP of each ``entity`` (a column of ``carried``: one row per transfer and
+    entity, with its units) at all levels of time and place.
+
+    A transfer that an expert's events name more than once on a day is one pickup. Pickups are
+    reduced to expert days and then to days before the levels expand them.
+    """
+    place = ["event_date", "market", "center_market", entity]
+    pickups = with_units(events, carried).groupBy(
+        *place, "expert_id", "inventory_transfer_id", "n_units"
+    ).agg(F.lit(1).alias("once"))
+    daily = (
+        pickups.groupBy(*place, "expert_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("n_units").alias("units"))
+        .groupBy(*place)
+        .agg(
+            F.sum("n").alias("n_pickups"),
+            F.count(F.lit(1)).alias("n_expert_days"),
+            F.sum("units").alias("n_units"),
+        )
+    )
+    return over_levels(
+        daily,
+        F.sum("n_pickups").alias("n_pickups"),
+        F.sum("n_expert_days").alias("n_expert_days"),
+        F.sum("n_units").alias("n_units"),
+        ratio(F.sum("n_pickups"), F.sum("n_expert_days")).alias("ped"),
+        ratio(F.sum("n_units"), F.sum("n_pickups")).alias("units_per_pickup"),
+        within=(entity,),
+    )
+
+
 def daily_bitmaps(events: DataFrame, ids: str = "expert_id") -> DataFrame:
     """Rows ``event_date, market, center_market, bucket, ids``: the distinct ids of a day.
 

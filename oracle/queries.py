@@ -416,6 +416,39 @@ SELECT {_LEVELS}, COUNT(n_units) AS n_pickups, {big('SUM(n_units)', 'n_units')},
        {r('AVG(n_units)', 'units_per_pickup')}
 FROM {_DATED} e JOIN units u ON u.transfer_id = e.event_id
 {_SETS}"""
+def _rates_within(carried: str, entity: str) -> str:
+    sets = _SETS.replace("(event_date", f"({entity}, event_date").replace(
+        "(week", f"({entity}, week").replace("(month", f"({entity}, month")
+    return f"""
+WITH carried AS ({carried}),
+pickups AS (
+    SELECT DISTINCT event_date, week, month, market, center_market, {entity}, expert_id,
+           transfer_id, c.n_units
+    FROM {_DATED} e JOIN carried c ON c.transfer_id = e.event_id),
+expert_days AS (
+    SELECT event_date, week, month, market, center_market, {entity}, expert_id,
+           COUNT(*) AS n, SUM(n_units) AS units
+    FROM pickups GROUP BY ALL)
+SELECT {_LEVELS}, {entity}, {big('SUM(n)', 'n_pickups')}, COUNT(*) AS n_expert_days,
+       {big('SUM(units)', 'n_units')}, {r('SUM(n) / COUNT(*)', 'ped')},
+       {r('SUM(units) / SUM(n)', 'units_per_pickup')}
+FROM expert_days
+{sets}"""
+
+
+_SQL["partner_rate_levels"] = _rates_within(
+    f"""SELECT b.transfer_id, CASE WHEN {PARTNER} THEN 'ATT.com (Cart)' ELSE 'Other' END AS partner,
+               COUNT(*) AS n_units
+        FROM bridge b JOIN items i ON i.id = b.item_id JOIN order_master o ON o.order_id = i.order_id
+        GROUP BY ALL""",
+    "partner",
+)
+_SQL["location_rate_levels"] = _rates_within(
+    """SELECT t.id AS transfer_id, l.s_name AS location, u.n_units
+       FROM transfers t JOIN supplier l ON l.s_suppkey = t.inventory_location_id
+       JOIN units u ON u.transfer_id = t.id""",
+    "location",
+)
 _SQL["distinct_expert_levels"] = f"""
 SELECT {_LEVELS}, {big('COUNT(DISTINCT expert_id)', 'n_experts')} FROM {_DATED} {_SETS}"""
 

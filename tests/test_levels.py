@@ -81,3 +81,28 @@ def test_one_shuffle_of_the_facts_serves_all_levels(events):
     plan = levels.ped_levels(events)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Expand") == 1 and plan.count("Exchange") == 3  # experts, days, levels
     assert levels.ped_levels(events.where("false")).count() == 0
+
+
+def test_rates_within_an_entity(spark):
+    events = table(
+        spark,
+        EVENTS,
+        [(1, 7, "2024-01-30", "4-LA", "W"), (1, 7, "2024-01-30", "4-LA", "W"),  # one transfer, named twice
+         (2, 7, "2024-01-31", "4-LA", "W"), (3, 8, "2024-02-01", "2-NY", "E"), (9, 8, "2024-02-01", "2-NY", "E")],
+    )
+    carried = table(
+        spark,
+        "inventory_transfer_id bigint, partner string, n_units bigint",
+        [(1, "a", 2), (1, "b", 5), (2, "a", 4), (3, "b", 0), (4, "a", 9)],
+    )
+    got = rows(
+        levels.rates_within(events, carried, "partner").where("time_level = 'week' AND place_level <> 'region'"),
+        "period_start", "place", "partner", "n_pickups", "n_expert_days", "n_units", "ped", "units_per_pickup",
+    )
+    assert got == [
+        ("2024-01-29", "2-NY", "b", 1, 1, 0, 1.0, 0.0),
+        ("2024-01-29", "4-LA", "a", 2, 2, 6, 1.0, 3.0),
+        ("2024-01-29", "4-LA", "b", 1, 1, 5, 1.0, 5.0),
+        ("2024-01-29", None, "a", 2, 2, 6, 1.0, 3.0),
+        ("2024-01-29", None, "b", 2, 2, 5, 1.0, 2.5),
+    ]
