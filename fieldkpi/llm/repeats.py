@@ -245,7 +245,9 @@ def parse_order(pieces: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.int32())]
             yield pa.record_batch([pa.array([v], k) for v, k in zip(summary, kinds)], names=names)
 
-    return pieces.repartitionByRange("right").sortWithinPartitions("right").mapInArrow(run, ORDER)
+    # With ``left`` in the bounds, phrases that go on alike may fall into several ranges.
+    ranges = pieces.repartitionByRange("right", "left").sortWithinPartitions("right", "left")
+    return ranges.mapInArrow(run, ORDER)
 
 
 def carried_runs(summaries: list) -> list[tuple[int, list[int]]]:
