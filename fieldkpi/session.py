@@ -20,14 +20,17 @@ RUNTIME_SETTINGS = {
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time SQL settings to an existing session.
 
-    The time zone is part of the results; the others are set only where the caller has
-    left them alone.
+    The time zone is part of the results and set each time; the others are set once a
+    session, only where the caller has left them alone.
     """
     spark.conf.set("spark.sql.session.timeZone", RUNTIME_SETTINGS["spark.sql.session.timeZone"])
+    if getattr(spark, "_fieldkpi_configured", False):
+        return spark
     chosen = {row["key"] for row in spark.sql("SET").collect()}
     for key, value in RUNTIME_SETTINGS.items():
         if key not in chosen:
             spark.conf.set(key, value)
+    spark._fieldkpi_configured = True
     return spark
 
 
